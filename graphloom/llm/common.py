@@ -5,9 +5,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
-_TRANS = {i: " " for i in range(9, 14)}
 
 #: Bytes of one Arrow batch sent to a Python worker; very long texts thus never pile up.
 BATCH_BYTES = "8m"
@@ -54,7 +57,17 @@ def drop(df: DataFrame) -> None:
 
 
 def arrow_ready(spark: SparkSession) -> None:
-    """Bound the Arrow batches by bytes, so that memory does not follow the length of texts."""
+    """Bound the Arrow batches by bytes, so that memory does not follow the length of texts,
+    and send the package to the Python workers (once for each context)."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_graphloom_sent", False):
+        root = Path(__file__).resolve().parents[1]
+        zipped = Path(tempfile.mkdtemp(prefix="graphloom-code-")) / "graphloom_code.zip"
+        with zipfile.ZipFile(zipped, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(zipped))
+        sc._graphloom_sent = True
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
@@ -62,42 +75,67 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words of a text, split at the six ASCII white-space characters only."""
+def words_of(text: bytes | str | None) -> list[bytes]:
+    """The words of a text as UTF-8. bytes.split() splits at exactly the six white-space bytes."""
     if not text:
         return []
-    if not text.isascii() or _has_odd_space(text):
-        # str.split() without argument would also split at other separators
-        return [w for w in text.translate(_TRANS).split(" ") if w]
-    return text.split()
+    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()
 
 
-def _has_odd_space(text: str) -> bool:
-    # the ASCII separators 1C-1F are white space to str.split() but not here
-    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+def utf8(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.binary()).to_pylist()
 
 
 def hash64(data: str, seed: int = 0) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(data.encode("utf-8", "surrogatepass"), seed)
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed once per worker; cleared when it grows past a bound."""
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_BYTE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, np.uint64)
+_R, _R_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
+_POWERS: dict[int, np.ndarray] = {}
+
 
-    def __init__(self, bound: int = 400_000, seed: int = 0):
-        super().__init__()
-        self.bound, self.seed = bound, seed
+def _powers(base: int, n: int) -> np.ndarray:
+    got = _POWERS.get(base)
+    if got is None or len(got) < n:
+        size = max(n, 1 << 20)
+        got = np.full(size, np.uint64(base), np.uint64)
+        got[0] = 1
+        got = _POWERS[base] = np.cumprod(got)
+    return got[:n]
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = hash64(word, self.seed)
-        return h
 
-    def of(self, words: list[str]) -> np.ndarray:
-        if len(self) > self.bound:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and the bounds of each text's words.
+
+    A word's hash is a polynomial of its bytes, cut out of running sums over all the bytes.
+    """
+    joined = b"\n".join(t or b"" for t in texts) + b"\n"
+    buf = np.frombuffer(joined, np.uint8)
+    space = _IS_SPACE[buf]
+    edge = np.empty(len(buf), bool)
+    edge[0] = not space[0]
+    np.not_equal(space[1:], space[:-1], out=edge[1:])
+    at = np.flatnonzero(edge)
+    first, last = at[::2], at[1::2]
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _powers(_R, len(buf)), out=sums[1:])
+    h = mix64((sums[last] - sums[first]) * _powers(_R_INV, len(buf))[first])
+    ends = np.cumsum([len(t or b"") + 1 for t in texts])
+    return h, np.concatenate([[0], np.searchsorted(first, ends)])
+
+
+def in_chunks(texts: list[bytes | None], size: int = 1_000_000):
+    """Index ranges of texts of about `size` bytes together (one text at least)."""
+    start, got = 0, 0
+    for i, t in enumerate(texts):
+        got += len(t or b"")
+        if got >= size:
+            yield start, i + 1
+            start, got = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -113,16 +151,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def ngram_hashes(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all n-grams of a sequence of word hashes."""
+    """Hashes of all n-grams of a sequence of (well mixed) word hashes, from running sums."""
     m = len(h) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    mul = np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-    out = np.full(m, np.uint64(seed + 1), np.uint64)
-    for i in range(n):
-        out = out * mul + h[i : i + m]
-        out ^= out >> np.uint64(29)
-    return mix64(out)
+    base = (_R + 0x51ED2700 * seed) | 1
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _powers(base, len(h)), out=sums[1:])
+    return mix64((sums[n:] - sums[:m]) * _powers(pow(base, -1, 2**64), m))
+
+
+def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Minimum of each n neighbours, by doubling."""
+    if len(x) < n:
+        return x[:0]
+    width = 1
+    while 2 * width <= n:
+        x = np.minimum(x[:-width], x[width:])
+        width *= 2
+    return np.minimum(x[: len(x) - (n - width)], x[n - width :]) if n > width else x
 
 
 def crc_mod(doc_id: int, mod: int = 3) -> int:
