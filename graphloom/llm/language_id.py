@@ -222,3 +222,18 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     model = train(training_rows(docs))
     rows = docs.select("doc_id", (crc_mod_col(F.col("doc_id")) == 1).alias("held_out"), "text")
     return identify(rows, model, keep=["doc_id", "held_out"])
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """docs without those that have no language (`und`); a null lang gets the prediction."""
+    if "lang" not in docs.columns:
+        return identify(docs, Model("", [], [])).select(*docs.columns)
+    found = identify(docs, train(training_rows(docs)))
+    kept = found.filter(F.col("lang_pred") != UND).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    return kept.select(*docs.columns)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .common import load
+
+    return op2(spark, load(spark, sf_dir, "documents"))
