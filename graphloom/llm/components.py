@@ -15,7 +15,7 @@ from .common import drop, materialize
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+    return both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
 
 
 def _small_star(e: DataFrame) -> DataFrame:
@@ -25,6 +25,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return low.select(F.col("m").alias("x"), F.col("b").alias("y")).unionByName(moved).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _all_stars(e: DataFrame) -> bool:
+    """Whether no node is a centre and a leaf at once, or a leaf twice."""
+    roles = e.select(F.col("a").alias("node"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("centre"), F.lit(1).alias("leaf")))
+    return roles.groupBy("node").agg(F.max("centre").alias("c"), F.sum("leaf").alias("l")).filter("(c = 1 and l > 0) or l > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node that has an edge; component is its smallest node.
 
@@ -32,14 +38,13 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
     e = materialize(e, "cc")
-    seen = None
     for _ in range(max_rounds):
+        if _all_stars(e):
+            break
         n = materialize(_small_star(_large_star(e)), "cc")
-        now = n.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         drop(e)
         e = n
-        if now == seen or not now[0]:
-            break
-        seen = now
+    else:
+        raise RuntimeError(f"no components after {max_rounds} rounds")
     stars = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

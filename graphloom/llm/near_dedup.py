@@ -10,8 +10,8 @@ similarity. Texts that share a key are candidates, and a candidate pair is a lin
   for each word of the longer text.
 
 A bucket is never expanded into all its pairs: its members are held against a leader; what stays
-in other classes is held against further leaders in later rounds, and what is then left in small
-buckets is compared across classes. Classes are the connected components of the links. At
+in other classes is then held against the head of another class, and in small buckets (up to SMALL
+texts) what is left is compared across classes. Classes are the connected components of the links. At
 similarity 0.8 a pair shares no key with a probability below (1 - 0.8 ** 4) ** 24 = 3e-6.
 
 Defined results: null and blank texts are each a class of their own; texts under five words are
@@ -33,7 +33,7 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, WIDTH = 24, 4
-ROUNDS, SMALL = 3, 24
+SMALL = 24
 _RNG = np.random.Generator(np.random.PCG64(5))
 _XOR = _RNG.integers(0, 2**64, SKETCHES, np.uint64)[:, None]
 _MUL = (_RNG.integers(0, 2**64, SKETCHES, np.uint64) | np.uint64(1))[:, None]
@@ -186,26 +186,20 @@ def classes(docs: DataFrame) -> DataFrame:
     buckets = materialize(each.join(lead.select("key", "lead", "size"), "key"), "buckets")
     drop(sk)
     pairs = materialize(buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    tested, links = pairs, materialize(verify(pairs, docs), "links")
-    for k in range(ROUNDS):
-        comp = components(links, "a", "b")
-        rows = buckets.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-        rows = materialize(rows, "rows")
-        mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-        rows = rows.join(mixed, "key")
-        if k < ROUNDS - 1:
-            # a further leader: of the class with the largest or smallest name in turn
-            at = "hi" if k % 2 == 0 else "lo"
-            heads = rows.filter(F.col("c") == F.col(at)).groupBy("key").agg(F.max("rep").alias("head"))
-            found = rows.filter(F.col("c") != F.col(at)).join(heads, "key").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
-        else:
-            some = rows.filter(F.col("size") <= SMALL)
-            found = some.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(some.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b")
-        pairs = materialize(found.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        links = materialize(links.unionByName(verify(pairs, docs)), "links")
-        tested = tested.unionByName(pairs)
+    links = materialize(verify(pairs, docs), "links")
+    # what shares a bucket but no class yet: against a head of another class, and in small
+    # buckets every pair of classes
+    comp = components(links, "a", "b")
+    rows = buckets.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
+    rows = materialize(rows.join(mixed, "key"), "rows")
+    heads = rows.groupBy("key", "hi").agg(F.max(F.when(F.col("c") == F.col("hi"), F.col("rep"))).alias("head"))
+    found = rows.filter("c <> hi").join(heads.select("key", "head"), "key").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
+    some = rows.filter(F.col("size").between(3, SMALL))
+    found = found.unionByName(some.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(some.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b"))
+    more = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        links = materialize(links.unionByName(verify(more, docs)), "links")
     comp = components(links, "a", "b")
     named = member.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
     named = materialize(named.select("doc_id", F.coalesce("c", "rep").alias("class_id"), F.col("rep").alias("rep_id")), "classes")
