@@ -247,6 +247,6 @@ b AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM
 SELECT conv_id, min(turn) AS first_turn, min(role) AS role, string_agg(text, ' ' ORDER BY turn, text) AS text FROM b GROUP BY conv_id, run""", store=False)(lambda spark, d: events.merge_turns(table(spark, d, "conversations")))
 register("q_stream_debounce", """WITH a AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM a)
-SELECT user_id, epoch(min(ts))::BIGINT AS start, epoch(max(ts))::BIGINT AS last, count(*) AS n FROM b GROUP BY user_id, run""", store=False)(lambda spark, d: events.debounce(table(spark, d, "events")).select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("last").alias("last"), "n"))
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT AS last, count(*) AS n FROM b GROUP BY user_id, run""", store=False)(lambda spark, d: events.debounce(table(spark, d, "events")).select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("last").alias("last"), "n"))
 register("q_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events", store=False)(lambda spark, d: events.once(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type"))
 register("q_stream_queue", "SELECT event_id AS chunk_id, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 3 + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status, (event_id % 3 + 1)::BIGINT AS attempts FROM events", store=False)(lambda spark, d: events.queue_step(table(spark, d, "events").select(F.col("event_id").alias("chunk_id"), F.expr("event_id % 3").alias("attempts")), table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("chunk_id"))))

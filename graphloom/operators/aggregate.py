@@ -56,7 +56,7 @@ def dominant_type(store: GraphStore) -> DataFrame:
 def infer_field_types(store: GraphStore) -> DataFrame:
     """(schema_type, key, field_type): number, date, boolean, list, reference, enum or string."""
     v = store.fields.join(store.types, "node_id").groupBy("schema_type", "key", "value_type", "value_text").agg(F.count("*").alias("n"))
-    per = v.groupBy("schema_type", "key").agg(F.sum("n").alias("total"), F.count_if("value_type = 'string'").alias("distinct_strings"), F.sum(F.when(F.col("value_type") == "string", F.col("n")).otherwise(0)).alias("strings"))
+    per = v.groupBy("schema_type", "key").agg(F.sum("n").alias("total"), F.count_if(F.col("value_type") == "string").alias("distinct_strings"), F.sum(F.when(F.col("value_type") == "string", F.col("n")).otherwise(0)).alias("strings"))
     kind = F.when(F.col("value_type") != "string", F.col("value_type")).when(F.col("distinct_strings").between(2, 20) & (F.col("distinct_strings") / F.col("strings") < 0.5), "enum").otherwise("string")
     return per.join(dominant_type(store), ["schema_type", "key"]).select("schema_type", "key", kind.alias("field_type"))
 

@@ -13,8 +13,9 @@ def lookup(nodes: DataFrame) -> DataFrame:
     """(name, tier, id): unique titles (tier 0) and unique path suffixes (tier 1)."""
     stem = F.regexp_replace("id", r"\.md$", "")
     parts = F.split(stem, "/")
-    suffix = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/")))
-    every = nodes.select(fold_typography(F.col("title")).alias("name"), F.lit(0).alias("tier"), "id").unionByName(nodes.select(fold_typography(suffix).alias("name"), F.lit(1).alias("tier"), "id"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    paths = nodes.select("id", F.explode(suffixes).alias("suffix"))
+    every = nodes.select(fold_typography(F.col("title")).alias("name"), F.lit(0).alias("tier"), "id").unionByName(paths.select(fold_typography(F.col("suffix")).alias("name"), F.lit(1).alias("tier"), "id"))
     return every.groupBy("name", "tier").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 

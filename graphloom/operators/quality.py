@@ -53,11 +53,11 @@ def validity(store: GraphStore, schema_type: str, defs: list[FieldDef]) -> DataF
 def coerce(value: Column, d: FieldDef) -> Column:
     """value_text brought to the declared type where that is possible, else unchanged."""
     if d.type == "number":
-        return F.coalesce(F.expr("nullif(1, 1)").cast("string"), F.when(F.try_to_number(F.trim(value), F.lit("S999999999999D99999")).isNotNull(), F.trim(value)), value)
+        return F.when(F.trim(value).try_cast("double").isNotNull(), F.trim(value)).otherwise(value)
     if d.type == "boolean":
         return F.coalesce(to_boolean(value).cast("string"), value)
     if d.type == "enum":
-        return F.coalesce(F.filter(F.array(*map(F.lit, d.values)), lambda v: F.lower(v) == F.lower(value))[0], value)
+        return F.coalesce(F.get(F.filter(F.array(*map(F.lit, d.values)), lambda v: F.lower(v) == F.lower(value)), F.lit(0)), value)
     if d.type == "reference":
         return wrap_reference(value)
     if d.type.startswith("list"):
