@@ -21,7 +21,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
 #: Bytes of one Arrow batch sent to a Python worker; very long texts thus never pile up.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -99,7 +99,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     got = _POWERS.get(base)
     if got is None or len(got) < n:
-        size = max(n, 1 << 20)
+        size = max(1 << n.bit_length(), 1 << 14)
         got = np.full(size, np.uint64(base), np.uint64)
         got[0] = 1
         got = _POWERS[base] = np.cumprod(got)
@@ -126,11 +126,11 @@ def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.concatenate([[0], np.searchsorted(first, ends)])
 
 
-def in_chunks(texts: list[bytes | None], size: int = 1_000_000):
-    """Index ranges of texts of about `size` bytes together (one text at least)."""
+def in_chunks(texts: list[bytes | str | None], size: int = 500_000):
+    """Index ranges of texts of about `size` bytes (or characters) together (one text at least)."""
     start, got = 0, 0
     for i, t in enumerate(texts):
-        got += len(t or b"")
+        got += len(t or "")
         if got >= size:
             yield start, i + 1
             start, got = i + 1, 0

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, crc_mod_col
+from .common import arrow_ready, crc_mod_col, in_chunks
 
 UND = "und"
 BLOCK = 256
 #: Bounds of training: symbols of each language, languages, and the longest text in the sample.
-TRAIN_SYMBOLS, MAX_LANGS, TRAIN_TEXT, TRAIN_DOCS = 60_000, 64, 20_000, 400
+TRAIN_SYMBOLS, MAX_LANGS, TRAIN_TEXT, TRAIN_DOCS = 30_000, 64, 20_000, 400
 SYMBOLS = 64  # 0: between words (and padding), 63: letters that training hasn't seen
 
 
@@ -207,7 +207,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, scores = shared.value.predict(b.column(b.num_columns - 1).to_pylist())
+            texts, names, scores = b.column(b.num_columns - 1).to_pylist(), [], []
+            for i, j in in_chunks(texts):
+                got = shared.value.predict(texts[i:j])
+                names += got[0]
+                scores += got[1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)

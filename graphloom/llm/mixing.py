@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_ready, load, materialize, utf8
 
 #: Bounds of the training sample (documents, characters of one) and of the word features.
-TRAIN_DOCS, TRAIN_TEXT, WORDS = 6_000, 20_000, 400
+TRAIN_DOCS, TRAIN_TEXT, WORDS = 4_000, 20_000, 400
 STEPS, TOLERANCE = 12, 1e-7
 TARGETS = {"good": 0.9, "junk": 0.05, "toxic": 0.05}
 _PUNCT = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
