@@ -10,9 +10,12 @@ similarity. Texts that share a key are candidates, and a candidate pair is a lin
   for each word of the longer text.
 
 A bucket is never expanded into all its pairs: its members are held against a leader; what stays
-in other classes is then held against the head of another class, and in small buckets (up to SMALL
-texts) what is left is compared across classes. Classes are the connected components of the links. At
-similarity 0.8 a pair shares no key with a probability below (1 - 0.8 ** 4) ** 24 = 3e-6.
+in other classes is then held against one more member, drawn by hash and so another one in each of
+the many buckets that a large family shares. What is still in several classes
+is compared across classes: in small buckets (up to SMALL texts) directly, in larger ones through an
+index of each text's rarest shingles, which loses no pair: two texts of similarity 0.8 share one of
+the n - ceil(0.8 n) + 1 rarest of their n shingles. Classes are the connected components of the
+links. At similarity 0.8 a pair shares no key with a probability below (1 - 0.8 ** 4) ** 24 = 3e-6.
 
 Defined results: null and blank texts are each a class of their own; texts under five words are
 only grouped when equal; repeated rows get the same class; rows without an id come back with a
@@ -173,6 +176,60 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def mixed_rows(buckets: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets that are in several classes, with c (their class)."""
+    rows = buckets.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    return materialize(rows.join(mixed, "key"), "rows")
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (node, component) after more links (a, b): components of the classes that these join."""
+    links = materialize(links, "links")
+    if links.isEmpty():
+        return comp
+    ends = comp.select(F.col("node"), F.col("component").alias("c"))
+    e = links.join(ends.withColumnRenamed("node", "a"), "a", "left").withColumn("a", F.coalesce("c", "a")).drop("c")
+    e = e.join(ends.withColumnRenamed("node", "b"), "b", "left").withColumn("b", F.coalesce("c", "b")).drop("c")
+    over = materialize(components(e, "a", "b"), "over")
+    moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    alone = over.join(comp.select("node"), "node", "left_anti").select("node", "component")
+    return materialize(moved.unionByName(alone), "classes")
+
+
+def shingles(docs: DataFrame) -> DataFrame:
+    """rep and list of occurrence-labelled shingles of docs (rep, text)."""
+    arrow_ready(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [labelled(ngram_hashes(hash_words([t])[0], SHINGLE)).view(np.int64) for t in utf8(b.column(1))]
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["rep", "s"])
+
+    return docs.select("rep", "text").mapInArrow(run, "rep long, s array<long>")
+
+
+def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of reps (rep, c) of different c that may reach SIMILARITY, by prefix filtering.
+
+    Shingles are ordered by the number of texts that hold them. A pair that reaches the similarity
+    shares a shingle in both prefixes, and from the first one shared on enough are left in both.
+    """
+    texts = reps.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
+    each = materialize(shingles(texts).select("rep", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
+    often = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    # shingles of one text only come first in the order and can be in no pair
+    sorted_ = each.join(often, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
+    prefix = sorted_.withColumn("u", F.col("n") - F.size("o")).withColumn("o", F.expr("slice(o, 1, greatest(n - (4 * n + 4) div 5 + 1 - u, 0L))"))
+    index = prefix.join(reps, "rep").select("rep", "c", "n", "u", F.posexplode("o").alias("i", "o")).select("rep", "c", "n", (F.col("n") - F.col("u") - F.col("i")).alias("rest"), F.col("o.s").alias("s"))
+    index = materialize(index, "index")
+    x = index.select("s", *(F.col(k).alias(f"{k}_a") for k in ("rep", "c", "n", "rest")))
+    y = index.select("s", *(F.col(k).alias(f"{k}_b") for k in ("rep", "c", "n", "rest")))
+    both = x.join(y, "s").filter("rep_a < rep_b and c_a <> c_b and 9 * least(rest_a, rest_b) >= 4 * (n_a + n_b)")
+    return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest id of the class) and rep_id (smallest id with the same words)."""
     docs = docs.select("doc_id", "text")
@@ -187,20 +244,20 @@ def classes(docs: DataFrame) -> DataFrame:
     drop(sk)
     pairs = materialize(buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = materialize(verify(pairs, docs), "links")
-    # what shares a bucket but no class yet: against a head of another class, and in small
-    # buckets every pair of classes
     comp = components(links, "a", "b")
-    rows = buckets.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    rows = materialize(rows.join(mixed, "key"), "rows")
-    heads = rows.groupBy("key", "hi").agg(F.max(F.when(F.col("c") == F.col("hi"), F.col("rep"))).alias("head"))
-    found = rows.filter("c <> hi").join(heads.select("key", "head"), "key").select(F.least("head", "rep").alias("a"), F.greatest("head", "rep").alias("b"))
+    # what shares a bucket but no class yet: against a member drawn for that bucket, and in small
+    # buckets every pair of classes
+    rows = mixed_rows(buckets, comp)
+    heads = rows.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", "key")).alias("head"))
+    found = rows.join(heads, "key").filter("c <> head.c").select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b"))
     some = rows.filter(F.col("size").between(3, SMALL))
     found = found.unionByName(some.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(some.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b"))
-    more = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = materialize(links.unionByName(verify(more, docs)), "links")
-    comp = components(links, "a", "b")
+    pairs = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    comp = joined(comp, verify(pairs, docs))
+    # larger buckets that are still in several classes: by the rarest shingles
+    rows = mixed_rows(buckets.filter(F.col("size") > SMALL), comp)
+    if not rows.isEmpty():
+        comp = joined(comp, verify(materialize(rare_pairs(rows.select("rep", "c").distinct(), docs), "pairs"), docs))
     named = member.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
     named = materialize(named.select("doc_id", F.coalesce("c", "rep").alias("class_id"), F.col("rep").alias("rep_id")), "classes")
     return named

@@ -157,3 +157,30 @@ def test_token_counts():
 def test_licenses(spark):
     d = spark.createDataFrame([(1, "x\nReleased under the MIT License."), (2, "A driving license is needed here."), (3, None), (4, "nothing")], "doc_id long, text string")
     assert {r["doc_id"]: r["licenses"] for r in licenses.scan(d).collect()} == {1: "mit", 2: "unknown", 3: "", 4: ""}
+
+
+def test_near_dedup_large_family(spark):
+    """A family around the threshold, larger than SMALL: the classes are those of brute force."""
+    from graphloom.llm.common import hash_words
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    texts = []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    words = [hash_words([t.encode()])[0] for t in texts]
+    low = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if low[i] != low[j] and near_dedup.similar(words[i], words[j]):
+                a, b = sorted((low[i], low[j]))
+                low = [a if x == b else x for x in low]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert got == dict(enumerate(low))
+    everything = spark.createDataFrame([(i, i) for i in range(len(texts))], "rep long, c long")
+    found = {(r["a"], r["b"]) for r in near_dedup.rare_pairs(everything, docs).collect()}
+    assert {(j, i) for i in range(len(texts)) for j in range(i) if near_dedup.similar(words[i], words[j])} <= found
