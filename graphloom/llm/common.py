@@ -47,6 +47,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def narrow(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """df in tasks of about per_task rows, where a small result would else be cut into many tasks
+    and files; a result with enough rows keeps its partitions. rows is a bound that was counted."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table of materialize() that nothing will read again."""
     path = getattr(df, "_graphloom_path", None)

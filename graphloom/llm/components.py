@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize
+from .common import drop, materialize, narrow
+
+#: Edges for one task.
+EDGES = 100_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -38,13 +41,25 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     """
     e = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
     e = materialize(e, "cc")
+    most = 2 * e.count()
     for _ in range(max_rounds):
         if _all_stars(e):
             break
-        n = materialize(_small_star(_large_star(e)), "cc")
+        n = materialize(narrow(_small_star(_large_star(e)), most, EDGES), "cc")
         drop(e)
         e = n
     else:
         raise RuntimeError(f"no components after {max_rounds} rounds")
     stars = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
     return stars.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+
+
+def near_labels(edges: DataFrame) -> DataFrame:
+    """(node, component) for nodes with a smaller neighbour: one they can reach, often the smallest.
+
+    Edges have a < b. One step to the smallest neighbour and two jumps, not repeated until nothing
+    changes: nodes with equal labels are connected, while connected nodes may differ in their labels.
+    """
+    low = materialize(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "low")
+    step = low.select(F.col("node").alias("component"), F.col("component").alias("c"))
+    return low.join(step, "component", "left").select("node", F.coalesce("c", "component").alias("component")).join(step, "component", "left").select("node", F.coalesce("c", "component").alias("component"))

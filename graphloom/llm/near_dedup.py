@@ -24,19 +24,21 @@ null class; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, drop, hash_words, in_chunks, load, materialize, mix64, ngram_hashes, utf8
-from .components import components
+from .common import arrow_ready, drop, hash_words, in_chunks, load, materialize, mix64, narrow, ngram_hashes, utf8
+from .components import components, near_labels
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, WIDTH = 24, 4
 SMALL = 24
+#: Rows, and pairs to align, for one task.
+ROWS, PAIRS = 100_000, 1_000
 _RNG = np.random.Generator(np.random.PCG64(5))
 _XOR = _RNG.integers(0, 2**64, SKETCHES, np.uint64)[:, None]
 _MUL = (_RNG.integers(0, 2**64, SKETCHES, np.uint64) | np.uint64(1))[:, None]
@@ -158,7 +160,7 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) of ids that are links."""
+    """Those of pairs (a, b; a materialised table) of ids that are links."""
     arrow_ready(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
@@ -173,28 +175,26 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(similar(last[1], hash_words([texts[1][i]])[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return materialize(narrow(rows.select("a", "b", "ta", "tb"), pairs.count(), PAIRS).mapInArrow(run, "a long, b long"), "links")
 
 
 def mixed_rows(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of buckets that are in several classes, with c (their class)."""
     rows = buckets.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    return materialize(rows.join(mixed, "key"), "rows")
+    return materialize(narrow(rows.join(mixed, "key"), buckets.count(), ROWS), "rows")
 
 
-def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """comp (node, component) after more links (a, b): components of the classes that these join."""
-    links = materialize(links, "links")
-    if links.isEmpty():
-        return comp
+def joined(comp: DataFrame, links: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """comp (node, component) after more links (a, b): classes that these join get a common name by
+    merge, which maps edges (a, b), a < b, to (node, component)."""
     ends = comp.select(F.col("node"), F.col("component").alias("c"))
     e = links.join(ends.withColumnRenamed("node", "a"), "a", "left").withColumn("a", F.coalesce("c", "a")).drop("c")
     e = e.join(ends.withColumnRenamed("node", "b"), "b", "left").withColumn("b", F.coalesce("c", "b")).drop("c")
-    over = materialize(components(e, "a", "b"), "over")
+    over = materialize(merge(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "over")
     moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
     alone = over.join(comp.select("node"), "node", "left_anti").select("node", "component")
-    return materialize(moved.unionByName(alone), "classes")
+    return materialize(narrow(moved.unionByName(alone), comp.count() + over.count(), ROWS), "classes")
 
 
 def shingles(docs: DataFrame) -> DataFrame:
@@ -217,17 +217,17 @@ def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
     shares a shingle in both prefixes, and from the first one shared on enough are left in both.
     """
     texts = reps.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
-    each = materialize(shingles(texts).select("rep", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
+    each = materialize(shingles(narrow(texts, reps.count(), PAIRS)).select("rep", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
     often = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     # shingles of one text only come first in the order and can be in no pair
     sorted_ = each.join(often, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
     prefix = sorted_.withColumn("u", F.col("n") - F.size("o")).withColumn("o", F.expr("slice(o, 1, greatest(n - (4 * n + 4) div 5 + 1 - u, 0L))"))
     index = prefix.join(reps, "rep").select("rep", "c", "n", "u", F.posexplode("o").alias("i", "o")).select("rep", "c", "n", (F.col("n") - F.col("u") - F.col("i")).alias("rest"), F.col("o.s").alias("s"))
-    index = materialize(index, "index")
+    index = materialize(narrow(index, each.count(), ROWS), "index")
     x = index.select("s", *(F.col(k).alias(f"{k}_a") for k in ("rep", "c", "n", "rest")))
     y = index.select("s", *(F.col(k).alias(f"{k}_b") for k in ("rep", "c", "n", "rest")))
     both = x.join(y, "s").filter("rep_a < rep_b and c_a <> c_b and 9 * least(rest_a, rest_b) >= 4 * (n_a + n_b)")
-    return both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    return narrow(both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), index.count(), ROWS)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -236,15 +236,18 @@ def classes(docs: DataFrame) -> DataFrame:
     sk = materialize(sketches(docs).filter("doc_id is not null"), "sketch")
     same = sk.filter("n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("rep"))
     member = sk.select("doc_id", "f1", "f2", "n_words").join(same, ["f1", "f2", "n_words"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
-    member = materialize(member, "member")
+    n = sk.count()
+    member = materialize(narrow(member, n, ROWS), "member")
     reps = member.filter("doc_id = rep").select("rep")
     each = sk.join(reps, sk.doc_id == reps.rep, "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
     lead = each.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("lead < last")
-    buckets = materialize(each.join(lead.select("key", "lead", "size"), "key"), "buckets")
+    buckets = materialize(narrow(each.join(lead.select("key", "lead", "size"), "key"), SKETCHES * n, ROWS), "buckets")
     drop(sk)
-    pairs = materialize(buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
-    links = materialize(verify(pairs, docs), "links")
-    comp = components(links, "a", "b")
+    n = buckets.count()
+    pairs = materialize(narrow(buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), n, ROWS), "pairs")
+    links = verify(pairs, docs)
+    # until all links are known, names of classes only spare comparisons and need not be final
+    comp = materialize(near_labels(links), "classes")
     # what shares a bucket but no class yet: against a member drawn for that bucket, and in small
     # buckets every pair of classes
     rows = mixed_rows(buckets, comp)
@@ -252,12 +255,16 @@ def classes(docs: DataFrame) -> DataFrame:
     found = rows.join(heads, "key").filter("c <> head.c").select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b"))
     some = rows.filter(F.col("size").between(3, SMALL))
     found = found.unionByName(some.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(some.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b"))
-    pairs = materialize(found.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    comp = joined(comp, verify(pairs, docs))
+    pairs = materialize(narrow(found.distinct().join(pairs, ["a", "b"], "left_anti"), SMALL * n, ROWS), "pairs")
+    more = verify(pairs, docs)
+    comp = joined(comp, links.unionByName(more), near_labels)
     # larger buckets that are still in several classes: by the rarest shingles
     rows = mixed_rows(buckets.filter(F.col("size") > SMALL), comp)
+    links = links.unionByName(more)
     if not rows.isEmpty():
-        comp = joined(comp, verify(materialize(rare_pairs(rows.select("rep", "c").distinct(), docs), "pairs"), docs))
+        reps = materialize(narrow(rows.select("rep", "c").distinct(), rows.count(), ROWS), "reps")
+        links = links.unionByName(verify(materialize(rare_pairs(reps, docs), "pairs"), docs))
+    comp = joined(comp, links, lambda e: components(e, "a", "b"))
     named = member.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
     named = materialize(named.select("doc_id", F.coalesce("c", "rep").alias("class_id"), F.col("rep").alias("rep_id")), "classes")
     return named
