@@ -39,6 +39,8 @@ SKETCHES, WIDTH = 24, 4
 SMALL = 24
 #: Rows, and pairs to align, for one task.
 ROWS, PAIRS = 100_000, 1_000
+#: Counters (a power of two) of the frequencies that order the shingles.
+COUNTERS = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(5))
 _XOR = _RNG.integers(0, 2**64, SKETCHES, np.uint64)[:, None]
 _MUL = (_RNG.integers(0, 2**64, SKETCHES, np.uint64) | np.uint64(1))[:, None]
@@ -210,20 +212,48 @@ def shingles(docs: DataFrame) -> DataFrame:
     return docs.select("rep", "text").mapInArrow(run, "rep long, s array<long>")
 
 
+def prefixes(lists: DataFrame) -> DataFrame:
+    """(rep, n, rest, s): the n - ceil(0.8 n) + 1 first shingles of each text of lists (rep, s).
+
+    All texts are sorted by one order: by the count of all shingles that fall into the same of
+    COUNTERS counters, then by value. rest is the number of a text's shingles from s on. The counters
+    steer how many texts meet at a shingle, never which pairs are found, so that a table of a
+    fixed size does and the shingles themselves need not be shuffled to be counted.
+    """
+    mask = COUNTERS - 1
+    counts = lists.select(F.explode("s").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(mask)).cast("int").alias("k")).count()
+    got = counts.filter("count > 1").select("k", F.round(3 * F.log2("count")).cast("tinyint").alias("level")).toArrow()
+    level = np.zeros(COUNTERS, np.uint8)
+    level[got.column("k").to_numpy()] = got.column("level").to_numpy()
+    shared = lists.sparkSession.sparkContext.broadcast(level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[np.empty(0, np.int64)] for _ in range(4)]
+            for rep, g in zip(b.column(0).to_pylist(), b.column(1)):
+                g = g.values.to_numpy()
+                n = len(g)
+                if n:
+                    first = g[np.lexsort((g, shared.value[g & mask]))][: n - (4 * n + 4) // 5 + 1]
+                    for column, x in zip(out, (np.full(len(first), rep), np.full(len(first), n), n - np.arange(len(first)), first)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["rep", "n", "rest", "s"])
+
+    return lists.mapInArrow(run, "rep long, n long, rest long, s long")
+
+
 def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """All pairs (a, b) of reps (rep, c) of different c that may reach SIMILARITY, by prefix filtering.
 
-    Shingles are ordered by the number of texts that hold them. A pair that reaches the similarity
-    shares a shingle in both prefixes, and from the first one shared on enough are left in both.
+    A pair that reaches the similarity shares a shingle in both prefixes, and from the first one
+    shared on enough are left in both.
     """
     texts = reps.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
-    each = materialize(shingles(narrow(texts, reps.count(), PAIRS)).select("rep", F.size("s").alias("n"), F.explode("s").alias("s")), "shingles")
-    often = each.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    # shingles of one text only come first in the order and can be in no pair
-    sorted_ = each.join(often, "s").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("o"))
-    prefix = sorted_.withColumn("u", F.col("n") - F.size("o")).withColumn("o", F.expr("slice(o, 1, greatest(n - (4 * n + 4) div 5 + 1 - u, 0L))"))
-    index = prefix.join(reps, "rep").select("rep", "c", "n", "u", F.posexplode("o").alias("i", "o")).select("rep", "c", "n", (F.col("n") - F.col("u") - F.col("i")).alias("rest"), F.col("o.s").alias("s"))
-    index = materialize(narrow(index, each.count(), ROWS), "index")
+    lists = materialize(shingles(narrow(texts, reps.count(), PAIRS)), "shingles")
+    index = materialize(prefixes(lists).join(reps, "rep"), "index")
+    # a shingle of one class only is in no pair
+    met = index.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("s")
+    index = materialize(narrow(index.join(met, "s", "left_semi"), index.count(), ROWS), "index")
     x = index.select("s", *(F.col(k).alias(f"{k}_a") for k in ("rep", "c", "n", "rest")))
     y = index.select("s", *(F.col(k).alias(f"{k}_b") for k in ("rep", "c", "n", "rest")))
     both = x.join(y, "s").filter("rep_a < rep_b and c_a <> c_b and 9 * least(rest_a, rest_b) >= 4 * (n_a + n_b)")
