@@ -200,20 +200,20 @@ def joined(comp: DataFrame, links: DataFrame, merge: Callable[[DataFrame], DataF
 
 
 def shingles(docs: DataFrame) -> DataFrame:
-    """rep and list of occurrence-labelled shingles of docs (rep, text)."""
+    """rep, c and list of occurrence-labelled shingles of docs (rep, c, text)."""
     arrow_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lists = [labelled(ngram_hashes(hash_words([t])[0], SHINGLE)).view(np.int64) for t in utf8(b.column(1))]
+            lists = [labelled(ngram_hashes(hash_words([t])[0], SHINGLE)).view(np.int64) for t in utf8(b.column(2))]
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["rep", "s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*lists, np.empty(0, np.int64)])))], names=["rep", "c", "s"])
 
-    return docs.select("rep", "text").mapInArrow(run, "rep long, s array<long>")
+    return docs.select("rep", "c", "text").mapInArrow(run, "rep long, c long, s array<long>")
 
 
 def prefixes(lists: DataFrame) -> DataFrame:
-    """(rep, n, rest, s): the n - ceil(0.8 n) + 1 first shingles of each text of lists (rep, s).
+    """(rep, c, n, rest, s): the n - ceil(0.8 n) + 1 first shingles of each text of lists (rep, c, s).
 
     All texts are sorted by one order: by the count of all shingles that fall into the same of
     COUNTERS counters, then by value. rest is the number of a text's shingles from s on. The counters
@@ -229,17 +229,17 @@ def prefixes(lists: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [[np.empty(0, np.int64)] for _ in range(4)]
-            for rep, g in zip(b.column(0).to_pylist(), b.column(1)):
+            out = [[np.empty(0, np.int64)] for _ in range(5)]
+            for rep, c, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 g = g.values.to_numpy()
                 n = len(g)
                 if n:
                     first = g[np.lexsort((g, shared.value[g & mask]))][: n - (4 * n + 4) // 5 + 1]
-                    for column, x in zip(out, (np.full(len(first), rep), np.full(len(first), n), n - np.arange(len(first)), first)):
+                    for column, x in zip(out, (np.full(len(first), rep), np.full(len(first), c), np.full(len(first), n), n - np.arange(len(first)), first)):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["rep", "n", "rest", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["rep", "c", "n", "rest", "s"])
 
-    return lists.mapInArrow(run, "rep long, n long, rest long, s long")
+    return lists.mapInArrow(run, "rep long, c long, n long, rest long, s long")
 
 
 def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """
     texts = reps.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
     lists = materialize(shingles(narrow(texts, reps.count(), PAIRS)), "shingles")
-    index = materialize(prefixes(lists).join(reps, "rep"), "index")
+    index = materialize(prefixes(lists), "index")
     # a shingle of one class only is in no pair
     met = index.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("s")
     index = materialize(narrow(index.join(met, "s", "left_semi"), index.count(), ROWS), "index")
