@@ -159,6 +159,39 @@ def test_licenses(spark):
     assert {r["doc_id"]: r["licenses"] for r in licenses.scan(d).collect()} == {1: "mit", 2: "unknown", 3: "", 4: ""}
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 A. Writer
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def test_wrapped_licenses(spark):
+    narrow = "\n".join(re.findall(r"\S.{0,38}(?:\s|$)", GPL.replace("# ", "").replace("3 of", "2 of").replace("\n", " ")))
+    texts = [MIT, GPL, BSD, ISC, MIT.split("\n\n")[2] + "\n" + BSD, narrow, GPL.replace("General", "Affero General"), "Some words here.\n" + GPL + "\n#\n# All rights reserved.", "All rights reserved.\nReleased under the MIT License.\nAll rights reserved."]
+    names = ["CC BY-SA 4.0", "GPL-3.0", "Apache-2.0", "code under GPLv2 here", "CC BY-NC-SA 4.0", "sent cc by mail"]
+    d = spark.createDataFrame(list(enumerate(texts + names)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["licenses"], r["n_paragraphs"]) for r in licenses.scan(d).collect()}
+    want = [("mit,unknown", 3), ("gpl-3.0", 1), ("bsd", 1), ("isc", 1), ("bsd,mit", 2), ("gpl-2.0", 1), ("unknown", 3), ("gpl-3.0,unknown", 2), ("mit,unknown", 3)]
+    want += [("cc-by-sa-4.0", 1), ("gpl-3.0", 1), ("apache-2.0", 1), ("gpl-2.0", 1), ("unknown", 1), ("", 0)]
+    assert got == dict(enumerate(want))
+
+
 def test_near_dedup_large_family(spark):
     """A family around the threshold, larger than SMALL: the classes are those of brute force."""
     from graphloom.llm.common import hash_words
