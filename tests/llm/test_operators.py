@@ -217,3 +217,24 @@ def test_near_dedup_large_family(spark):
     everything = spark.createDataFrame([(i, i) for i in range(len(texts))], "rep long, c long")
     found = {(r["a"], r["b"]) for r in near_dedup.rare_pairs(everything, docs).collect()}
     assert {(j, i) for i in range(len(texts)) for j in range(i) if near_dedup.similar(words[i], words[j])} <= found
+
+
+def test_mixing_reaches_targets(spark, recwarn):
+    """Soft posteriors and a small favoured share cut many rates at 0; the targets are met all the same."""
+    rng = random.Random(5)
+    out = []
+    for _ in range(3000):
+        z = [rng.gauss(0, 1) for _ in range(3)]
+        z[rng.choices(range(3), (0.3, 0.5, 0.2))[0]] += 2.5
+        e = [2.718281828459045**x for x in z]
+        out.append((rng.randrange(10, 500), [x / sum(e) for x in e]))
+    t = spark.createDataFrame(out, "n_tokens long, p array<double>").cache()
+    domains = ["good", "junk", "toxic"]
+    rates = [r["r"] for r in t.select(mixing._rate(mixing.fit_rates(t, domains, mixing.TARGETS)).alias("r")).collect()]
+    total = sum(n for n, _ in out)
+    for k, d in enumerate(domains):
+        assert abs(sum(n * r * p[k] for (n, p), r in zip(out, rates)) / total - mixing.TARGETS[d]) < 1e-6
+    assert min(rates) == 0 and not [w for w in recwarn if "mixing" in str(w.message)]
+    flat = t.limit(50).selectExpr("n_tokens", "array(0.5D, 0.3D, 0.2D) p").cache()
+    with pytest.warns(UserWarning, match="missed by up to"):
+        mixing.fit_rates(flat, domains, mixing.TARGETS)
