@@ -3,7 +3,9 @@
 For each language a suffix automaton of labelled text is built. A text is parsed into the
 longest phrases that occur in a language's training text; the language that needs the fewest
 phrases for each symbol wins. The automata are dense transition tables, and texts are cut in
-blocks of BLOCK symbols that are parsed side by side, one symbol of every block at a time.
+blocks of BLOCK symbols that are parsed side by side, one symbol of every block at a time. Up to
+SYMBOLS - 2 letters have a symbol each; where training saw more, the SINGLES most frequent keep one
+and each other letter is a sequence of two to four symbols of its own, so that no letter is lost.
 
 Defined results: a null text and a text without any letter give `und` with score 0; repeated
 rows and ties give the same answer each time (ties go to the language that sorts first); with
@@ -24,39 +26,54 @@ from .common import arrow_ready, crc_mod_col, in_chunks
 
 UND = "und"
 BLOCK = 256
-#: Bounds of training: symbols of each language, languages, and the longest text in the sample.
-TRAIN_SYMBOLS, MAX_LANGS, TRAIN_TEXT, TRAIN_DOCS = 30_000, 64, 20_000, 400
+#: Bounds of training: symbols of each language, languages that get so many (of more, all share
+#: as many symbols as these have together), and the longest text in the sample.
+TRAIN_SYMBOLS, FULL_LANGS, TRAIN_TEXT, TRAIN_DOCS = 30_000, 64, 20_000, 400
 SYMBOLS = 64  # 0: between words (and padding), 63: letters that training hasn't seen
+#: Of an alphabet with sequences: letters with a symbol of their own, and the first symbols of
+#: sequences of two, three and four. The 32 symbols after the SINGLES fill the other places.
+SINGLES, FIRSTS = 30, (13, 14, 5)
 
 
 class Alphabet:
-    """Maps letters to small codes; every run of other characters is one word break."""
+    """Maps letters (most frequent first) to small codes; every run of other characters is one word break."""
 
     def __init__(self, letters: str):
         self.letters = letters
-        self.lut = np.full(65_536, -1, np.int8)
         if not hasattr(Alphabet, "_is_letter"):
-            Alphabet._is_letter = np.fromiter((chr(i).isalpha() for i in range(65_536)), bool, 65_536)
-        self.lut[~Alphabet._is_letter] = 0
-        self.lut[Alphabet._is_letter] = SYMBOLS - 1
-        for i, c in enumerate(letters):
-            self.lut[ord(c)] = i + 1
+            Alphabet._is_letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+        #: row of self.symbols by code point: 0 word break, 1 a letter not seen, 2 and on the letters
+        self.lut = self._is_letter.astype(np.int32)
+        self.lut[np.frombuffer(letters.encode("utf-32-le"), np.uint32)] = np.arange(2, len(letters) + 2)
+        self.symbols, self.size = np.zeros((len(letters) + 2, 4), np.int8), np.ones(len(letters) + 2, np.int64)
+        self.symbols[1, 0] = SYMBOLS - 1
+        single = len(letters) if len(letters) <= SYMBOLS - 2 else SINGLES
+        # symbols of single letters follow the order of the letters
+        for k, c in enumerate(sorted(letters[:single])):
+            self.symbols[self.lut[ord(c)], 0] = k + 1
+        digits, start, at, n = SYMBOLS - 2 - SINGLES, SINGLES + 1, single + 2, 2
+        for firsts in FIRSTS:
+            rank = np.arange(min(firsts * digits ** (n - 1), len(self.symbols) - at))
+            for k in range(n):
+                first = 0 if k else start - SINGLES - 1
+                self.symbols[at + rank, k] = SINGLES + 1 + first + rank // digits ** (n - 1 - k) % digits
+            self.size[at + rank] = n
+            start, at, n = start + firsts, at + len(rank), n + 1
 
     @staticmethod
     def learn(texts: list[str]) -> Alphabet:
-        n = Counter(c for t in texts for c in t.lower() if c.isalpha() and ord(c) < 65_536)
-        return Alphabet("".join(sorted(c for c, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2])))
+        n = Counter(c for t in texts for c in t.lower() if c.isalpha())
+        return Alphabet("".join(c for c, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))))
 
     def codes(self, text: str) -> np.ndarray:
         """Symbol codes of a text, with one 0 for each run of characters that aren't letters."""
-        p = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        c = self.lut[np.minimum(p, 65_535)]
-        high = p > 65_535
-        if high.any():
-            c[high] = [SYMBOLS - 1 if chr(x).isalpha() else 0 for x in p[high].tolist()]
-        keep = c != 0
-        keep[1:] |= c[:-1] != 0
-        return c[keep]
+        p = self.lut[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        keep = p != 0
+        keep[1:] |= p[:-1] != 0
+        p = p[keep]
+        if len(self.letters) <= SYMBOLS - 2:
+            return self.symbols[p, 0]
+        return self.symbols[p][np.arange(4) < self.size[p][:, None]]
 
 
 def automaton(codes: np.ndarray) -> np.ndarray:
@@ -135,7 +152,8 @@ class Model:
     def build(self) -> Model:
         if self.tables is None:
             self.alphabet = Alphabet(self.letters)
-            self.tables = [automaton(self.alphabet.codes(s)[:TRAIN_SYMBOLS]) for s in self.samples]
+            most = min(TRAIN_SYMBOLS, FULL_LANGS * TRAIN_SYMBOLS // max(1, len(self.samples)))
+            self.tables = [automaton(self.alphabet.codes(s)[:most]) for s in self.samples]
         return self
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -163,18 +181,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     The sample is bounded: about TRAIN_DOCS texts of each language, taken by a hash of the
     text among those of TRAIN_TEXT characters at most, until TRAIN_SYMBOLS characters are
-    reached; MAX_LANGS languages (the most frequent).
+    reached; every language that has a label.
     """
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null").filter(f"length(t) between 1 and {TRAIN_TEXT}")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
+    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").collect()
     if not counts:
         return Model("", [], [])
     h = F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / 1_000_003.0
-    take = F.lit(False)
-    for r in counts:
-        take = take | ((F.col("l") == r["l"]) & (h < TRAIN_DOCS / max(1, r["count"])))
+    # a row for each language: small enough to be sent to all
+    parts = docs.sparkSession.createDataFrame([(r["l"], TRAIN_DOCS / max(1, r["count"])) for r in counts], "l string, part double")
+    taken = rows.join(F.broadcast(parts), "l").filter(h < F.col("part")).select("l", "t")
     by: dict[str, list[str]] = {}
-    for l, t in sorted(rows.filter(take).select("l", "t").collect(), key=lambda r: (r[0], len(r[1]), r[1])):
+    for l, t in sorted(taken.collect(), key=lambda r: (r[0], len(r[1]), r[1])):
         by.setdefault(l, []).append(t)
     langs, samples = sorted(by), []
     budget = 2 * TRAIN_SYMBOLS

@@ -238,3 +238,16 @@ def test_mixing_reaches_targets(spark, recwarn):
     flat = t.limit(50).selectExpr("n_tokens", "array(0.5D, 0.3D, 0.2D) p").cache()
     with pytest.warns(UserWarning, match="missed by up to"):
         mixing.fit_rates(flat, domains, mixing.TARGETS)
+
+
+def test_language_id_keeps_every_letter_and_language(spark):
+    """70 languages, 1400 letters, some above U+FFFF: each language is told by its own letters."""
+    rng = random.Random(3)
+    starts = [(0x4E00 if k % 2 else 0x20000) + 20 * k for k in range(70)]
+    out = [(100 * k + i, " ".join("".join(chr(s + rng.randrange(20)) for _ in range(3)) for _ in range(30)), f"l{k:02}") for k, s in enumerate(starts) for i in range(9)]
+    d = spark.createDataFrame(out, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.op2(spark, d).collect()}
+    assert got == {i: l for i, _, l in out}
+    letters = "".join(filter(str.isalpha, map(chr, range(0x110000))))
+    a = language_id.Alphabet(letters)
+    assert len({tuple(x[:n]) for x, n in zip(a.symbols[2:].tolist(), a.size[2:].tolist())}) == len(letters)
