@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zipfile
 import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -27,13 +29,15 @@ BATCH_BYTES = "4m"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Only a session of one machine (tests) that names none gets a local folder; on a cluster that is an error.
     """
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="graphloom-checkpoints-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="graphloom-checkpoints-"))
+        at = sc.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -44,9 +48,37 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(out)
     return out
 
 
+#: Tables written in each open scope().
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables of materialize() that were written in it, but for those given to what it
+    yields, which stay until an outer scope ends. Nothing may be read from the others later."""
+    _SCOPES.append([])
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        stay = {t._graphloom_path for t in kept}
+        for t in _SCOPES.pop():
+            if t._graphloom_path not in stay:
+                drop(t)
+            elif _SCOPES:
+                _SCOPES[-1].append(t)
+
+
 def narrow(df: DataFrame, rows: int, per_task: int) -> DataFrame:
     """df in tasks of about per_task rows, where a small result would else be cut into many tasks
     and files; a result with enough rows keeps its partitions. rows is a bound that was counted."""
@@ -62,6 +94,35 @@ def drop(df: DataFrame) -> None:
         jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with `__key`, a long of its own for each row, and whether that is simply doc_id.
+
+    Where an id is null or stands on several rows, rows are numbered, and docs are written so that
+    every later reading sees the same numbers.
+    """
+    if docs.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        return docs.withColumn("__key", F.col("doc_id")), True
+    return materialize(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed"), False
+
+
+#: A key of a join is hot when it holds more than one in PARTS of the rows.
+PARTS = 256
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows: int, how: str = "left") -> DataFrame:
+    """left joined with right, in which each key stands once with n, its number of rows in left.
+
+    Keys with more than rows / PARTS rows (of which there are at most PARTS) are dealt by the column
+    `spread` of left to that many more tasks, and their row of right is repeated for each.
+    """
+    most = max(1, -(-rows // PARTS))
+    salts = F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(1).cast("int")
+    # at most PARTS rows, as the counts of different keys add up to no more than rows
+    hot = F.broadcast(right.filter(F.col("n") > most).select(*on, salts.alias("__salts")))
+    dealt = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
+    return dealt.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), [*on, "__salt"], how).drop("__salt")
+
+
 def arrow_ready(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, so that memory does not follow the length of texts,
     and send the package to the Python workers (once for each context)."""
@@ -92,14 +153,11 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def hash64(data: str, seed: int = 0) -> int:
-    return xxhash.xxh3_64_intdigest(data.encode("utf-8", "surrogatepass"), seed)
-
-
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-_BYTE = np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, 256, np.uint64)
 _R, _R_INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _POWERS: dict[int, np.ndarray] = {}
+#: Bytes up to which words are hashed side by side, eight bytes at a time.
+SIDE_BY_SIDE = 64
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -112,10 +170,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return got[:n]
 
 
-def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: list[bytes | None], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and the bounds of each text's words.
 
-    A word's hash is a polynomial of its bytes, cut out of running sums over all the bytes.
+    A word's hash mixes its bytes, eight at a time, into a state that starts from seed and length,
+    so that no arrangement of equal parts cancels out; long words are hashed one by one.
     """
     joined = b"\n".join(t or b"" for t in texts) + b"\n"
     buf = np.frombuffer(joined, np.uint8)
@@ -125,11 +184,22 @@ def hash_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     np.not_equal(space[1:], space[:-1], out=edge[1:])
     at = np.flatnonzero(edge)
     first, last = at[::2], at[1::2]
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * _powers(_R, len(buf)), out=sums[1:])
-    h = mix64((sums[last] - sums[first]) * _powers(_R_INV, len(buf))[first])
+    size = last - first
+    h = mix64(size.astype(np.uint64) * np.uint64(_R) + np.uint64((seed * 0xD1B54A32D192ED03 + 0x8BB84B93962EACC9) % 2**64))
+    padded = joined + b"\0" * 8
+    eights = np.ndarray((len(joined),), "<u8", padded, strides=(1,))
+    some = np.flatnonzero(size <= SIDE_BY_SIDE)
+    for at in range(0, SIDE_BY_SIDE, 8):
+        some = some[size[some] > at] if at else some
+        if not len(some):
+            break
+        left = np.minimum(size[some] - at, 8).astype(np.uint64)
+        part = eights[first[some] + at] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        h[some] = mix64(h[some] ^ part) + np.uint64(_R)
+    for i in np.flatnonzero(size > SIDE_BY_SIDE).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(joined[first[i] : last[i]], seed)
     ends = np.cumsum([len(t or b"") + 1 for t in texts])
-    return h, np.concatenate([[0], np.searchsorted(first, ends)])
+    return mix64(h), np.concatenate([[0], np.searchsorted(first, ends)])
 
 
 def in_chunks(texts: list[bytes | str | None], size: int = 500_000):

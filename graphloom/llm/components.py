@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 No step gathers a component, a neighbourhood or an edge list in one task: each is a min per
-node (combined before the shuffle) joined back, which AQE splits where a node is hot.
+node (combined before the shuffle) joined back, with the rows of a node of many edges dealt to
+many tasks.
 """
 
 from __future__ import annotations
@@ -9,22 +10,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, materialize, narrow
+from .common import drop, hot_join, materialize, narrow
 
 #: Edges for one task.
 EDGES = 100_000
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, rows: int) -> DataFrame:
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+    return hot_join(both.filter("v > u"), low, ["u"], "v", rows, "inner").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a <> b")
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, rows: int) -> DataFrame:
     # edges have a < b: every b links its smaller neighbours and itself to the smallest of them
-    low = e.groupBy("b").agg(F.min("a").alias("m"))
-    moved = e.join(low, "b").filter("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
+    low = e.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
+    moved = hot_join(e, low, ["b"], "a", rows, "inner").filter("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
     return low.select(F.col("m").alias("x"), F.col("b").alias("y")).unionByName(moved).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -45,7 +46,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
     for _ in range(max_rounds):
         if _all_stars(e):
             break
-        n = materialize(narrow(_small_star(_large_star(e)), most, EDGES), "cc")
+        n = materialize(narrow(_small_star(_large_star(e, most), most), most, EDGES), "cc")
         drop(e)
         e = n
     else:
@@ -61,5 +62,9 @@ def near_labels(edges: DataFrame) -> DataFrame:
     changes: nodes with equal labels are connected, while connected nodes may differ in their labels.
     """
     low = materialize(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")), "low")
-    step = low.select(F.col("node").alias("component"), F.col("component").alias("c"))
-    return low.join(step, "component", "left").select("node", F.coalesce("c", "component").alias("component")).join(step, "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    rows = low.count()
+    step, out = low.select(F.col("node").alias("component"), F.col("component").alias("c")), low
+    for _ in range(2):
+        uses = out.groupBy("component").agg(F.count("*").alias("n"))
+        out = hot_join(out, step.join(uses, "component"), ["component"], "node", rows).select("node", F.coalesce("c", "component").alias("component"))
+    return out

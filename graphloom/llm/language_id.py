@@ -1,15 +1,21 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton of labelled text is built. A text is parsed into the
+For each language a suffix automaton of labelled text is built. A whole text is parsed into the
 longest phrases that occur in a language's training text; the language that needs the fewest
-phrases for each symbol wins. The automata are dense transition tables, and texts are cut in
-blocks of BLOCK symbols that are parsed side by side, one symbol of every block at a time. Up to
-SYMBOLS - 2 letters have a symbol each; where training saw more, the SINGLES most frequent keep one
-and each other letter is a sequence of two to four symbols of its own, so that no letter is lost.
-
-Defined results: a null text and a text without any letter give `und` with score 0; repeated
-rows and ties give the same answer each time (ties go to the language that sorts first); with
-no labelled row at all every text is `und`; extra columns of the input are ignored.
+phrases for each symbol, each priced at the logarithm of the training text's length, wins. A symbol
+is a letter (every letter that training saw has its own) or the break between two words; a symbol
+that the training text doesn't have is a phrase of its own.
+
+The automata are built on the driver as compact arrays: a transition of state s by symbol c stands
+at place s + c of one array, together with s. The parse of a text is worked out in blocks side by
+side: each block is first parsed as if a phrase began with it; then the phrase that truly enters a
+block is followed until it ends where the first parse has a phrase end, too, which is done again for
+blocks whose entry changed by that. The number of phrases is that of one parse from the start.
+
+Defined results: a null text and a text without any letter give `und` with score 0; repeated rows
+and ids give the same answer each time (ties go to the language that sorts first); with no labelled
+row at all every text is `und`; an empty table gives no rows; extra columns are ignored by op2 and
+kept by keep_known, whatever their names (names that begin with two underscores are reserved).
 """
 
 from __future__ import annotations
@@ -19,69 +25,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, crc_mod_col, in_chunks
+from .common import arrow_ready, crc_mod_col, drop, in_chunks, load, materialize
 
 UND = "und"
+#: Symbols of a block; it changes no result.
 BLOCK = 256
 #: Bounds of training: symbols of each language, languages that get so many (of more, all share
-#: as many symbols as these have together), and the longest text in the sample.
-TRAIN_SYMBOLS, FULL_LANGS, TRAIN_TEXT, TRAIN_DOCS = 30_000, 64, 20_000, 400
-SYMBOLS = 64  # 0: between words (and padding), 63: letters that training hasn't seen
-#: Of an alphabet with sequences: letters with a symbol of their own, and the first symbols of
-#: sequences of two, three and four. The 32 symbols after the SINGLES fill the other places.
-SINGLES, FIRSTS = 30, (13, 14, 5)
+#: as many symbols as these have together), characters used of one text, texts of a language.
+TRAIN_SYMBOLS, FULL_LANGS, TRAIN_TEXT, TRAIN_DOCS = 60_000, 64, 20_000, 400
 
 
 class Alphabet:
-    """Maps letters (most frequent first) to small codes; every run of other characters is one word break."""
+    """Maps letters (most frequent first) to codes from 2 on; 1 is a letter that training hasn't
+    seen, and every run of other characters is one 0."""
 
     def __init__(self, letters: str):
         self.letters = letters
         if not hasattr(Alphabet, "_is_letter"):
             Alphabet._is_letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        #: row of self.symbols by code point: 0 word break, 1 a letter not seen, 2 and on the letters
         self.lut = self._is_letter.astype(np.int32)
         self.lut[np.frombuffer(letters.encode("utf-32-le"), np.uint32)] = np.arange(2, len(letters) + 2)
-        self.symbols, self.size = np.zeros((len(letters) + 2, 4), np.int8), np.ones(len(letters) + 2, np.int64)
-        self.symbols[1, 0] = SYMBOLS - 1
-        single = len(letters) if len(letters) <= SYMBOLS - 2 else SINGLES
-        # symbols of single letters follow the order of the letters
-        for k, c in enumerate(sorted(letters[:single])):
-            self.symbols[self.lut[ord(c)], 0] = k + 1
-        digits, start, at, n = SYMBOLS - 2 - SINGLES, SINGLES + 1, single + 2, 2
-        for firsts in FIRSTS:
-            rank = np.arange(min(firsts * digits ** (n - 1), len(self.symbols) - at))
-            for k in range(n):
-                first = 0 if k else start - SINGLES - 1
-                self.symbols[at + rank, k] = SINGLES + 1 + first + rank // digits ** (n - 1 - k) % digits
-            self.size[at + rank] = n
-            start, at, n = start + firsts, at + len(rank), n + 1
 
     @staticmethod
     def learn(texts: list[str]) -> Alphabet:
         n = Counter(c for t in texts for c in t.lower() if c.isalpha())
         return Alphabet("".join(c for c, _ in sorted(n.items(), key=lambda x: (-x[1], x[0]))))
 
+    @property
+    def size(self) -> int:
+        return len(self.letters) + 2
+
     def codes(self, text: str) -> np.ndarray:
-        """Symbol codes of a text, with one 0 for each run of characters that aren't letters."""
         p = self.lut[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
         keep = p != 0
         keep[1:] |= p[:-1] != 0
-        p = p[keep]
-        if len(self.letters) <= SYMBOLS - 2:
-            return self.symbols[p, 0]
-        return self.symbols[p][np.arange(4) < self.size[p][:, None]]
-
-
-def automaton(codes: np.ndarray) -> np.ndarray:
-    """The suffix automaton of a code sequence as a dense table (states x SYMBOLS).
-
-    An entry holds the next state; where the automaton has no transition, it holds the state
-    after restarting at the root, with the sign bit set: a phrase ended before this symbol.
-    """
+        return p[keep]
+
+
+class Automaton:
+    """A suffix automaton in one array. State s has a transition by c where entries[s + c] >> 32 is
+    s; its lower half is the next state. From `dead` there is no transition; first[c] is the state
+    after a phrase that begins with c."""
+
+    def __init__(self, codes: np.ndarray, symbols: int):
+        nxt = _transitions(codes)
+        self.length = len(codes)
+        base, last = _places(nxt)
+        self.dead = last + 1
+        self.entries = np.full(self.dead + symbols + 1, -1, np.int64)
+        state = [self.dead if b is None else b for b in base]
+        for s, d in enumerate(nxt):
+            for c, t in d.items():
+                self.entries[base[s] + c] = (base[s] << 32) | state[t]
+        self.first = np.full(symbols, self.dead, np.int64)
+        for c, t in nxt[0].items():
+            self.first[c] = state[t]
+
+
+def _transitions(codes: np.ndarray) -> list[dict[int, int]]:
+    """The transitions of each state of the suffix automaton of a sequence; state 0 is the root."""
     nxt: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -108,66 +113,145 @@ def automaton(codes: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    root = np.zeros(SYMBOLS, np.int64)
-    for c, s in nxt[0].items():
-        root[c] = s
-    table = np.tile((root | (1 << 31)).astype(np.uint32).view(np.int32), (len(nxt), 1))
-    states = np.repeat(np.arange(len(nxt)), [len(d) for d in nxt])
-    table[states, [c for d in nxt for c in d]] = [s for d in nxt for s in d.values()]
-    return table
-
-
-def phrases(table: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Number of phrases of each text codes[starts[i]:starts[i + 1]], parsed in blocks."""
-    n = np.diff(starts)
-    blocks = -(-n // BLOCK)
-    doc = np.repeat(np.arange(len(n)), blocks)
-    first = starts[:-1][doc] + BLOCK * (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    size = np.minimum(BLOCK, starts[1:][doc] - first)
-    order = np.argsort(-size, kind="stable")
-    first, size, doc = first[order], size[order], doc[order]
-    flat = np.ascontiguousarray(table).ravel()
-    state = np.zeros(len(first), np.int32)
-    count = np.ones(len(first), np.int32)
-    active = len(first)
-    stop = np.searchsorted(-size, -np.arange(BLOCK), side="left")  # blocks longer than t
-    for t in range(int(size[0]) if len(size) else 0):
-        active = int(stop[t])
-        s = flat[(state[:active] << 6) + codes[first[:active] + t]]
-        count[:active] += s < 0
-        state[:active] = s & 0x7FFFFFFF
-    return np.bincount(doc, count, len(n))
+    return nxt
+
+
+def _places(nxt: list[dict[int, int]]) -> tuple[list[int | None], int]:
+    """A base for every state with transitions, so that no two transitions share a place and no two
+    states a base; and the last place taken. States with many transitions come first; the search
+    goes on from where it last had to try often, so that it takes no long ways over full places."""
+    base: list[int | None] = [None] * len(nxt)
+    taken, bases = set(), set()
+    low = 0
+    for s in sorted((i for i, d in enumerate(nxt) if d), key=lambda i: (-len(nxt[i]), i)):
+        own = sorted(nxt[s])
+        at = start = max(0, low - own[0])
+        while at in bases or any(at + c in taken for c in own):
+            at += 1
+        if at - start > 24:
+            low = max(low, at + own[0] - 8)
+        while low in taken:
+            low += 1
+        base[s] = at
+        bases.add(at)
+        taken.update(at + c for c in own)
+    return base, max(taken, default=0)
+
+
+class Blocks:
+    """Codes of texts (codes[starts[i]:starts[i + 1]], int64) cut into blocks, the longest first."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray):
+        self.codes, self.texts = codes, len(starts) - 1
+        n = np.diff(starts)
+        blocks = -(-n // BLOCK)
+        doc = self.doc = np.repeat(np.arange(len(n)), blocks)
+        first = self.first = starts[:-1][doc] + BLOCK * (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        self.stop = starts[1:][doc]
+        end = self.end = np.minimum(first + BLOCK, self.stop)
+        self.order = np.argsort(first - end, kind="stable")
+        sizes = (end - first)[self.order]
+        self.active = np.searchsorted(-sizes, -np.arange(BLOCK), side="left").tolist()
+        most = int(sizes[0]) if len(sizes) else 0
+        padded = np.concatenate([codes, np.zeros(BLOCK, codes.dtype)])
+        view = np.lib.stride_tricks.sliding_window_view(padded, max(most, 1))[first[self.order]]
+        #: row t: symbol t of every block
+        self.columns = np.ascontiguousarray(view.T[:most])
+
+
+def phrases(a: Automaton, b: Blocks) -> np.ndarray:
+    """Number of phrases of each text."""
+    entries, first_state, dead = a.entries, a.first, a.dead
+    codes, doc, first, stop, end, order = b.codes, b.doc, b.first, b.stop, b.end, b.order
+
+    def step(state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase begins at these places, and the states after them."""
+        c = codes[at]
+        e = entries[state + c]
+        fresh = (e >> 32) != state
+        return fresh, np.where(fresh, first_state[c], e & 0xFFFFFFFF)
+
+    # each block as if a phrase began with it, one symbol of all at a time
+    state = np.full(len(order), dead, np.int64)
+    begins = np.zeros((len(order), len(b.columns)), bool)
+    here, found, other = (np.empty(len(order), np.int64) for _ in range(3))
+    for t, c in enumerate(b.columns):
+        k = b.active[t]
+        c, s, e, o = c[:k], state[:k], found[:k], other[:k]
+        np.add(s, c, out=here[:k])
+        entries.take(here[:k], out=e, mode="clip")
+        np.right_shift(e, 32, out=o)
+        fresh = np.not_equal(o, s)
+        np.bitwise_and(e, 0xFFFFFFFF, out=s)
+        first_state.take(c, out=o, mode="clip")
+        np.copyto(s, o, where=fresh)
+        begins[:k, t] = fresh
+    mark = np.zeros(len(codes) + BLOCK, bool)
+    k, t = np.divmod(np.flatnonzero(begins), max(1, begins.shape[1]))
+    mark[first[order][k] + t] = True
+    # its last phrase goes on behind the block
+    leave = np.empty(len(first), np.int64)
+    run, at, state = order, end[order], state
+    while len(run):
+        over = at >= stop[run]
+        leave[run[over]] = stop[run[over]]
+        run, at, state = run[~over], at[~over], state[~over]
+        fresh, nxt = step(state, at)
+        leave[run[fresh]] = at[fresh]
+        run, at, state = run[~fresh], at[~fresh] + 1, nxt[~fresh]
+    before = np.concatenate([[0], np.cumsum(mark)])  # marks before a place
+    count, alone = before[end] - before[first], leave.copy()
+    entry, follows = first.copy(), np.concatenate([[False], doc[1:] == doc[:-1]])[: len(doc)]
+    while True:
+        now = np.where(follows, np.concatenate([[0], leave[:-1]])[: len(leave)], first)
+        run = np.flatnonzero(now != entry)
+        if not len(run):
+            break
+        entry = now
+        at, state, got = entry[run], np.full(len(run), dead, np.int64), np.zeros(len(run), np.int64)
+        while len(run):
+            done = at >= stop[run]
+            leave[run[done]], count[run[done]] = stop[run[done]], got[done]
+            run, at, state, got = run[~done], at[~done], state[~done], got[~done]
+            if not len(run):
+                break
+            fresh, nxt = step(state, at)
+            out = fresh & (at >= end[run])
+            leave[run[out]], count[run[out]] = at[out], got[out]
+            met = fresh & ~out & mark[at]
+            leave[run[met]], count[run[met]] = alone[run[met]], got[met] + before[end[run[met]]] - before[at[met]]
+            go = ~(out | met)
+            run, at, state, got = run[go], at[go] + 1, nxt[go], (got + fresh)[go]
+    return np.bincount(doc, count, b.texts).astype(np.int64)
 
 
 class Model:
     """Automata of all languages; predict() takes texts and gives names and scores."""
 
-    def __init__(self, letters: str, langs: list[str], samples: list[str]):
-        self.letters, self.langs, self.samples = letters, langs, samples
-        self.tables: list[np.ndarray] | None = None
+    def __init__(self, langs: list[str], samples: list[str], symbols: int = TRAIN_SYMBOLS):
+        self.langs = langs
+        alphabet = Alphabet.learn(samples)
+        self.letters = alphabet.letters
+        most = min(symbols, FULL_LANGS * symbols // max(1, len(samples)))
+        self.automata = [Automaton(alphabet.codes(s)[:most], alphabet.size) for s in samples]
+        self.alphabet: Alphabet | None = alphabet
 
     def __getstate__(self) -> dict:
-        return {"letters": self.letters, "langs": self.langs, "samples": self.samples, "tables": None}
-
-    def build(self) -> Model:
-        if self.tables is None:
-            self.alphabet = Alphabet(self.letters)
-            most = min(TRAIN_SYMBOLS, FULL_LANGS * TRAIN_SYMBOLS // max(1, len(self.samples)))
-            self.tables = [automaton(self.alphabet.codes(s)[:most]) for s in self.samples]
-        return self
+        return vars(self) | {"alphabet": None}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        self.build()
+        if not self.langs or not texts:
+            return [UND] * len(texts), [0.0] * len(texts)
+        if self.alphabet is None:
+            self.alphabet = Alphabet(self.letters)
         codes = [self.alphabet.codes(t or "") for t in texts]
         n = np.array([len(c) for c in codes], np.int64)
         letters = np.array([int(np.count_nonzero(c)) for c in codes])
-        flat = np.concatenate([*codes, np.zeros(1, np.int8)]).astype(np.int32)
+        flat = np.concatenate([*codes, np.zeros(1, np.int32)]).astype(np.int64)
         starts = np.concatenate([[0], np.cumsum(n)])
-        if not self.langs:
-            return [UND] * len(texts), [0.0] * len(texts)
-        cost = np.stack([phrases(t, flat, starts) for t in self.tables])
-        size = np.log(np.array([len(t) for t in self.tables]))[:, None]
-        # a phrase costs about the logarithm of the training text's length
+        blocks = Blocks(flat, starts)
+        cost = np.stack([phrases(a, blocks) for a in self.automata])
+        size = np.log([a.length + 2 for a in self.automata])[:, None]
         bits = cost * size / np.maximum(n, 1)
         best = bits.argmin(axis=0)
         p = np.exp(-(bits - bits.min(axis=0)) * np.minimum(n, 40))
@@ -176,86 +260,81 @@ class Model:
         return [self.langs[b] if o else UND for b, o in zip(best.tolist(), ok.tolist())], np.where(ok, score, 0.0).tolist()
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", symbols: int = TRAIN_SYMBOLS) -> Model:
     """Learn from rows with a text and a label.
 
-    The sample is bounded: about TRAIN_DOCS texts of each language, taken by a hash of the
-    text among those of TRAIN_TEXT characters at most, until TRAIN_SYMBOLS characters are
-    reached; every language that has a label.
+    The sample is bounded and holds every language that has a label: of its distinct texts those
+    first by hash, TRAIN_DOCS at most, until twice its share of symbols is reached (one text at
+    least); of a text TRAIN_TEXT characters at most are learned from.
     """
-    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null").filter(f"length(t) between 1 and {TRAIN_TEXT}")
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").collect()
-    if not counts:
-        return Model("", [], [])
-    h = F.pmod(F.xxhash64("t"), F.lit(1_000_003)) / 1_000_003.0
-    # a row for each language: small enough to be sent to all
-    parts = docs.sparkSession.createDataFrame([(r["l"], TRAIN_DOCS / max(1, r["count"])) for r in counts], "l string, part double")
-    taken = rows.join(F.broadcast(parts), "l").filter(h < F.col("part")).select("l", "t")
+    rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l")).filter("t is not null and l is not null and t rlike '\\\\p{L}'").withColumn("h", F.xxhash64(F.lit(7), "t"))
+    seen = materialize(rows.groupBy("l", "h").agg(F.min(F.least(F.length("t"), F.lit(TRAIN_TEXT))).alias("n")), "texts")
+    langs = seen.select("l").distinct().count()
+    if not langs:
+        drop(seen)
+        return Model([], [])
+    budget = 2 * min(symbols, FULL_LANGS * symbols // langs)
+    first = Window.partitionBy("l").orderBy("h")
+    few = seen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TRAIN_DOCS)
+    few = few.withColumn("before", F.coalesce(F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < budget)
+    few = materialize(few.select("l", "h"), "chosen")
+    # at most TRAIN_DOCS hashes of a language, with the symbols of FULL_LANGS languages together
+    taken = rows.join(F.broadcast(few), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, min(budget, TRAIN_TEXT))).alias("t")).collect()
+    drop(seen)
+    drop(few)
     by: dict[str, list[str]] = {}
-    for l, t in sorted(taken.collect(), key=lambda r: (r[0], len(r[1]), r[1])):
-        by.setdefault(l, []).append(t)
-    langs, samples = sorted(by), []
-    budget = 2 * TRAIN_SYMBOLS
-    for l in langs:
-        texts = list(dict.fromkeys(by[l]))
-        texts.sort(key=lambda t: (hash_order(t), t))
-        got, size = [], 0
-        for t in texts:
-            if size < budget:
-                got.append(t)
-                size += len(t)
-        samples.append("\n".join(got)[:budget])
-    return Model(Alphabet.learn(samples).letters, langs, samples)
-
-
-def hash_order(t: str) -> int:
-    from .common import hash64
-
-    return hash64(t, 7)
-
-
-def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` (default: all) of docs, with lang_pred and score appended."""
+    for r in sorted(taken, key=lambda r: (r["l"], r["h"])):
+        by.setdefault(r["l"], []).append(r["t"])
+    names = sorted(by)
+    return Model(names, ["\n".join(by[k])[:budget] for k in names], symbols)
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep` (default: all) of docs, with the prediction and its score as `names`."""
     spark = docs.sparkSession
     arrow_ready(spark)
     keep = docs.columns if keep is None else keep
     rows = docs.select(*keep, F.col(text).alias("__text"))
-    schema = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, names, scores = b.column(b.num_columns - 1).to_pylist(), [], []
-            for i, j in in_chunks(texts):
+            texts, found, scores = b.column(b.num_columns - 1).to_pylist(), [], []
+            for i, j in in_chunks(texts, 2_000_000):
                 got = shared.value.predict(texts[i:j])
-                names += got[0]
+                found += got[0]
                 scores += got[1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[:-1], *names])
 
     return rows.mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows outside the held-out third (crc32 of the id's text, mod 3, is 1)."""
-    return docs.filter(crc_mod_col(F.col("doc_id")) != 1)
+    return docs.filter(F.coalesce(crc_mod_col(F.col("doc_id")) != 1, F.lit(True)))
 
 
-def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    model = train(training_rows(docs))
-    rows = docs.select("doc_id", (crc_mod_col(F.col("doc_id")) == 1).alias("held_out"), "text")
+def op2(spark: SparkSession, docs: DataFrame, symbols: int = TRAIN_SYMBOLS) -> DataFrame:
+    model = train(training_rows(docs), symbols=symbols)
+    rows = docs.select("doc_id", F.coalesce(crc_mod_col(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text")
     return identify(rows, model, keep=["doc_id", "held_out"])
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without those that have no language (`und`); a null lang gets the prediction."""
-    if "lang" not in docs.columns:
-        return identify(docs, Model("", [], [])).select(*docs.columns)
-    found = identify(docs, train(training_rows(docs)))
-    kept = found.filter(F.col("lang_pred") != UND).withColumn("lang", F.coalesce("lang", "lang_pred"))
+    """docs without those that have no language (`und`); a null lang gets the prediction.
+
+    Where training rows name no language at all, documents with a letter stay as they are.
+    """
+    model = train(training_rows(docs)) if "lang" in docs.columns else Model([], [])
+    if not model.langs:
+        return docs.filter("text rlike '\\\\p{L}'")
+    found = identify(docs, model, names=("__lang", "__sure"))
+    kept = found.filter(F.col("__lang") != UND).withColumn("lang", F.coalesce("lang", "__lang"))
     return kept.select(*docs.columns)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import load
-
     return op2(spark, load(spark, sf_dir, "documents"))
+
+

@@ -1,9 +1,9 @@
 r"""Near-duplicate classes by Order MinHash.
 
-Texts with the same words are one text from the start. Each distinct text gives SKETCHES keys; a
-key hashes the WIDTH smallest of its occurrence-labelled 5-word shingles (under that sketch's own
-order), taken in the order in which they stand in the text, so that it is sensitive to the edit
-similarity. Texts that share a key are candidates, and a candidate pair is a link when
+Texts with the same words (told by SHA-256) are one text from the start. Each distinct text gives
+keys; a key hashes the WIDTH smallest of its occurrence-labelled 5-word shingles (under that
+sketch's own order), taken in the order in which they stand in the text, so that it is sensitive to
+the edit similarity. Texts that share a key are candidates, and a candidate pair is a link when
 
 * the 5-word shingles, counted with repetition, have a Jaccard similarity of 0.8 or more, and
 * a banded alignment of the words (band and edit bound grow together) needs at most 0.2 edits
@@ -15,17 +15,20 @@ the many buckets that a large family shares. What is still in several classes
 is compared across classes: in small buckets (up to SMALL texts) directly, in larger ones through an
 index of each text's rarest shingles, which loses no pair: two texts of similarity 0.8 share one of
 the n - ceil(0.8 n) + 1 rarest of their n shingles. Classes are the connected components of the
-links. At similarity 0.8 a pair of long texts shares no key with a probability of about
-(1 - 0.8 ** 4) ** 24 = 3e-6; with few shingles it is higher, as the minima are drawn without
-replacement: 0.8 ** 24 = 0.47 % for 8 against 9 words (4 of 5 shingles shared).
+links. Texts of up to SHORT shingles have SHORT_SKETCHES keys of SHORT_WIDTH minima, those of more
+than LONG shingles have SKETCHES keys of WIDTH; two texts of similarity 0.8 always have a kind of key
+in common. Such a pair shares no key with a probability below 1e-6 in the first kind (0.4 ** 16 for 4
+of 5 shingles), and between 3e-6 (long texts) and 2e-5 (LONG shingles) in the second.
 
 Defined results: null and blank texts are each a class of their own; texts under five words are
-only grouped when equal; repeated rows get the same class; rows without an id come back with a
-null class; extra columns are ignored; an empty table gives no rows.
+only grouped when equal; every row is a document of its own, whether its id is null, stands on
+other rows with other texts, or the whole row is repeated; class_id is the smallest id of the class
+(null if no row of it has one); extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, drop, hash_words, in_chunks, load, materialize, mix64, narrow, ngram_hashes, utf8
+from .common import arrow_ready, drop, hash_words, hot_join, in_chunks, keyed, load, materialize, mix64, narrow, ngram_hashes, scope, utf8, words_of
 from .components import components, near_labels
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES, WIDTH = 24, 4
+#: Keys of short texts (up to SHORT shingles); those of more than LONG shingles have the others.
+SHORT_SKETCHES, SHORT_WIDTH, SHORT, LONG = 16, 2, 40, 26
 SMALL = 24
 #: Rows, and pairs to align, for one task.
 ROWS, PAIRS = 100_000, 1_000
@@ -65,41 +70,47 @@ def labelled(g: np.ndarray) -> np.ndarray:
 
 def order_minhash(g: np.ndarray) -> np.ndarray:
     """The keys of one text from its occurrence-labelled shingles, in text order."""
-    if not len(g):
-        return np.empty(0, np.uint64)
-    k = min(WIDTH, len(g))
+    out = [np.empty(0, np.uint64)]
+    if 0 < len(g) <= SHORT:
+        out.append(_keys(g, SHORT_SKETCHES, SHORT_WIDTH))
+    if len(g) > LONG:
+        out.append(_keys(g, SKETCHES, WIDTH))
+    return np.concatenate(out)
+
+
+def _keys(g: np.ndarray, n: int, width: int) -> np.ndarray:
+    k = min(width, len(g))
     if len(g) == k:
-        at = np.tile(np.arange(k), (SKETCHES, 1))
+        at = np.tile(np.arange(k), (n, 1))
     elif len(g) <= 40_000:
-        at = np.sort(np.argpartition((g[None, :] ^ _XOR) * _MUL, k - 1, axis=1)[:, :k], axis=1)
+        at = np.sort(np.argpartition((g[None, :] ^ _XOR[:n]) * _MUL[:n], k - 1, axis=1)[:, :k], axis=1)
     else:
-        at = np.stack([np.sort(np.argpartition((g ^ _XOR[i]) * _MUL[i], k - 1)[:k]) for i in range(SKETCHES)])
-    key = np.arange(1, SKETCHES + 1).astype(np.uint64)
+        at = np.stack([np.sort(np.argpartition((g ^ _XOR[i]) * _MUL[i], k - 1)[:k]) for i in range(n)])
+    key = np.arange(1, n + 1).astype(np.uint64) + np.uint64(1000 * width)
     for j in range(k):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + g[at[:, j]])
     return key
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, f1 and f2 (fingerprint of the words), n_words, keys."""
+    """__key, f1 and f2 (halves of a SHA-256 of the words), n_words, keys."""
     arrow_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n, f1, f2, keys = utf8(b.column(1)), [], [], [], []
+            texts, n, f, keys = utf8(b.column(1)), [], [], []
             for i, j in in_chunks(texts):
                 h, at = hash_words(texts[i:j])
-                for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):
-                    w = h[lo:hi]
+                for t, lo, hi in zip(texts[i:j], at[:-1].tolist(), at[1:].tolist()):
                     n.append(hi - lo)
-                    f1.append(ngram_hashes(w, hi - lo, 1)[0] if hi > lo else 0)
-                    f2.append(ngram_hashes(mix64(w), hi - lo, 2)[0] if hi > lo else 0)
-                    keys.append(order_minhash(labelled(ngram_hashes(w, SHINGLE))))
+                    f.append(hashlib.sha256(b" ".join(words_of(t))).digest()[:16])
+                    keys.append(order_minhash(labelled(ngram_hashes(h[lo:hi], SHINGLE))))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.empty(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (f1, f2)), pa.array(n, pa.int64()), lists], names=["doc_id", "f1", "f2", "n_words", "keys"])
+            halves = np.frombuffer(b"".join(f), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()), pa.array(n, pa.int64()), lists], names=["__key", "f1", "f2", "n_words", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f1 long, f2 long, n_words long, keys array<long>")
+    return docs.select("__key", "text").mapInArrow(run, "__key long, f1 long, f2 long, n_words long, keys array<long>")
 
 
 def shingle_jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -164,10 +175,10 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs (a, b; a materialised table) of ids that are links."""
+    """Those of pairs (a, b; a materialised table) of row keys that are links."""
     arrow_ready(docs.sparkSession)
-    texts = docs.select("doc_id", "text")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    texts = docs.select("__key", "text")
+    rows = pairs.join(texts.select(F.col("__key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("__key").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +196,9 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def mixed_rows(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of buckets that are in several classes, with c (their class)."""
     rows = buckets.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    return materialize(narrow(rows.join(mixed, "key"), buckets.count(), ROWS), "rows")
+    n = buckets.count()
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
+    return materialize(narrow(hot_join(rows, materialize(mixed, "mixed"), ["key"], "rep", n, "inner"), n, ROWS), "rows")
 
 
 def joined(comp: DataFrame, links: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -250,7 +262,7 @@ def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
     A pair that reaches the similarity shares a shingle in both prefixes, and from the first one
     shared on enough are left in both.
     """
-    texts = reps.join(docs.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
+    texts = reps.join(docs.select(F.col("__key").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
     lists = materialize(shingles(narrow(texts, reps.count(), PAIRS)), "shingles")
     index = materialize(prefixes(lists), "index")
     # a shingle of one class only is in no pair
@@ -263,53 +275,76 @@ def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (smallest id of the class) and rep_id (smallest id with the same words)."""
-    docs = docs.select("doc_id", "text")
-    sk = materialize(sketches(docs).filter("doc_id is not null"), "sketch")
-    same = sk.filter("n_words > 0").groupBy("f1", "f2", "n_words").agg(F.min("doc_id").alias("rep"))
-    member = sk.select("doc_id", "f1", "f2", "n_words").join(same, ["f1", "f2", "n_words"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")).distinct()
-    n = sk.count()
-    member = materialize(narrow(member, n, ROWS), "member")
-    reps = member.filter("doc_id = rep").select("rep")
-    each = sk.join(reps, sk.doc_id == reps.rep, "left_semi").select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
-    lead = each.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("lead < last")
-    buckets = materialize(narrow(each.join(lead.select("key", "lead", "size"), "key"), SKETCHES * n, ROWS), "buckets")
-    drop(sk)
-    n = buckets.count()
-    pairs = materialize(narrow(buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), n, ROWS), "pairs")
-    links = verify(pairs, docs)
-    # until all links are known, names of classes only spare comparisons and need not be final
-    comp = materialize(near_labels(links), "classes")
-    # what shares a bucket but no class yet: against a member drawn for that bucket, and in small
-    # buckets every pair of classes
-    rows = mixed_rows(buckets, comp)
-    heads = rows.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", "key")).alias("head"))
-    found = rows.join(heads, "key").filter("c <> head.c").select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b"))
-    some = rows.filter(F.col("size").between(3, SMALL))
-    found = found.unionByName(some.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(some.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b"))
-    pairs = materialize(narrow(found.distinct().join(pairs, ["a", "b"], "left_anti"), SMALL * n, ROWS), "pairs")
-    more = verify(pairs, docs)
-    comp = joined(comp, links.unionByName(more), near_labels)
-    # larger buckets that are still in several classes: by the rarest shingles
-    rows = mixed_rows(buckets.filter(F.col("size") > SMALL), comp)
-    links = links.unionByName(more)
-    if not rows.isEmpty():
-        reps = materialize(narrow(rows.select("rep", "c").distinct(), rows.count(), ROWS), "reps")
-        links = links.unionByName(verify(materialize(rare_pairs(reps, docs), "pairs"), docs))
-    comp = joined(comp, links, lambda e: components(e, "a", "b"))
-    named = member.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    named = materialize(named.select("doc_id", F.coalesce("c", "rep").alias("class_id"), F.col("rep").alias("rep_id")), "classes")
-    return named
+    """Of docs (__key, text): __key, rep (smallest key with the same words) and class (smallest key
+    of the class)."""
+    with scope() as keep:
+        sk = materialize(sketches(docs), "sketch")
+        n = sk.count()
+        same = sk.filter("n_words > 0").groupBy("f1", "f2").agg(F.min("__key").alias("rep"), F.count("*").alias("n")).filter("n > 1")
+        same = materialize(same, "same")
+        member = hot_join(sk.select("__key", "f1", "f2"), same, ["f1", "f2"], "__key", n).select("__key", F.coalesce("rep", "__key").alias("rep"))
+        member = materialize(narrow(member, n, ROWS), "member")
+        drop(same)
+        copies = member.filter("__key <> rep").select("__key")
+        each = sk.join(copies, "__key", "left_anti").select(F.col("__key").alias("rep"), F.explode("keys").alias("key")).distinct()
+        lead = each.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("lead < last")
+        lead = materialize(narrow(lead.select("key", "lead", "size", F.col("size").alias("n")), SKETCHES * n, ROWS), "lead")
+        n_docs, n = n, lead.agg(F.sum("size")).first()[0] or 0
+        buckets = materialize(narrow(hot_join(each, lead, ["key"], "rep", n, "inner"), n, ROWS), "buckets")
+        pairs = materialize(narrow(buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(), n, ROWS), "pairs")
+        links = verify(pairs, docs)
+        # until all links are known, names of classes only spare comparisons and need not be final
+        comp = materialize(near_labels(links), "classes")
+        # what shares a bucket but no class yet: against a member drawn for that bucket, and in small
+        # buckets every pair of classes
+        rows = mixed_rows(buckets, comp)
+        heads = rows.groupBy("key").agg(F.min_by(F.struct("rep", "c"), F.xxhash64("rep", "key")).alias("head"), F.count("*").alias("n"))
+        found = hot_join(rows, heads, ["key"], "rep", n, "inner").filter("c <> head.c").select(F.least("head.rep", "rep").alias("a"), F.greatest("head.rep", "rep").alias("b"))
+        some = rows.filter(F.col("size").between(3, SMALL))
+        found = found.unionByName(some.select("key", F.col("rep").alias("a"), F.col("c").alias("ca")).join(some.select("key", F.col("rep").alias("b"), F.col("c").alias("cb")), "key").filter("a < b and ca <> cb").select("a", "b"))
+        pairs = materialize(narrow(found.distinct().join(pairs, ["a", "b"], "left_anti"), SMALL * n, ROWS), "pairs")
+        more = verify(pairs, docs)
+        comp = joined(comp, links.unionByName(more), near_labels)
+        # larger buckets that are still in several classes: by the rarest shingles
+        rows = mixed_rows(buckets.filter(F.col("size") > SMALL), comp)
+        links = links.unionByName(more)
+        if not rows.isEmpty():
+            reps = materialize(narrow(rows.select("rep", "c").distinct(), rows.count(), ROWS), "reps")
+            links = links.unionByName(verify(materialize(rare_pairs(reps, docs), "pairs"), docs))
+        comp = joined(comp, links, lambda e: components(e, "a", "b"))
+        # every text of a class with all its copies: a text with many is dealt to many tasks
+        most = member.groupBy("rep").agg(F.count("*").alias("n"))
+        comp = comp.select(F.col("node").alias("rep"), F.col("component").alias("c")).join(most, "rep")
+        named = hot_join(member, comp, ["rep"], "__key", n_docs)
+        return keep(materialize(named.select("__key", "rep", F.coalesce("c", "rep").alias("class")), "classes"))
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with __key, and (__key, class_id, kept) for each."""
+    docs, plain = keyed(docs)
+    found = classes(docs.select("__key", "text"))
+    if plain:
+        return docs, found.select("__key", F.col("class").alias("class_id"), (F.col("class") == F.col("__key")).alias("kept"))
+    rows = found.select("__key", "class").join(docs.select("__key", "doc_id"), "__key")
+    rows = materialize(rows, "named")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key"))
+    groups = materialize(rows.groupBy("class").agg(first.alias("first"), F.count("*").alias("n")), "groups")
+    out = hot_join(rows.select("__key", "class"), groups, ["class"], "__key", rows.count())
+    return docs, out.select("__key", F.col("first.doc_id").alias("class_id"), (F.col("first.__key") == F.col("__key")).alias("kept"))
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id").join(classes(docs), "doc_id", "left").withColumn("kept", F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)))
+    """doc_id, class_id and kept (the row is the one of its class that stays) for every row."""
+    docs, found = _named(docs.select("doc_id", "text"))
+    return docs.select("__key", "doc_id").join(found, "__key").select("doc_id", "class_id", "kept")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class (that with the smallest id), with all columns of docs."""
-    gone = classes(docs).filter("class_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each class (that with the smallest id), with all columns of docs."""
+    cols = docs.columns
+    docs, found = _named(docs)
+    gone = found.filter("not kept").select("__key")
+    return docs.join(gone, "__key", "left_anti").select(*cols)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
