@@ -1,19 +1,26 @@
 r"""Embedding near-duplicates by an exact metric range join.
 
 Vectors are scaled to length 1; cosine >= t is then a distance of at most r = sqrt(2 - 2 t). Pivots
-(drawn from the vectors by hash, at most MAX_PIVOTS for a label, one for about CELL vectors) split
-each label's vectors into cells by the nearest pivot. A vector also goes, as a guest, to every cell
+split a cell's vectors by the nearest pivot. A vector also goes, as a guest, to every other cell
 whose border may lie within r of it: by the triangle inequality a vector at distances d1 of its own
 and d2 of another pivot is at least (d2^2 - d1^2) / (2 |p2 - p1|) from the border. Each cell then
 holds all partners of its own vectors and is joined without the others, in blocks of at most BLOCK
 by BLOCK vectors, as matrix products; a cell emits counts and a spanning forest, never its pairs.
 
+Cells with more than CELL vectors of their own are split again, level by level, each by at most
+PIVOTS pivots, drawn by hash and spread out, as long as the split leaves less than GAIN of the
+products of own and all vectors: where the vectors of a label lie so close (or in so many
+dimensions) that borders are near everywhere, copying them to more cells would only add work, and
+the cell is joined as it is, in blocks. Vectors meet their pivots in groups of at most BLOCK, so that
+no table of pivots is sent to all and no label meets in one task.
+
 Equal vectors are joined once and counted by their number. Cosines are worked out in double
 precision; those within 1e-12 of the threshold again with exact sums.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and
-those with a null label, link with nothing; different lengths never link; repeated vec_ids are
-vectors of their own in n_links; extra columns are ignored; an empty table gives no rows.
+those with a null label, link with nothing; different lengths never link; rows with the same vec_id
+are vectors of their own in n_links and share a component; rows without a vec_id link with nothing;
+labels may be of any type; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +29,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, load, materialize
+from .common import arrow_ready, hot_join, load, materialize, scope
 from .components import components
 
 THRESHOLD = 0.98
-CELL, MAX_PIVOTS, BLOCK = 2_000, 64, 2_048
+CELL, PIVOTS, BLOCK = 2_000, 16, 2_048
+#: Vectors that the pivots of a cell are chosen from, share of the work that a split must leave at
+#: most, and levels (each level leaves at most GAIN of the work of a cell that it splits).
+DRAWN, GAIN, LEVELS = 64, 0.8, 40
 
 
 def pairs_within(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -44,52 +54,89 @@ def pairs_within(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return out
 
 
-def assign(vectors: DataFrame, threshold: float) -> DataFrame:
-    """(label, dim, rep, v, n, cell, own): each vector in its own cell and, as a guest, others."""
-    spark = vectors.sparkSession
-    sizes = {(r["label"], r["dim"]): r["count"] for r in vectors.groupBy("label", "dim").count().collect()}
-    share = F.lit(0.0)
-    for (label, dim), n in sizes.items():
-        share = F.when((F.col("label") == label) & (F.col("dim") == dim), min(MAX_PIVOTS, n / CELL) / n).otherwise(share)
-    drawn = vectors.filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003.0 < share).select("label", "dim", "v")
-    pivots: dict[tuple, list] = {}
-    for r in drawn.collect():
-        if len(pivots.setdefault((r["label"], r["dim"]), [])) < 2 * MAX_PIVOTS:
-            pivots[r["label"], r["dim"]].append(r["v"])
-    units = {k: np.unique(np.array([np.array(v) / np.linalg.norm(v) for v in vs]), axis=0) for k, vs in pivots.items()}
-    shared = spark.sparkContext.broadcast(units)
+def _pivots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The pivots of one cell from its drawn vectors: each the furthest from those before."""
+    x = np.stack(pdf.sort_values("rep")["v"].to_numpy())
+    x = x / np.linalg.norm(x, axis=1)[:, None]
+    want = int(min(PIVOTS, max(2, -(-int(pdf["mine"].iloc[0]) // CELL))))
+    chosen, far = [0], 2 - 2 * x @ x[0]
+    while len(chosen) < want and far.max() > 1e-9:
+        k = int(far.argmax())
+        chosen.append(k)
+        far = np.minimum(far, 2 - 2 * x @ x[k])
+    return pd.DataFrame({"cell": pdf["cell"].iloc[0], "pivots": [x[chosen].ravel().tolist()]})
+
+
+def _placed(threshold: float):
+    """Vectors of a group and its one row of pivots -> the vectors with the number of each part."""
     radius = math.sqrt(2 - 2 * threshold) * (1 + 1e-9) + 1e-9
 
-    def run(batches):
-        for pdf in batches:
-            parts = []
-            for (label, dim), g in pdf.groupby(["label", "dim"], sort=False):
-                p = shared.value.get((label, dim))
-                if p is None or len(p) == 1:
-                    parts.append(g.assign(cell=0, own=True))
-                    continue
-                x = np.stack(g["v"].to_numpy())
-                x = x / np.linalg.norm(x, axis=1)[:, None]
-                d2 = np.maximum(2 - 2 * x @ p.T, 0)
-                near = d2.argmin(1)
-                gap = np.sqrt(np.maximum(((p[near][:, None, :] - p[None]) ** 2).sum(2), 1e-300))
-                reach = (d2 - d2[np.arange(len(x)), near][:, None]) / (2 * gap) <= radius
-                reach[np.arange(len(x)), near] = True
-                i, c = np.nonzero(reach)
-                parts.append(g.iloc[i].assign(cell=c, own=c == near[i]))
-            yield pd.concat(parts)[["label", "dim", "rep", "v", "n", "cell", "own"]] if parts else pdf.iloc[:0].assign(cell=0, own=True)
-
-    return vectors.select("label", "dim", "rep", "v", "n").mapInPandas(run, "label int, dim int, rep long, v array<double>, n long, cell int, own boolean")
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({c: [] for c in ("rep", "v", "n", "cell", "part", "own")})
+        x = np.stack(left["v"].to_numpy())
+        x = x / np.linalg.norm(x, axis=1)[:, None]
+        p = np.array(right["pivots"].iloc[0]).reshape(-1, x.shape[1])
+        d2 = np.maximum(2 - 2 * x @ p.T, 0)
+        near = d2.argmin(1)
+        gap = np.sqrt(np.maximum(((p[near][:, None, :] - p[None]) ** 2).sum(2), 1e-300))
+        reach = (d2 - d2[np.arange(len(x)), near][:, None]) / (2 * gap) <= radius
+        reach[np.arange(len(x)), near] = True
+        i, c = np.nonzero(reach)
+        return left.iloc[i].assign(part=c.astype(np.int32), own=left["own"].to_numpy()[i] & (c == near[i]))[["rep", "v", "n", "cell", "part", "own"]]
+
+    return run
+
+
+def assign(vectors: DataFrame, threshold: float, cell: int | None = None) -> DataFrame:
+    """(rep, v, n, cell, own) of vectors (cell, rep, v, n): each once in the cell that is its own,
+    and as a guest in others; cells of the input are never mixed."""
+    limit = CELL if cell is None else cell
+    cols = ["rep", "v", "n", "cell", "own"]
+    todo, done = vectors.withColumn("own", F.lit(True)), None
+    for _ in range(LEVELS):
+        sizes = todo.groupBy("cell").agg(F.count("*").alias("every"), F.sum(F.col("own").cast("long")).alias("mine"))
+        sizes = materialize(sizes.withColumn("groups", F.ceil(F.col("every") / BLOCK).cast("int")), "sizes")
+        big = sizes.filter(F.col("mine") > limit)
+        if big.isEmpty():
+            break
+        rows = todo.count()
+        todo = materialize(_with(todo, sizes, "every", rows), "sized")
+        inside = todo.filter(F.col("mine") > limit)
+        drawn = inside.filter("own").withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("rep", "cell"), "rep"))).filter(F.col("k") <= DRAWN)
+        pivots = drawn.select("cell", "rep", "v", "mine").groupBy("cell").applyInPandas(_pivots, "cell string, pivots array<double>")
+        pivots = materialize(pivots, "pivots").join(big, "cell").select("cell", "pivots", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+        # the vectors of large cells in groups of about BLOCK, each with the pivots of its cell
+        left = inside.withColumn("group", F.pmod(F.xxhash64("rep"), F.col("groups")).cast("int")).select(*cols, "group")
+        split = left.groupBy("cell", "group").cogroup(pivots.groupBy("cell", "group")).applyInPandas(_placed(threshold), "rep long, v array<double>, n long, cell string, part int, own boolean")
+        split = materialize(split, "split")
+        work = split.groupBy("cell", "part").agg(F.count("*").alias("every"), F.sum(F.col("own").cast("long")).alias("mine"))
+        work = work.groupBy("cell").agg(F.sum(F.col("every").cast("double") * F.col("mine")).alias("after"), F.max("mine").alias("most"), F.sum("every").alias("now"))
+        good = (F.col("after") <= GAIN * F.col("every") * F.col("mine")) & (F.col("most") < F.col("mine"))
+        worth = materialize(big.join(work, "cell").select("cell", good.alias("good"), "every", "now"), "worth")
+        stay = _with(inside.select(*cols), worth, "every", rows).filter("not good")
+        rest = todo.filter(F.col("mine") <= limit).select(*cols).unionByName(stay.select(*cols))
+        done = rest if done is None else done.unionByName(rest)
+        todo = _with(split, worth, "now", split.count()).filter("good")
+        todo = materialize(todo.select("rep", "v", "n", F.concat_ws("/", "cell", "part").alias("cell"), "own"), "todo")
+    rest = todo.select(*cols)
+    return rest if done is None else done.unionByName(rest)
+
+
+def _with(rows: DataFrame, cells: DataFrame, count: str, n: int) -> DataFrame:
+    """rows with the columns of their cell; cells has one row for each, with its number of rows."""
+    return hot_join(rows.withColumnRenamed("n", "copies"), cells.withColumn("n", F.col(count)), ["cell"], "rep", n, "inner").withColumnRenamed("copies", "n")
 
 
 def join_cells(placed: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rep, links) counts and (a, b) edges whose components are those of all links."""
-    cells = placed.groupBy("label", "dim", "cell").agg(F.count("*").alias("all"), F.sum(F.col("own").cast("long")).alias("mine"))
-    rows = placed.join(cells.filter("mine > 0"), ["label", "dim", "cell"])
+    """(rep, links) counts and (a, b) edges whose components are those of all links, of a
+    materialised table of assign()."""
+    cells = placed.groupBy("cell").agg(F.count("*").alias("all"), F.sum(F.col("own").cast("long")).alias("mine")).filter("mine > 0")
+    rows = _with(placed, materialize(cells, "cells"), "all", placed.count())
     across, down = F.ceil(F.col("mine") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
     own = rows.filter("own").withColumn("i", F.pmod(F.xxhash64("rep"), across).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), down - 1))).withColumn("side", F.lit(True))
     every = rows.withColumn("j", F.pmod(F.xxhash64("rep"), down).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), across - 1))).withColumn("side", F.lit(False))
-    cols = ["label", "dim", "cell", "i", "j", "side", "rep", "v", "n"]
+    cols = ["cell", "i", "j", "side", "rep", "v", "n"]
     both = own.select(*cols).unionByName(every.select(*cols))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -120,30 +167,45 @@ def join_cells(placed: DataFrame, threshold: float) -> tuple[DataFrame, DataFram
         got += [(k, find(k), 0) for k in list(parent) if find(k) != k]
         return pd.DataFrame(got, columns=["a", "b", "links"])
 
-    found = materialize(both.groupBy("label", "dim", "cell", "i", "j").applyInPandas(run, "a long, b long, links long"), "cells")
+    found = materialize(both.groupBy("cell", "i", "j").applyInPandas(run, "a long, b long, links long"), "joined")
     return found.filter("links > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links")), found.filter("a <> b").select("a", "b")
 
 
-def link(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def link(table: DataFrame, threshold: float = THRESHOLD, cell: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of table (vec_id, embedding, label)."""
     arrow_ready(table.sparkSession)
-    rows = table.select("vec_id", F.col("label").cast("int").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    # so that squares neither vanish nor overflow, each vector is first divided by its largest part
-    rows = rows.withColumn("ok", F.coalesce(whole & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
-    good = rows.filter("ok")
-    same = good.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    same = materialize(same.withColumn("dim", F.size("v")), "vectors")
-    scaled = same.withColumn("m", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.expr("transform(v, x -> x / m)"))
-    counts, edges = join_cells(materialize(assign(scaled, threshold), "placed"), threshold)
-    comp = components(edges, "a", "b")
-    named = same.join(counts, "rep", "left").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left")
-    named = named.select("label", "v", F.col("rep").alias("__rep"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("c", "rep").alias("c"))
-    # a copy finds its distinct vector through its smallest id, not through 64 numbers
-    ids = materialize(good.join(same.select("label", "v", "rep"), ["label", "v"]).select("vec_id", "rep"), "ids")
-    done = ids.join(named.select("__rep", "links", "c"), ids.rep == F.col("__rep")).select("vec_id", F.col("links").alias("n_links"), F.col("c").alias("component_id"))
-    rest = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return done.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    with scope() as keep:
+        # a label's text tells it from others of its type; a label is never part of a path of cells
+        rows = table.select("vec_id", F.col("label").cast("string").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+        whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+        # -0.0 is 0.0
+        rows = rows.withColumn("v", F.transform("v", lambda x: x + 0.0))
+        rows = rows.withColumn("ok", F.coalesce(whole & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
+        good = rows.filter("ok")
+        print_of = F.sha2(F.to_json(F.struct("label", F.col("v"))), 256)
+        good = materialize(good.select("vec_id", F.col("label"), "v", print_of.alias("print")), "good")
+        total = good.count()
+        same = good.groupBy("print").agg(F.min("vec_id").alias("low"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
+        # a name of its own for each distinct vector, as an id may stand on several
+        same = materialize(same.withColumn("rep", F.monotonically_increasing_id()), "vectors")
+        # so that squares neither vanish nor overflow, each vector is first divided by its largest part
+        scaled = same.withColumn("m", F.array_max(F.transform("v", lambda x: F.abs(x)))).withColumn("v", F.expr("transform(v, x -> x / m)"))
+        scaled = scaled.select(F.concat_ws(":", F.sha2("label", 256), F.size("v")).alias("cell"), "rep", "v", "n")
+        counts, edges = join_cells(materialize(assign(scaled, threshold, cell), "placed"), threshold)
+        ids = materialize(hot_join(good.select("vec_id", "print"), same.select("print", "rep", "low", "n", F.col("n").alias("all")), ["print"], "vec_id", total, "inner"), "ids")
+        # rows of one id are in one component
+        shared = ids.groupBy("vec_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).filter("x < y")
+        twice = ids.join(shared, "vec_id").select(F.col("x").alias("a"), F.col("rep").alias("b")).filter("a <> b")
+        comp = components(edges.unionByName(twice), "a", "b")
+        named = same.select("rep", "low").join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+        named = materialize(named, "named")
+        lows = materialize(named.groupBy("c").agg(F.min("low").alias("component_id"), F.count("*").alias("n")), "lows")
+        named = hot_join(named.select("rep", "c"), lows, ["c"], "rep", total, "inner").join(counts, "rep", "left")
+        named = named.select("rep", "component_id", F.coalesce("links", F.lit(0)).alias("links")).join(same.select("rep", "n"), "rep")
+        done = hot_join(ids.select("vec_id", "rep", "all"), named, ["rep"], "vec_id", total, "inner")
+        done = done.select("vec_id", (F.col("all") - 1 + F.col("links")).alias("n_links"), "component_id")
+        rest = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+        return keep(materialize(done.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))), "linked"))
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
