@@ -1,85 +1,106 @@
 r"""Packing into optimal length buckets.
 
-The histogram of token counts over all documents is gathered in a bounded number of bins (exact
-up to EXACT tokens, then 128 bins for each doubling). Dynamic programming over it picks at most
-BUCKETS boundaries with the least padding. Inside a bucket, batches of as many documents as fit in
-the token budget at the bucket's length are formed. A bucket is dealt into shards of bounded size
-by a hash of the id, their number taken from the histogram, so that no bucket meets in one task;
-at most one batch of each shard is not full.
+The histogram of token counts over all documents has a row for each length that occurs. Dynamic
+programming over it picks at most BUCKETS boundaries with the least padding of all choices: the
+cost of a bucket is a line in its longest length, so that the lower envelope of the lines of one
+layer gives the next layer in one pass, in whole numbers. Inside a bucket, batches of as many
+documents as fit in the token budget at the bucket's length are formed. A bucket is dealt into
+shards of bounded size by a hash of the id, their number taken from the histogram, so that no
+bucket meets in one task; at most one batch of each shard is not full.
+
+A token is a word here; pack() takes any counts, such as those of the token count operator.
 
 Defined results: null and blank texts have no tokens and are in no bucket (all packing columns are
-null); a text longer than the budget is a batch of its own; ties are put in order of the id and
-the hash of the text; repeated rows take a slot each; extra columns are ignored; an empty table
-gives no rows.
+null); a text longer than the budget is a batch of its own; of boundaries with equal padding the
+fewest, then those with the smallest lengths from the last on, are taken; inside a shard documents
+stand in the order of id and length; rows with the same id, or none, take a slot each; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, load, materialize
 
-BUCKETS, BUDGET, EXACT, SHARD = 16, 65_536, 1_024, 4_096
-
-
-def histogram(rows: DataFrame) -> list[tuple[int, int, int, int]]:
-    """(bin, documents, tokens, longest) of rows (n_tokens), ordered by bin."""
-    got = rows.filter("n_tokens > 0").groupBy(bin_of(F.col("n_tokens")).alias("bin")).agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("n_tokens").alias("top")).collect()
-    return sorted((r["bin"], r["n"], r["t"], r["top"]) for r in got)
+BUCKETS, BUDGET, SHARD = 16, 65_536, 4_096
 
 
-def bin_of(n):
-    """Number of the bin that a token count falls in; monotone in n."""
-    log = F.floor(F.log2(n.cast("double") / EXACT)).cast("int")
-    fine = F.floor((n / (EXACT * F.pow(F.lit(2.0), log)) - 1) * 128).cast("int")
-    return F.when(n <= EXACT, n.cast("int")).otherwise(EXACT + 1 + log * 128 + fine)
+def histogram(rows: DataFrame) -> list[tuple[int, int]]:
+    """(length, documents) of rows (n_tokens) by length; as many as there are different lengths."""
+    return sorted(map(tuple, rows.filter("n_tokens > 0").groupBy("n_tokens").count().collect()))
 
 
-def boundaries(bins: list[tuple[int, int, int, int]], buckets: int = BUCKETS) -> tuple[list[int], int]:
+def boundaries(lengths: list[tuple[int, int]], buckets: int = BUCKETS) -> tuple[list[int], int]:
     """Lengths of the buckets (each the longest document in it) and the padding they need."""
-    if not bins:
+    if not lengths:
         return [], 0
-    count = np.concatenate([[0], np.cumsum([b[1] for b in bins])]).astype(float)
-    tokens = np.concatenate([[0], np.cumsum([b[2] for b in bins])]).astype(float)
-    top = np.array([b[3] for b in bins], float)
-    m, k = len(bins), min(buckets, len(bins))
-    best = np.full((k + 1, m + 1), np.inf)
-    best[0, 0] = 0
-    cut = np.zeros((k + 1, m + 1), int)
-    for j in range(1, m + 1):
-        cost = top[j - 1] * (count[j] - count[:j]) - (tokens[j] - tokens[:j])
-        options = best[:k, :j] + cost
-        cut[1:, j] = options.argmin(axis=1)
-        best[1:, j] = options.min(axis=1)
-    used = int(best[:, m].argmin())
+    count, tokens = [0], [0]
+    for length, n in lengths:
+        count.append(count[-1] + n)
+        tokens.append(tokens[-1] + n * length)
+    m = len(lengths)
+    # best[j]: least padding of the first j lengths in the buckets so far; a bucket of the lengths
+    # i + 1 to j adds top * (count[j] - count[i]) - (tokens[j] - tokens[i])
+    best: list[int | None] = [0] + [None] * m
+    cuts: list[list[int]] = []
+    found: list[int] = []
+    for _ in range(min(buckets, m)):
+        now: list[int | None] = [None] * (m + 1)
+        cut = [0] * (m + 1)
+        hull: list[tuple[int, int, int]] = []  # slope, height and i of the lines of the envelope
+        at = 0
+        for j in range(1, m + 1):
+            if best[j - 1] is not None:
+                slope, height = -count[j - 1], best[j - 1] + tokens[j - 1]
+                while len(hull) > 1 and (height - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) < (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
+                    hull.pop()
+                hull.append((slope, height, j - 1))
+            if not hull:
+                continue
+            top = lengths[j - 1][0]
+            at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and hull[at + 1][0] * top + hull[at + 1][1] < hull[at][0] * top + hull[at][1]:
+                at += 1
+            now[j] = hull[at][0] * top + hull[at][1] + top * count[j] - tokens[j]
+            cut[j] = hull[at][2]
+        best = now
+        cuts.append(cut)
+        found.append(now[m])
+    used = found.index(min(found))
     out, j = [], m
-    for q in range(used, 0, -1):
-        out.append(int(top[j - 1]))
-        j = cut[q, j]
-    return out[::-1], int(best[used, m])
+    for q in range(used, -1, -1):
+        out.append(lengths[j - 1][0])
+        j = cuts[q][j]
+    return out[::-1], found[used]
+
+
+def shard_of(doc_id, shards):
+    """A number below shards from a multiplicative hash of the id (0 for no id)."""
+    return F.coalesce(F.pmod(F.pmod(F.pmod(doc_id, F.lit(2_147_483_647)) * 48_271, F.lit(2_147_483_647)), shards), F.lit(0)).cast("int")
 
 
 def pack(rows: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """rows (doc_id, n_tokens) with bucket, bucket_len, shard, batch and slot."""
     rows = materialize(rows, "lengths")
-    bins = histogram(rows)
-    lengths, _ = boundaries(bins, buckets)
-    if not lengths:
-        return rows.select("doc_id", "n_tokens", *[F.lit(None).cast("int").alias(c) for c in ("bucket", "bucket_len", "shard", "batch", "slot")])
-    docs = [sum(b[1] for b in bins if (lengths[i - 1] if i else 0) < b[3] <= top) for i, top in enumerate(lengths)]
-    size = [max(1, budget // top) for top in lengths]
+    lengths = histogram(rows)
+    tops, _ = boundaries(lengths, buckets)
+    columns = ("bucket", "bucket_len", "shard", "batch", "slot")
+    if not tops:
+        return rows.select("doc_id", "n_tokens", *[F.lit(None).cast("int").alias(c) for c in columns])
+    docs = [sum(n for x, n in lengths if (tops[i - 1] if i else 0) < x <= top) for i, top in enumerate(tops)]
+    size = [max(1, budget // top) for top in tops]
     shards = [max(1, -(-n // max(SHARD, 4 * s))) for n, s in zip(docs, size)]
     bucket = F.lit(None).cast("int")
-    for i in reversed(range(len(lengths))):
-        bucket = F.when(F.col("n_tokens") <= lengths[i], i).otherwise(bucket)
-    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("bucket") + 1)
-    full = rows.filter("n_tokens > 0").withColumn("bucket", bucket).withColumn("bucket_len", pick(lengths)).withColumn("shard", F.pmod(F.xxhash64("doc_id"), pick(shards)).cast("int"))
-    place = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
-    full = full.withColumn("place", place).withColumn("__size", pick(size))
-    full = full.select("doc_id", "n_tokens", "bucket", "bucket_len", "shard", F.floor(F.col("place") / F.col("__size")).cast("int").alias("batch"), F.pmod("place", "__size").cast("int").alias("slot"))
-    none = rows.filter("n_tokens = 0").select("doc_id", "n_tokens", *[F.lit(None).cast("int").alias(c) for c in ("bucket", "bucket_len", "shard", "batch", "slot")])
+    for i in reversed(range(len(tops))):
+        bucket = F.when(F.col("n_tokens") <= tops[i], i).otherwise(bucket)
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("__bucket") + 1)
+    full = rows.filter("n_tokens > 0").withColumn("__bucket", bucket).withColumn("bucket_len", pick(tops)).withColumn("shard", shard_of(F.col("doc_id"), pick(shards)))
+    place = F.row_number().over(Window.partitionBy("__bucket", "shard").orderBy("doc_id", "n_tokens")) - 1
+    full = full.withColumn("place", place).withColumn("__size", pick(size)).withColumnRenamed("__bucket", "bucket")
+    full = full.select("doc_id", "n_tokens", "bucket", F.col("bucket_len").cast("int").alias("bucket_len"), "shard", F.floor(F.col("place") / F.col("__size")).cast("int").alias("batch"), F.pmod("place", "__size").cast("int").alias("slot"))
+    none = rows.filter("n_tokens = 0").select("doc_id", "n_tokens", *[F.lit(None).cast("int").alias(c) for c in columns])
     return full.unionByName(none)
 
 
@@ -93,3 +114,36 @@ def op4(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4(spark, load(spark, sf_dir, "documents"))
+
+
+#: DuckDB statement of the same result: the dynamic program layer by layer, then its way back.
+ORACLE_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS n_tokens FROM documents
+), h AS (SELECT n_tokens AS x, count(*) AS n FROM d WHERE n_tokens > 0 GROUP BY 1),
+g AS (
+  SELECT row_number() OVER (ORDER BY x) AS j, x, sum(n) OVER (ORDER BY x)::BIGINT AS c, sum(n * x) OVER (ORDER BY x)::BIGINT AS t FROM h
+  UNION ALL SELECT 0, 0, 0, 0
+), layers AS (
+  SELECT 0 AS q, 0::BIGINT AS j, 0::BIGINT AS pad, 0::BIGINT AS cut
+  UNION ALL
+  SELECT l.q + 1, g.j, min(l.pad + g.x * (g.c - p.c) - (g.t - p.t)), arg_min(l.j, (l.pad + g.x * (g.c - p.c) - (g.t - p.t), l.j))
+  FROM layers l JOIN g p ON p.j = l.j JOIN g ON g.j > l.j WHERE l.q < {BUCKETS} GROUP BY l.q, g.j
+), used AS (
+  SELECT arg_min(q, (pad, q)) AS q FROM layers WHERE q > 0 AND j = (SELECT max(j) FROM g)
+), back AS (
+  SELECT q, (SELECT max(j) FROM g) AS j FROM used
+  UNION ALL SELECT b.q - 1, l.cut FROM back b JOIN layers l ON l.q = b.q AND l.j = b.j WHERE b.q > 1
+), tops AS (
+  SELECT (b.q - 1)::INTEGER AS bucket, g.x AS bucket_len, greatest(1, {BUDGET} // g.x) AS size, coalesce(lag(g.x) OVER (ORDER BY b.q), 0) AS low, g.c - coalesce(lag(g.c) OVER (ORDER BY b.q), 0) AS docs
+  FROM back b JOIN g ON g.j = b.j
+), dealt AS (
+  SELECT doc_id, n_tokens, bucket, bucket_len, size,
+    coalesce(((doc_id % 2147483647 + 2147483647) % 2147483647 * 48271 % 2147483647) % greatest(1, ceil(docs / greatest({SHARD}, 4 * size))::BIGINT), 0)::INTEGER AS shard
+  FROM d JOIN tops ON n_tokens > low AND n_tokens <= bucket_len
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY bucket, shard ORDER BY doc_id NULLS FIRST, n_tokens) - 1 AS place FROM dealt
+)
+SELECT doc_id, n_tokens, bucket, bucket_len::INTEGER AS bucket_len, shard, (place // size)::INTEGER AS batch, (place % size)::INTEGER AS slot FROM placed
+UNION ALL SELECT doc_id, n_tokens, NULL, NULL, NULL, NULL, NULL FROM d WHERE n_tokens = 0
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pii": pii.run,
 }
 
-SQL = {"op9_embedding_dedup": embedding_dedup.ORACLE_SQL}
+SQL = {"op4_packing": packing.ORACLE_SQL, "op9_embedding_dedup": embedding_dedup.ORACLE_SQL}
