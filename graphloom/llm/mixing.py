@@ -9,10 +9,16 @@ only the rows with a rate above 0; a step needs a few small sums from the whole
 on until the domain shares are within TOLERANCE of the targets. Targets that no rates reach (soft
 posteriors) are approached as far as STEPS steps go, and a warning gives the remaining gap.
 
-Defined results: null and blank texts have no tokens and weigh nothing; equal texts get equal
-rates; without labels every document has rate 1 and no posterior; target weights of domains that
-no label names, and domains that have no tokens, are left out and the rest scaled; repeated rows
-count as often as they stand; extra columns are ignored.
+draw() applies the rates: scaled so that a sure document of the favoured domain stands once, a rate
+gives its whole part as copies and one more with the probability of the rest. reached() gives the
+expected shares of the domains before and after.
+
+Defined results: null and blank texts have no tokens and weigh nothing (draw() keeps them once);
+equal texts get equal rates; without labels every document has rate 1 and no posterior; target
+weights of domains that no label names, and domains that have no tokens, are left out and the rest
+scaled; each row counts, whether its id is null, repeated or stands on other texts; of a labelled id
+with several texts the smallest text, and with several labels the smallest label, is learned from;
+extra columns are ignored by op1 and kept by draw(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,13 +30,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, load, materialize, utf8
+from .common import arrow_ready, keyed, load, materialize, utf8
 
-#: Bounds of the training sample (documents, characters of one) and of the word features.
-TRAIN_DOCS, TRAIN_TEXT, WORDS = 4_000, 20_000, 400
+#: Bounds of the training sample (documents, at least so many of each domain, characters learned
+#: from of one text) and of the word features.
+TRAIN_DOCS, OF_EACH, TRAIN_TEXT, WORDS = 4_000, 50, 20_000, 400
 STEPS, TOLERANCE = 60, 1e-7
 #: Damping of the trial steps of one pass, as parts of the mean of the Gram diagonal.
 DAMPING = (1e-12, 1e-6, 1e-4, 1e-2, 1e-1, 1.0, 10.0, 1000.0)
@@ -113,20 +120,21 @@ def fit_classifier(texts: list[bytes], labels: list[str], rounds: int = 300) ->
 
 
 def train(docs: DataFrame, labelled: DataFrame) -> Classifier:
-    """Fit on at most about TRAIN_DOCS rows of labelled (doc_id, domain), drawn by hash of the id."""
+    """Fit on rows of labelled (doc_id, domain): TRAIN_DOCS by hash of the id, and OF_EACH domain."""
     lab = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    n = lab.count()
-    part = TRAIN_DOCS / max(n, 1)
-    if part < 1:
-        lab = lab.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0 < part)
-    # the sample is bounded by TRAIN_DOCS, so that it may be sent to all
-    rows = docs.select("doc_id", "text").filter(f"length(text) between 1 and {TRAIN_TEXT}").join(F.broadcast(lab), "doc_id").select("doc_id", "text", "domain").collect()
+    lab = lab.join(docs.filter("length(text) > 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    each = lab.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).filter(F.col("k") <= OF_EACH).drop("k")
+    some = materialize(lab.orderBy(*order).limit(TRAIN_DOCS).unionByName(each).distinct(), "sample")
+    # at most TRAIN_DOCS ids and OF_EACH of each domain
+    texts = docs.select("doc_id", F.substring("text", 1, TRAIN_TEXT).alias("text")).filter("length(text) > 0")
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit_classifier([r["text"].encode() for r in rows], [r["domain"] for r in rows]) if rows else Classifier([])
+    return fit_classifier([r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["domain"] for r in rows]) if rows else Classifier([])
 
 
-def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, n_tokens, p: posterior of each domain in the order of model.domains."""
+def memberships(docs: DataFrame, model: Classifier, id: str = "doc_id") -> DataFrame:
+    """id, n_tokens, p: posterior of each domain in the order of model.domains."""
     arrow_ready(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
@@ -141,9 +149,9 @@ def memberships(docs: DataFrame, model: Classifier) -> DataFrame:
                 else:
                     n, p = np.array([len((t or b"").split()) for t in part]), np.zeros((len(part), 0))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * p.shape[1]), pa.array(p.ravel().astype(float)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array(n.astype(np.int64)), lists], names=["doc_id", "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, len(part)), pa.array(n.astype(np.int64)), lists], names=[id, "n_tokens", "p"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, p array<double>")
+    return docs.select(id, "text").mapInArrow(run, f"{id} long, n_tokens long, p array<double>")
 
 
 def _rate(v: np.ndarray):
@@ -195,6 +203,14 @@ def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) ->
     return best
 
 
+def reached(rows: DataFrame, domains: list[str]) -> dict[str, tuple[float, float]]:
+    """Expected share of tokens of each domain in rows (n_tokens, p, rate): before, and at the rates."""
+    cells = [F.sum(F.col("n_tokens") * w * F.col("p")[i]) for w in (F.lit(1.0), F.col("rate")) for i in range(len(domains))]
+    got = [float(x or 0) for x in rows.agg(*cells).first()] if domains else []
+    before, after = got[: len(domains)], got[len(domains) :]
+    return {d: (x / (sum(before) or 1), y / (sum(after) or 1)) for d, x, y in zip(domains, before, after)}
+
+
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, list[str]]:
     """(doc_id, n_tokens, p, rate) and the domains in the order of p."""
     model = train(docs, labelled)
@@ -212,16 +228,25 @@ def op1(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)], "rate")
 
 
-def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, favoured: str = "good") -> DataFrame:
-    """docs thinned to the mix: rates are scaled so that a sure document of the favoured domain
-    has rate 1, and a document stays when a hash of its id in [0, 1) is below its rate."""
+def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, favoured: str | None = None) -> DataFrame:
+    """docs in the mix: rates are scaled so that a sure document of the favoured domain (that with
+    the largest target) has rate 1; a document stands as often as its rate says, the part after the
+    point decided by a hash."""
+    cols = docs.columns
     model = train(docs, domains_of(labels))
-    rows = materialize(memberships(docs, model), "posterior")
+    if not model.domains:
+        return docs
+    docs, _ = keyed(docs)
+    rows = materialize(memberships(docs, model, "__key"), "posterior")
     v = fit_rates(rows, model.domains, targets)
-    one = max(0.0, 1.0 - v[model.domains.index(favoured)]) if favoured in model.domains else 1.0
-    u = F.pmod(F.xxhash64(F.lit(97), "doc_id"), F.lit(1_000_003)) / 1_000_003.0
-    gone = rows.filter((u >= _rate(v) / max(float(one), 1e-9)) & (F.col("n_tokens") > 0)).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    favoured = favoured or max(model.domains, key=lambda d: targets.get(d, 0.0))
+    one = 1.0 - v[model.domains.index(favoured)] if favoured in model.domains else 1.0
+    rate = _rate(v) / (float(one) if one > 1e-9 else 1.0)
+    u = F.pmod(F.xxhash64(F.lit(97), "__key"), F.lit(1_000_003)) / 1_000_003.0
+    times = F.when(F.col("n_tokens") > 0, F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).otherwise(1).cast("int")
+    other = rows.select("__key", times.alias("__times")).filter("__times <> 1")
+    out = docs.join(other, "__key", "left").withColumn("__copy", F.explode(F.expr("array_repeat(0, coalesce(__times, 1))")))
+    return out.select(*cols)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
