@@ -8,9 +8,9 @@ that the training text doesn't have is a phrase of its own.
 
 The automata are built on the driver as compact arrays: a transition of state s by symbol c stands
 at place s + c of one array, together with s. The parse of a text is worked out in blocks side by
-side: each block is first parsed as if a phrase began with it; then the phrase that truly enters a
-block is followed until it ends where the first parse has a phrase end, too, which is done again for
-blocks whose entry changed by that. The number of phrases is that of one parse from the start.
+side: each block is first parsed as if a phrase began with it; then the state that truly enters a
+block is followed until it meets the first parse in the same state, which is done again for blocks
+whose entry changed by that. The number of phrases is that of one parse from the start.
 
 Defined results: a null text and a text without any letter give `und` with score 0; repeated rows
 and ids give the same answer each time (ties go to the language that sorts first); with no labelled
@@ -142,19 +142,23 @@ class Blocks:
     """Codes of texts (codes[starts[i]:starts[i + 1]], int64) cut into blocks, the longest first."""
 
     def __init__(self, codes: np.ndarray, starts: np.ndarray):
-        self.codes, self.texts = codes, len(starts) - 1
+        self.texts = len(starts) - 1
         n = np.diff(starts)
         blocks = -(-n // BLOCK)
-        doc = self.doc = np.repeat(np.arange(len(n)), blocks)
-        first = self.first = starts[:-1][doc] + BLOCK * (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        self.stop = starts[1:][doc]
-        end = self.end = np.minimum(first + BLOCK, self.stop)
-        self.order = np.argsort(first - end, kind="stable")
-        sizes = (end - first)[self.order]
-        self.active = np.searchsorted(-sizes, -np.arange(BLOCK), side="left").tolist()
-        most = int(sizes[0]) if len(sizes) else 0
+        doc = np.repeat(np.arange(len(n)), blocks)
+        first = starts[:-1][doc] + BLOCK * (np.arange(len(doc)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        sizes = np.minimum(BLOCK, starts[1:][doc] - first)
+        order = self.order = np.argsort(-sizes, kind="stable")
+        self.doc, self.sizes = doc[order], sizes[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        follows = np.concatenate([[False], doc[1:] == doc[:-1]])[: len(doc)]
+        #: place of the block before, or -1
+        self.before = np.where(follows, np.concatenate([[-1], place[:-1]])[: len(doc)], -1)[order]
+        self.active = np.searchsorted(-self.sizes, -np.arange(BLOCK), side="left").tolist()
+        most = int(self.sizes[0]) if len(order) else 0
         padded = np.concatenate([codes, np.zeros(BLOCK, codes.dtype)])
-        view = np.lib.stride_tricks.sliding_window_view(padded, max(most, 1))[first[self.order]]
+        view = np.lib.stride_tricks.sliding_window_view(padded, max(most, 1))[first[order]]
         #: row t: symbol t of every block
         self.columns = np.ascontiguousarray(view.T[:most])
 
@@ -162,19 +166,12 @@ class Blocks:
 def phrases(a: Automaton, b: Blocks) -> np.ndarray:
     """Number of phrases of each text."""
     entries, first_state, dead = a.entries, a.first, a.dead
-    codes, doc, first, stop, end, order = b.codes, b.doc, b.first, b.stop, b.end, b.order
-
-    def step(state: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether a phrase begins at these places, and the states after them."""
-        c = codes[at]
-        e = entries[state + c]
-        fresh = (e >> 32) != state
-        return fresh, np.where(fresh, first_state[c], e & 0xFFFFFFFF)
-
+    width, most = len(b.order), len(b.columns)
     # each block as if a phrase began with it, one symbol of all at a time
-    state = np.full(len(order), dead, np.int64)
-    begins = np.zeros((len(order), len(b.columns)), bool)
-    here, found, other = (np.empty(len(order), np.int64) for _ in range(3))
+    state = np.full(width, dead, np.int64)
+    begins = np.zeros((most, width), np.int16)
+    states = np.empty((most, width), np.int32)
+    here, found, other = (np.empty(width, np.int64) for _ in range(3))
     for t, c in enumerate(b.columns):
         k = b.active[t]
         c, s, e, o = c[:k], state[:k], found[:k], other[:k]
@@ -185,44 +182,51 @@ def phrases(a: Automaton, b: Blocks) -> np.ndarray:
         np.bitwise_and(e, 0xFFFFFFFF, out=s)
         first_state.take(c, out=o, mode="clip")
         np.copyto(s, o, where=fresh)
-        begins[:k, t] = fresh
-    mark = np.zeros(len(codes) + BLOCK, bool)
-    k, t = np.divmod(np.flatnonzero(begins), max(1, begins.shape[1]))
-    mark[first[order][k] + t] = True
-    # its last phrase goes on behind the block
-    leave = np.empty(len(first), np.int64)
-    run, at, state = order, end[order], state
-    while len(run):
-        over = at >= stop[run]
-        leave[run[over]] = stop[run[over]]
-        run, at, state = run[~over], at[~over], state[~over]
-        fresh, nxt = step(state, at)
-        leave[run[fresh]] = at[fresh]
-        run, at, state = run[~fresh], at[~fresh] + 1, nxt[~fresh]
-    before = np.concatenate([[0], np.cumsum(mark)])  # marks before a place
-    count, alone = before[end] - before[first], leave.copy()
-    entry, follows = first.copy(), np.concatenate([[False], doc[1:] == doc[:-1]])[: len(doc)]
+        begins[t, :k] = fresh
+        states[t, :k] = s
+    upto = np.cumsum(begins, axis=0, dtype=np.int16)  # phrases begun up to and with a symbol
+    last = np.where(b.sizes > 0, b.sizes - 1, 0)
+    whole = upto[last, np.arange(width)].astype(np.int64)
+    count, leave, alone = whole.copy(), state.copy(), state.copy()
+    # what enters a block is what leaves the one before it in the same text
+    entry = np.full(width, dead, np.int64)
+    flat = memoryview(entries)
     while True:
-        now = np.where(follows, np.concatenate([[0], leave[:-1]])[: len(leave)], first)
+        now = np.where(b.before >= 0, leave[b.before], dead)
         run = np.flatnonzero(now != entry)
         if not len(run):
             break
         entry = now
-        at, state, got = entry[run], np.full(len(run), dead, np.int64), np.zeros(len(run), np.int64)
-        while len(run):
-            done = at >= stop[run]
-            leave[run[done]], count[run[done]] = stop[run[done]], got[done]
-            run, at, state, got = run[~done], at[~done], state[~done], got[~done]
-            if not len(run):
-                break
-            fresh, nxt = step(state, at)
-            out = fresh & (at >= end[run])
-            leave[run[out]], count[run[out]] = at[out], got[out]
-            met = fresh & ~out & mark[at]
-            leave[run[met]], count[run[met]] = alone[run[met]], got[met] + before[end[run[met]]] - before[at[met]]
-            go = ~(out | met)
-            run, at, state, got = run[go], at[go] + 1, nxt[go], (got + fresh)[go]
-    return np.bincount(doc, count, b.texts).astype(np.int64)
+        s, got, t = entry[run], np.zeros(len(run), np.int64), 0
+        while len(run) > 12:
+            c = b.columns[t, run]
+            e = entries[s + c]
+            fresh = (e >> 32) != s
+            s = np.where(fresh, first_state[c], e & 0xFFFFFFFF)
+            got += fresh
+            met = s == states[t, run]
+            at = run[met]
+            count[at], leave[at] = got[met] + whole[at] - upto[t, at], alone[at]
+            t += 1
+            out = ~met & (b.sizes[run] == t)
+            count[run[out]], leave[run[out]] = got[out], s[out]
+            go = ~(met | out)
+            run, s, got = run[go], s[go], got[go]
+        for k, x, n in zip(run.tolist(), s.tolist(), got.tolist()):  # few are left: one by one
+            symbols, alike, size = b.columns[t:, k].tolist(), states[t:, k].tolist(), int(b.sizes[k])
+            for i in range(size - t):
+                e = flat[x + symbols[i]]
+                if e >> 32 != x:
+                    n += 1
+                    x = int(first_state[symbols[i]])
+                else:
+                    x = e & 0xFFFFFFFF
+                if x == alike[i]:
+                    count[k], leave[k] = n + whole[k] - int(upto[t + i, k]), alone[k]
+                    break
+            else:
+                count[k], leave[k] = n, x
+    return np.bincount(b.doc, count, b.texts).astype(np.int64)
 
 
 class Model:
