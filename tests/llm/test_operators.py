@@ -48,19 +48,44 @@ def test_language_id(spark, docs):
 
 
 def test_phrases_match_plain_parse():
-    a = language_id.Alphabet("abc")
-    table = language_id.automaton(a.codes("abcabbca"))
-    text = "abbcacbcaab"
-    n, at = 0, 0
-    while at < len(text):
-        size = 1
-        while at + size < len(text) and text[at : at + size + 1] in "abcabbca":
-            size += 1
-        n, at = n + 1, at + size
+    """Whole texts, longer than many blocks, copies of the training text among them."""
     import numpy as np
 
-    codes = a.codes(text).astype(np.int32)
-    assert language_id.phrases(table, codes, np.array([0, len(codes)]))[0] == n
+    rng = random.Random(4)
+    for letters, size in (("ab", 60), ("abc", 900), ("abcde", 3000)):
+        train = prose(rng, size // 4, ["".join(rng.choice(letters) for _ in range(k)) for k in (2, 3, 5)])
+        alphabet = language_id.Alphabet.learn([train])
+        a = language_id.Automaton(alphabet.codes(train), alphabet.size)
+        texts = [prose(rng, n, ["".join(rng.choice(letters + "z") for _ in range(k)) for k in (1, 2, 4, 7)]) for n in (0, 1, 80, 4000)] + [train * 3, train[7:], train]
+        want = []
+        for text in texts:
+            n = at = 0
+            while at < len(text):
+                end = at + 1
+                while end < len(text) and text[at] in train and text[at : end + 1] in train:
+                    end += 1
+                n, at = n + 1, end
+            want.append(n)
+        codes = [alphabet.codes(t) for t in texts]
+        starts = np.concatenate([[0], np.cumsum([len(c) for c in codes])])
+        flat = np.concatenate([*codes, [0]]).astype(np.int64)
+        assert language_id.phrases(a, language_id.Blocks(flat, starts)).tolist() == want
+
+
+def test_language_sample_holds_every_language(spark):
+    """One language is one text on 3,000 rows, one has only a very long text."""
+    rng = random.Random(8)
+    en = ["the", "house", "of", "river", "green", "walks", "under", "stone"]
+    out = [(3 * i, "der hund und die straße sind kalt und der schnee ist nicht warm", "de") for i in range(3000)]
+    out += [(3 * i + 1, prose(rng, 60, en), "en") for i in range(60)]
+    out += [(100_002, prose(rng, 20_000, ["casa", "perro", "calle", "fría", "nieve", "mañana"]), "es")]
+    out += [(100_005, "der schnee ist kalt", None), (100_008, prose(rng, 30, ["casa", "nieve", "perro"]), None)]
+    d = spark.createDataFrame([(i, t, l, "x", 0.5) for i, t, l in out], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language_id.train(d)
+    assert model.langs == ["de", "en", "es"]
+    kept = {r["doc_id"]: r for r in language_id.keep_known(d).collect()}
+    assert kept[100_005]["lang"] == "de" and kept[100_008]["lang"] == "es" and kept[100_008]["score"] == 0.5 and kept[0]["lang_pred"] == "x"
+    assert len(kept) == len(out)
 
 
 def test_quality_rules(spark, docs, labels):
@@ -141,17 +166,62 @@ def test_packing(spark, docs):
     got = packing.op4(spark, docs).collect()
     assert len(got) == len(rows())
     assert all((r["bucket"] is None) == (r["n_tokens"] == 0) for r in got)
-    assert len({(r["bucket"], r["shard"], r["batch"], r["slot"]) for r in got if r["bucket"] is not None}) == sum(r["n_tokens"] > 0 for r in got)
-    bins = [(n, c, n * c, n) for n, c in ((1, 5), (2, 3), (7, 2), (9, 1), (20, 1))]
-    best = min(3 * 0 + 5 * (x - 1) * (x > 1) for x in (1, 2))
-    lengths, padding = packing.boundaries(bins, 3)
-    assert lengths[-1] == 20 and padding == 4 + 5 * 1 + best or padding <= 9
+    at = sorted(((r["bucket"], r["shard"], r["batch"], r["slot"]) for r in got if r["bucket"] is not None))
+    assert len(set(at)) == sum(r["n_tokens"] > 0 for r in got)
+    tops = sorted({(r["bucket"], r["bucket_len"]) for r in got if r["bucket"] is not None})
+    for r in got:
+        if r["n_tokens"]:
+            assert r["bucket_len"] == min(t for _, t in tops if t >= r["n_tokens"])
+            # a batch holds no more than the budget, and only the last of a shard less than it could
+            assert r["slot"] < max(1, packing.BUDGET // r["bucket_len"])
 
 
-def test_token_counts():
-    pieces = {"▁": -3.0, "▁a": -1.0, "b": -2.0, "ab": -1.5, "▁ab": -4.0, "c": -2.0}
+def test_boundaries_equal_brute_force():
+    from itertools import combinations
+
+    rng = random.Random(3)
+    for _ in range(200):
+        xs = sorted(rng.sample(range(1, 30_000), rng.randrange(1, 9)))
+        lengths, k = [(x, rng.randrange(1, 5)) for x in xs], rng.randrange(1, 6)
+        pads = []
+        for q in range(1, min(k, len(xs)) + 1):
+            for c in combinations(xs[:-1], q - 1):
+                tops = [*c, xs[-1]]
+                pads.append((sum(n * (min(t for t in tops if t >= x) - x) for x, n in lengths), q))
+        tops, padding = packing.boundaries(lengths, k)
+        assert (padding, len(tops)) == min(pads)
+        assert padding == sum(n * (min(t for t in tops if t >= x) - x) for x, n in lengths)
+
+
+def tokens_by_hand(word, pieces):
+    text, low = "\u2581" + word, min(pieces.values()) - 10
+    best = [(0.0, 0)]
+    for i in range(1, len(text) + 1):
+        size = len(text[i - 1].encode())
+        options = [(best[i - 1][0] + size * low, best[i - 1][1] + size)]
+        options += [(best[j][0] + pieces[text[j:i]], best[j][1] + 1) for j in range(i) if text[j:i] in pieces]
+        best.append(max(options, key=lambda o: (round(o[0], 9), -o[1])))
+    return best[-1][1]
+
+
+def test_token_counts(spark):
+    rng = random.Random(6)
+    pieces = {"\u2581": -3.0, "\u2581a": -1.0, "b": -2.0, "ab": -1.5, "\u2581ab": -4.0, "c": -2.0, "abc": -2.5, "bc": -3.1}
+    t = token_counts.TokenTrie(pieces)
+    assert (t.count(b"ab"), t.count(b"abc"), t.count(b"a"), t.count("ß".encode())) == (2, 2, 1, 3)
+    words = sorted({"".join(rng.choice("abcß") for _ in range(rng.randrange(1, 9))) for _ in range(300)}, key=str.encode)
     t = token_counts.TokenTrie(pieces)
-    assert (t.count(b"ab"), t.count(b"abc"), t.count(b"a"), t.count("ß".encode())) == (2, 3, 1, 3)
+    assert [t.count(w.encode()) for w in words] == [tokens_by_hand(w, pieces) for w in words]
+    assert t.made <= len({("\u2581" + w)[:k] for w in words for k in range(1, len(w) + 2)})  # once for each prefix
+    long = "".join(rng.choice("abc") for _ in range(token_counts.LONG + 500))
+    texts = [" ".join(rng.choices(words, k=50)) for _ in range(20)] + [None, "", " \n", "ab " + long, "ab\u00a0c"]
+    d = spark.createDataFrame([(i if i != 7 else None, x, 1) for i, x in enumerate(texts)] + [(3, texts[3], 1), (3, "ab", 1)], "doc_id long, text string, n_tokens int")
+    want = sorted((i if i != 7 else -1, len((x or "").encode().split()), sum(tokens_by_hand(w.decode(), pieces) for w in (x or "").encode().split() if len(w) < 1000)) for i, x in [*enumerate(texts), (3, texts[3]), (3, "ab")])
+    for known in (5, 100_000):
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_pretokens"], r["n_tokens"]) for r in token_counts.count_tokens(d, pieces, known).collect())
+        big = max(r[2] for r in got)
+        assert len(long) / 3 < big < len(long)
+        assert [r if r[0] != 23 else (23, 2, 2) for r in got] == [w if w[0] != 23 else (23, 2, 2) for w in want]
 
 
 def test_licenses(spark):
@@ -249,5 +319,4 @@ def test_language_id_keeps_every_letter_and_language(spark):
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.op2(spark, d).collect()}
     assert got == {i: l for i, _, l in out}
     letters = "".join(filter(str.isalpha, map(chr, range(0x110000))))
-    a = language_id.Alphabet(letters)
-    assert len({tuple(x[:n]) for x, n in zip(a.symbols[2:].tolist(), a.size[2:].tolist())}) == len(letters)
+    assert sorted(language_id.Alphabet(letters).lut.tolist())[-len(letters) :] == list(range(2, len(letters) + 2))
