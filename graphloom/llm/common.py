@@ -112,15 +112,20 @@ PARTS = 256
 def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows: int, how: str = "left") -> DataFrame:
     """left joined with right, in which each key stands once with n, its number of rows in left.
 
-    Keys with more than rows / PARTS rows (of which there are at most PARTS) are dealt by the column
-    `spread` of left to that many more tasks, and their row of right is repeated for each.
+    Keys with more than rows / PARTS rows are dealt by the column `spread` of left to several tasks,
+    and their row of right is repeated for each. There are at most PARTS such keys, as the counts of
+    different keys add up to no more than rows, so that the driver may know them by their hashes.
     """
     most = max(1, -(-rows // PARTS))
-    salts = F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(1).cast("int")
-    # at most PARTS rows, as the counts of different keys add up to no more than rows
-    hot = F.broadcast(right.filter(F.col("n") > most).select(*on, salts.alias("__salts")))
-    dealt = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), F.coalesce("__salts", F.lit(1))).cast("int")).drop("__salts")
-    return dealt.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n"), [*on, "__salt"], how).drop("__salt")
+    key = F.xxhash64(*on)
+    hot = right.filter(F.col("n") > most).select(key.alias("key"), "n").collect()
+    if not hot:
+        return left.join(right.drop("n"), on, how)
+    salts = -(-max(r["n"] for r in hot) // most)
+    is_hot = key.isin([r["key"] for r in hot])
+    dealt = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
+    copies = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies.drop("n"), [*on, "__salt"], how).drop("__salt")
 
 
 def arrow_ready(spark: SparkSession) -> None:
