@@ -2,38 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalar as S
 from .operators import aggregate, changes, duplicates, graph, quality, text, vector
 from .operators.query import Filter, QueryOptions, hydrate, query, referencing
-from .plans.store import STORE_SQL, GraphStore, from_tables, table
+from .plans.store import GraphStore, opened, table
+from .registry import QUERIES, SQL, register
 from .sources import markdown
 from .streaming import events
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TODAY = "2000-06-14"
 
 
-def register(name: str, sql: str | None = None, store: bool = True, recursive: bool = False):
-    """Register a function of (store, spark, sf_dir), or of (spark, sf_dir) without a store."""
-
-    def add(f):
-        QUERIES[name] = (lambda spark, d: f(from_tables(spark, d), spark, d)) if store else f
-        if sql:
-            SQL[name] = (f"WITH {'RECURSIVE ' if recursive else ''}{STORE_SQL} {sql}" if store else sql).strip()
-        return f
-
-    return add
-
-
 def _ids(name: str, options: dict, where: str, extra: str = "") -> None:
     """A query on filters alone, returned whole as ids."""
-    register(name, f"{extra} SELECT id FROM nodes WHERE {where}")(lambda st, spark, d, o=options: query(st, QueryOptions(limit=None, **o)).select("id"))
+    register(name, f"{extra} SELECT id FROM nodes WHERE {where}")(lambda st, spark, d, o=options: query(st, QueryOptions(limit=None, **o), "id"))
 
 
 def _has(key: str, cond: str) -> str:
@@ -41,7 +25,7 @@ def _has(key: str, cond: str) -> str:
 
 
 _PLAIN = "(CASE WHEN value_type = 'reference' THEN replace(replace(value_text, '[[', ''), ']]', '') ELSE value_text END)"
-_ids("q_eq_reference", {"filters": [Filter("nation", "eq", "NATION3")]}, _has("nation", f"{_PLAIN} = 'NATION3'"))
+_ids("q_eq_reference", {"filters": [Filter("nation", "eq", "NATION_3")]}, _has("nation", f"{_PLAIN} = 'NATION_3'"))
 _ids("q_eq_string", {"filters": [Filter("segment", "eq", "BUILDING")]}, _has("segment", f"{_PLAIN} = 'BUILDING'"))
 _ids("q_neq_has_field", {"filters": [Filter("status", "neq", "done")]}, _has("status", f"{_PLAIN} <> 'done'"))
 _ids("q_in_set", {"filters": [Filter("status", "in", ["todo", "done"])]}, _has("status", f"{_PLAIN} IN ('todo', 'done')"))
@@ -51,8 +35,11 @@ _ids("q_lte_number", {"filters": [Filter("size", "lte", 10)]}, _has("size", "val
 _ids("q_lt_date_text", {"filters": [Filter("due_date", "lt", "1997-01-01")]}, _has("due_date", "value_date < '1997-01-01'"))
 _ids("q_gte_date_text", {"filters": [Filter("due_date", "gte", "2000-01-01")]}, _has("due_date", "value_date >= '2000-01-01'"))
 _ids("q_gt_string", {"filters": [Filter("brand", "gt", "Brand#3")]}, _has("brand", "value_text > 'Brand#3'"))
-_ids("q_contains_ascii", {"filters": [Filter("type", "contains", "STEEL")]}, _has("type", "contains(lower(value_text), 'steel')"))
-_ids("q_contains_wildcard_literal", {"filters": [Filter("priority", "contains", "%")]}, _has("priority", "contains(value_text, '%')"))
+_ids("q_contains_ascii", {"filters": [Filter("type", "contains", "romo")]}, _has("type", "contains(lower(value_text), 'romo')"))
+_ids("q_contains_wildcard_literal", {"filters": [Filter("nation", "contains", "n_1")]}, _has("nation", "contains(lower(value_text), 'n_1')"))
+_ids("q_eq_number", {"filters": [Filter("price", "eq", 900.5)]}, _has("price", "value_number = 900.5"))
+_ids("q_gt_quote", {"filters": [Filter("brand", "gt", "B'and#3")]}, _has("brand", "value_text > 'B''and#3'"))
+_ids("q_modified_since", {"modified_since": "2000-01-20"}, "file_mtime > TIMESTAMP '2000-01-20'")
 _ids("q_path_prefix", {"path_prefix": "customers"}, "starts_with(id, 'customers/')")
 _ids("q_since", {"since": "2000-01-01"}, "indexed_at > TIMESTAMP '2000-01-01'")
 _ids("q_multi_filter_and", {"schema_type": "task", "filters": [Filter("status", "eq", "todo"), Filter("total", "gt", 100000), Filter("priority", "neq", "1-URGENT")]}, "id IN (SELECT node_id FROM types WHERE schema_type = 'task') AND " + " AND ".join([_has("status", "value_text = 'todo'"), _has("total", "value_number > 100000"), _has("priority", "value_text <> '1-URGENT'")]))
@@ -97,7 +84,7 @@ register("q_computed_count", "SELECT resolved AS target, count(DISTINCT source_i
 def _pct(flt: str) -> str:
     return f""", b AS (SELECT resolved AS target, count(DISTINCT source_id) AS d FROM edges WHERE rel_type = 'project' AND resolved IS NOT NULL {flt} GROUP BY 1),
 m AS (SELECT resolved AS target, count(DISTINCT source_id) AS m FROM edges WHERE rel_type = 'project' AND source_id IN (SELECT node_id FROM fields WHERE key = 'status' AND value_text = 'done') GROUP BY 1)
-SELECT target, floor(coalesce(m, 0) / d * 100 * 100 + 0.5) / 100 AS pct FROM b LEFT JOIN m USING (target)"""
+SELECT target, CASE WHEN d > 0 THEN floor(coalesce(m, 0) / d * 100 * 100 + 0.5) / 100 ELSE 0 END AS pct FROM b FULL JOIN m USING (target)"""
 
 
 register("q_computed_pct", _pct(""))(lambda st, spark, d: aggregate.computed_percentage(st, "task", {}, {"status": "done"}, "project"))
@@ -106,8 +93,8 @@ register("q_field_profile", "SELECT schema_type, key, value_type, value_text, co
 register("q_field_frequency", "SELECT schema_type, key, count(DISTINCT node_id) AS n_nodes, count(DISTINCT node_id) / any_value(total) AS frequency FROM fields JOIN types USING (node_id) JOIN (SELECT schema_type, count(DISTINCT node_id) AS total FROM types GROUP BY 1) USING (schema_type) GROUP BY 1, 2")(lambda st, spark, d: aggregate.field_frequency(st))
 _DOMINANT = "dom AS (SELECT schema_type, key, arg_min(value_type, (-n, value_type)) AS value_type FROM (SELECT schema_type, key, value_type, count(*) AS n FROM fields JOIN types USING (node_id) GROUP BY ALL) GROUP BY 1, 2)"
 register("q_dominant_type", f", {_DOMINANT} SELECT * FROM dom")(lambda st, spark, d: aggregate.dominant_type(st))
-_INFER = f"""{_DOMINANT}, s AS (SELECT schema_type, key, count(DISTINCT value_text) FILTER (value_type = 'string') AS ds, count(*) FILTER (value_type = 'string') AS ns FROM fields JOIN types USING (node_id) GROUP BY 1, 2),
-inferred AS (SELECT schema_type, key, CASE WHEN value_type <> 'string' THEN value_type WHEN ds BETWEEN 2 AND 20 AND ds / ns < 0.5 THEN 'enum' ELSE 'string' END AS field_type FROM dom JOIN s USING (schema_type, key))"""
+_INFER = rf"""{_DOMINANT}, s AS (SELECT schema_type, key, count(DISTINCT value_text) FILTER (value_type = 'string') AS ds, count(*) FILTER (value_type = 'string') AS ns, bool_and(regexp_matches(value_text, '^\[\[[^\]]+\]\]$')) FILTER (value_type = 'string') AS links FROM fields JOIN types USING (node_id) GROUP BY 1, 2),
+inferred AS (SELECT schema_type, key, CASE WHEN value_type <> 'string' THEN value_type WHEN links THEN 'reference' WHEN ds BETWEEN 2 AND 20 AND ds / ns < 0.5 THEN 'enum' ELSE 'string' END AS field_type FROM dom JOIN s USING (schema_type, key))"""
 register("q_enum_candidates", f", {_INFER} SELECT * FROM inferred")(lambda st, spark, d: aggregate.infer_field_types(st))
 register("q_shared_fields", f", {_INFER} SELECT key, field_type, string_agg(DISTINCT schema_type, ',' ORDER BY schema_type) AS schema_types FROM inferred GROUP BY 1, 2 HAVING count(DISTINCT schema_type) > 1")(lambda st, spark, d: aggregate.shared_fields(st))
 register("q_status_buckets", "SELECT coalesce(f.value_text, 'unknown') AS status, count(*) AS n FROM types t LEFT JOIN fields f ON f.node_id = t.node_id AND f.key = 'status' WHERE schema_type = 'task' GROUP BY 1")(lambda st, spark, d: aggregate.status_buckets(st))
@@ -128,7 +115,7 @@ def _(st, spark, d):
 
 @register("q_resolve_ambiguous", "SELECT p_name AS target, CASE WHEN count(*) = 1 THEN 'parts/' || min(p_partkey) || '.md' END AS resolved FROM part GROUP BY 1", store=False)
 def _(spark, d):
-    nodes = from_tables(spark, d).nodes
+    nodes = opened(spark, d).nodes
     return graph.resolve(table(spark, d, "part").select(F.col("p_name").alias("target")).distinct(), nodes)
 
 
@@ -141,7 +128,7 @@ def _bfs(name: str, root: str, depth: int, direction: str, rel: str | None = Non
         out, into = f"{out} AND rel_type = '{rel}'", f"{into} AND rel_type = '{rel}'"
     hops = {"outgoing": out, "incoming": into, "both": f"{out} UNION ALL {into}"}[direction]
     register(name, f", hops AS (SELECT DISTINCT u, v FROM ({hops})), walk AS (SELECT '{root}' AS id, 0 AS depth UNION SELECT v, depth + 1 FROM walk JOIN hops ON u = id WHERE depth < {depth}) SELECT id, min(depth) AS depth FROM walk WHERE id <> '{root}' GROUP BY 1", recursive=True)(
-        lambda st, spark, d: graph.traverse(st, root, depth, direction, [rel] if rel else None)
+        lambda st, spark, d: graph.traverse(st, root, depth, direction, [rel] if rel else None)[0]
     )
 
 
@@ -156,6 +143,8 @@ for _n, _e, _w in (
     ("q_fts_and", "thing that", "list_contains(w, 'thing') AND list_contains(w, 'that')"),
     ("q_fts_or", "pour OR para", "list_contains(w, 'pour') OR list_contains(w, 'para')"),
     ("q_fts_not", "that NOT which", "list_contains(w, 'that') AND NOT list_contains(w, 'which')"),
+    ("q_fts_not_and", "the NOT that thing", "list_contains(w, 'the') AND NOT (list_contains(w, 'that') AND list_contains(w, 'thing'))"),
+    ("q_fts_or_not", "para OR the NOT that", "list_contains(w, 'para') OR (list_contains(w, 'the') AND NOT list_contains(w, 'that'))"),
     ("q_fts_prefix", "licen*", "len(list_filter(w, lambda x: starts_with(x, 'licen'))) > 0"),
     ("q_fts_phrase", '"apache license version"', "contains(' ' || array_to_string(w, ' ') || ' ', ' apache license version ')"),
 ):
@@ -182,7 +171,14 @@ for _n, _k, _pre, _post in (("q_knn_dedup_node", {}, "", ""), ("q_knn_postfilter
         lambda spark, d, k=_k: vector.semantic_search(_chunks(spark, d), _PROBE, 10, **({**k, "allowed": _chunks(spark, d).filter("label < 5").select("node_id").distinct()} if k else {})).select("node_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
     )
 register("q_token_estimate", r"SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.3)::BIGINT AS tokens FROM documents", store=False)(lambda spark, d: table(spark, d, "documents").select("doc_id", S.token_estimate(F.col("text")).cast("bigint").alias("tokens")))
-register("q_chunk_sections", store=False)(lambda spark, d: vector.chunk(table(spark, d, "documents")))
+_SECTIONED = r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '## First' || chr(10) || text || chr(10) || '### Second ' || doc_id || chr(10) || 'tail' ELSE text END AS text FROM documents WHERE text IS NOT NULL"""
+register("q_chunk_sections", rf"""WITH d AS ({_SECTIONED}), t AS (SELECT *, ceil(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.3) AS n FROM d),
+c AS (SELECT doc_id, 0 AS chunk_index, NULL AS heading, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content FROM t WHERE doc_id % 2 = 1 OR n < 200
+UNION ALL SELECT t.doc_id, 0, 'First', regexp_replace(o.text, '^\s+|\s+$', '', 'g') FROM t JOIN documents o USING (doc_id) WHERE t.doc_id % 2 = 0 AND n >= 200
+UNION ALL SELECT doc_id, 1, 'Second ' || doc_id, 'tail' FROM t WHERE doc_id % 2 = 0 AND n >= 200)
+SELECT *, ceil(len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) * 1.3)::BIGINT AS token_count FROM c""", store=False)(
+    lambda spark, d: vector.chunk(table(spark, d, "documents").filter("text is not null").select("doc_id", F.when(F.expr("doc_id % 2 = 0"), F.concat(F.lit("## First\n"), "text", F.lit("\n### Second "), F.col("doc_id").cast("string"), F.lit("\ntail"))).otherwise(F.col("text")).alias("text"))).withColumn("token_count", F.col("token_count").cast("bigint"))
+)
 register("q_embed_hash", store=False)(lambda spark, d: vector.hash_embed(table(spark, d, "documents")))
 
 
@@ -191,7 +187,7 @@ def _titles(spark, d):
 
 
 _NORM = r"SELECT 'parts/' || p_partkey || '.md' AS id, trim(regexp_replace(regexp_replace(trim(lower(p_name || ' ' || p_brand)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM part"
-register("q_dup_exact", f"SELECT norm, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM ({_NORM}) GROUP BY 1 HAVING count(*) > 1", store=False)(lambda spark, d: duplicates.exact(_titles(spark, d)))
+register("q_dup_exact", f"SELECT * FROM (SELECT norm, count(*) OVER (PARTITION BY norm) AS n, id FROM ({_NORM})) WHERE n > 1", store=False)(lambda spark, d: duplicates.exact(_titles(spark, d)))
 _NEAR = f"""s AS (SELECT norm, min(id) AS id, dense_rank() OVER (ORDER BY norm[:3]) AS ord FROM ({_NORM}) GROUP BY norm HAVING count(*) = 1),
 p AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, 1 - levenshtein(x.norm, y.norm) / greatest(len(x.norm), len(y.norm)) AS sim FROM s x JOIN s y ON y.ord = x.ord + 1 OR (y.ord = x.ord AND x.id < y.id)),
 near AS (SELECT a, b, floor(sim * 100 + 0.5) / 100 AS similarity FROM p WHERE sim >= 0.8 AND sim < 1)"""
@@ -223,8 +219,8 @@ register("q_cdc_diff", _DIFF, store=False)(_snapshots)
 register("q_cdc_counts", f"SELECT action, count(*) AS n FROM ({_DIFF}) GROUP BY 1", store=False)(lambda spark, d: _snapshots(spark, d).groupBy("action").agg(F.count("*").alias("n")))
 _TODO = "(SELECT node_id FROM fields WHERE key = 'status' AND value_text = 'todo')"
 register("q_bulk_update", f"SELECT node_id, key, value_text FROM fields WHERE key NOT IN ('status', 'priority') OR node_id NOT IN {_TODO} UNION ALL SELECT node_id, 'status', 'blocked' FROM fields WHERE key = 'status' AND value_text = 'todo'")(lambda st, spark, d: changes.update_fields(st, st.fields.filter("key = 'status' and value_text = 'todo'").select("node_id"), {"status": "blocked", "priority": None}).select("node_id", "key", "value_text"))
-register("q_delete_dangling", "SELECT source_id, target_id, rel_type, CASE WHEN resolved NOT IN (SELECT node_id FROM fields WHERE key = 'size' AND value_number > 25) THEN resolved END AS resolved FROM edges")(lambda st, spark, d: changes.delete_nodes(st, st.fields.filter("key = 'size' and value_number > 25").select("node_id")).edges)
-register("q_rename_refs", "SELECT node_id, replace(value_text, '[[NATION3]]', '[[Third]]') AS value_text FROM fields WHERE key = 'nation'")(lambda st, spark, d: changes.rename_references(st.fields.filter("key = 'nation'"), "nation3", "Third").select("node_id", "value_text"))
+register("q_delete_dangling", "SELECT source_id, target_id, rel_type, CASE WHEN resolved NOT IN (SELECT node_id FROM fields WHERE key = 'size' AND value_number > 25) THEN resolved END AS resolved FROM edges")(lambda st, spark, d: changes.delete_nodes(st, st.fields.filter("key = 'size' and value_number > 25").select("node_id")).edges.select("source_id", "target_id", "rel_type", "resolved"))
+register("q_rename_refs", "SELECT node_id, replace(value_text, '[[NATION_3]]', '[[Third $1 \\E]]') AS value_text FROM fields WHERE key = 'nation'")(lambda st, spark, d: changes.rename_references(st.fields.filter("key = 'nation'"), "nation_3", "Third $1 \\E").select("node_id", "value_text"))
 
 _RAW = "'---' || chr(10) || 'status: ' || o_orderstatus || chr(10) || 'customer: \"[[' || o_custkey || '|C' || o_custkey || ']]\"' || chr(10) || '---' || chr(10) || 'See [[Order ' || o_orderkey || ']] and ![[scan' || o_orderkey || '.png|100]].'"
 
@@ -236,8 +232,8 @@ def _notes(spark, d):
     return o.select(F.col("o_orderkey").alias("path"), raw.alias("raw"))
 
 
-register("q_parse_frontmatter", "SELECT o_orderkey AS path, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'customer', '\"[[' || o_custkey || '|C' || o_custkey || ']]\"' FROM orders", store=False)(lambda spark, d: markdown.flat_fields(_notes(spark, d)))
-register("q_extract_links", "SELECT o_orderkey AS path, 0 AS ordinal, o_custkey::VARCHAR AS target, 'C' || o_custkey AS alias FROM orders UNION ALL SELECT o_orderkey, 1, 'Order ' || o_orderkey, NULL FROM orders UNION ALL SELECT o_orderkey, 2, 'scan' || o_orderkey || '.png', '100' FROM orders", store=False)(lambda spark, d: markdown.links(_notes(spark, d)))
+register("q_parse_frontmatter", "SELECT o_orderkey AS path, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'customer', '[[' || o_custkey || '|C' || o_custkey || ']]' FROM orders", store=False)(lambda spark, d: markdown.flat_fields(_notes(spark, d)))
+register("q_extract_links", "SELECT o_orderkey AS path, 0 AS ordinal, o_custkey::VARCHAR AS target, 'C' || o_custkey AS alias FROM orders UNION ALL SELECT o_orderkey, 1, 'Order ' || o_orderkey, NULL FROM orders UNION ALL SELECT o_orderkey, 2, 'scan' || o_orderkey || '.png', '100' FROM orders", store=False)(lambda spark, d: markdown.links(_notes(spark, d)).drop("start", "end"))
 register("q_extract_embeds", "SELECT o_orderkey AS path, 'scan' || o_orderkey || '.png' AS file, 'image' AS class FROM orders", store=False)(lambda spark, d: _notes(spark, d).select("path", F.explode(markdown.embeds(F.col("raw"))).alias("file")).withColumn("class", markdown.attachment_class(F.col("file"))))
 register("q_plain_text", "SELECT o_orderkey AS path, 'See Order ' || o_orderkey || ' and !100.' AS text FROM orders", store=False)(lambda spark, d: _notes(spark, d).select("path", markdown.plain_text(F.col("raw")).alias("text")))
 register("q_patch_frontmatter", f"SELECT o_orderkey AS path, replace({_RAW}, 'status: ' || o_orderstatus, 'status: done') AS raw FROM orders", store=False)(lambda spark, d: _notes(spark, d).select("path", markdown.patch_header(F.col("raw"), "status", "done").alias("raw")))
@@ -250,3 +246,6 @@ b AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT AS last, count(*) AS n FROM b GROUP BY user_id, run""", store=False)(lambda spark, d: events.debounce(table(spark, d, "events")).select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("last").alias("last"), "n"))
 register("q_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events", store=False)(lambda spark, d: events.once(table(spark, d, "events").select("user_id", "event_type", "ts"), ["user_id", "event_type"]).select("user_id", "event_type"))
 register("q_stream_queue", "SELECT event_id AS chunk_id, CASE WHEN event_type <> 'error' THEN 'done' WHEN event_id % 3 + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status, (event_id % 3 + 1)::BIGINT AS attempts FROM events", store=False)(lambda spark, d: events.queue_step(table(spark, d, "events").select(F.col("event_id").alias("chunk_id"), F.expr("event_id % 3").alias("attempts")), table(spark, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("chunk_id"))))
+
+
+from . import catalogue_notes  # noqa: E402, F401  (registers the queries of notes, schemas and edits)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def number_text(c: Column) -> Column:
-    """A double as text, whole numbers without a fraction."""
-    return F.when(c == F.floor(c), c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+    """A double as text without an exponent, whole numbers without a fraction."""
+    long = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "0+$", "")
+    return F.when(c == F.floor(c), c.cast("bigint").cast("string")).when(F.abs(c) < 1e7, c.cast("string")).otherwise(long)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -25,9 +30,45 @@ def wrap_reference(c: Column) -> Column:
     return F.when(c.startswith("[[") & c.endswith("]]"), c).otherwise(F.concat(F.lit("[["), c, F.lit("]]")))
 
 
+@F.pandas_udf(StringType())
+def nfc(c: pd.Series) -> pd.Series:
+    """Composed characters (Unicode NFC), which has no built-in function."""
+    return c.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+
+
 def fold_typography(c: Column) -> Column:
-    """Curly quotes, dashes, ellipses and hard spaces to plain characters, then lower case."""
-    return F.lower(F.replace(F.translate(c, "‘’“”–— ", "''\"\"-- "), F.lit("…"), F.lit("...")))
+    """Composed; curly quotes, dashes, ellipses and hard spaces to plain characters; lower case."""
+    return F.lower(F.replace(F.translate(nfc(c), "\u2018\u2019\u201c\u201d\u2013\u2014\u00a0", "''\"\"-- "), F.lit("…"), F.lit("...")))
+
+
+def title_case(c: Column) -> Column:
+    """meeting-note -> Meeting Note: parts between dashes with a capital first letter."""
+    return F.array_join(F.transform(F.split(c, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+
+
+def spaced(c: Column) -> Column:
+    return F.replace(c, F.lit("_"), F.lit(" "))
+
+
+def dirname(path: Column) -> Column:
+    """Up to the last slash; nothing without one."""
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
+def stem(path: Column) -> Column:
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.md$", "")
+
+
+def decode(value_type: Column, text: Column, number: Column) -> Column:
+    """A stored field as JSON: numbers and booleans bare, lists as they are, the rest as strings."""
+    quoted = F.substring(F.to_json(F.array(text)), 2, 2_000_000_000)
+    quoted = F.substring(quoted, F.lit(1), F.length(quoted) - 1)
+    return F.when(value_type == "number", number_text(number)).when(value_type.isin("boolean", "list"), text).otherwise(quoted)
+
+
+def json_items(text: Column) -> Column:
+    """A stored list as an array of texts."""
+    return F.from_json(text, "array<string>")
 
 
 def normal_title(c: Column) -> Column:
@@ -72,6 +113,11 @@ def clock(seconds: Column) -> Column:
 
 
 def quote_yaml(c: Column) -> Column:
-    """A scalar as YAML: quoted where a plain one would be read as something else."""
-    odd = (c == "") | (c != F.trim(c)) | F.lower(c).isin("true", "false", "yes", "no", "null", "on", "off", "~") | c.rlike(r"^[-+]?[0-9.]+$") | c.rlike(r"^\[\[|[:#\[\]{},&*!|>'\"%@`]")
-    return F.when(odd, F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(c)
+    """A string as YAML: plain if it starts with a letter and holds only safe characters and can't be
+    read as something else, else in double quotes."""
+    safe = c.rlike(r"^[a-zA-Z][a-zA-Z0-9 _.\-]*$") & (c == F.trim(c)) & ~F.lower(c).isin("true", "false", "yes", "no", "on", "off") & ~c.isin("null", "Null", "NULL")
+    return F.when(safe, c).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
+
+
+def quote_key(c: Column) -> Column:
+    return F.when(c.rlike(r"^[a-zA-Z_][a-zA-Z0-9_\-]*$"), c).otherwise(F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round2
+from ..functions.scalar import dirname, json_items, round2
 from ..plans.store import GraphStore
 
 
@@ -32,7 +32,8 @@ def computed_percentage(store: GraphStore, schema_type: str, filters: dict[str,
     """(target, pct): numerator keys replace filter values of the same key; 0 without any."""
     base = _linked(store, schema_type, filters, rel_type).groupBy(F.col("resolved").alias("target")).agg(F.countDistinct("source_id").alias("d"))
     top = _linked(store, schema_type, filters | numerator, rel_type).groupBy(F.col("resolved").alias("target")).agg(F.countDistinct("source_id").alias("m"))
-    return base.join(top, "target", "left").select("target", round2(F.coalesce("m", F.lit(0)) / F.col("d") * 100).alias("pct"))
+    pct = F.when(F.col("d") > 0, round2(F.coalesce("m", F.lit(0)) / F.col("d") * 100)).otherwise(0.0)
+    return base.join(top, "target", "full").select("target", pct.alias("pct"))
 
 
 def value_profile(store: GraphStore, schema_type: str | None = None) -> DataFrame:
@@ -54,13 +55,100 @@ def dominant_type(store: GraphStore) -> DataFrame:
 
 
 def infer_field_types(store: GraphStore) -> DataFrame:
-    """(schema_type, key, field_type): number, date, boolean, list, reference, enum or string."""
+    """(schema_type, key, field_type): the dominant value type; a list whose items are all links is
+    list<reference>, another list<string>; strings that are all links are reference, few different
+    ones enum."""
     v = store.fields.join(store.types, "node_id").groupBy("schema_type", "key", "value_type", "value_text").agg(F.count("*").alias("n"))
-    per = v.groupBy("schema_type", "key").agg(F.sum("n").alias("total"), F.count_if(F.col("value_type") == "string").alias("distinct_strings"), F.sum(F.when(F.col("value_type") == "string", F.col("n")).otherwise(0)).alias("strings"))
-    kind = F.when(F.col("value_type") != "string", F.col("value_type")).when(F.col("distinct_strings").between(2, 20) & (F.col("distinct_strings") / F.col("strings") < 0.5), "enum").otherwise("string")
+    of = lambda t: F.col("value_type") == t
+    link = F.col("value_text").rlike(WHOLE_LINK)
+    items = F.when(of("list"), json_items(F.col("value_text")))
+    per = v.groupBy("schema_type", "key").agg(
+        F.count_if(of("string")).alias("distinct_strings"),
+        F.sum(F.when(of("string"), F.col("n")).otherwise(0)).alias("strings"),
+        F.coalesce(F.bool_and(F.when(of("string"), link)), F.lit(False)).alias("links"),
+        F.coalesce(F.bool_and(F.forall(items, lambda x: x.rlike(WHOLE_LINK))) & (F.sum(F.coalesce(F.size(items), F.lit(0))) > 0), F.lit(False)).alias("link_lists"),
+    )
+    few = F.col("distinct_strings").between(2, 20) & (F.col("distinct_strings") / F.col("strings") < 0.5)
+    kind = F.when(of("list"), F.when(F.col("link_lists"), "list<reference>").otherwise("list<string>")).when(~of("string"), F.col("value_type")).when(F.col("links"), "reference").when(few, "enum").otherwise("string")
     return per.join(dominant_type(store), ["schema_type", "key"]).select("schema_type", "key", kind.alias("field_type"))
 
 
+#: A value that is nothing but a link.
+WHOLE_LINK = r"^\[\[[^\]]+\]\]$"
+#: Share of a type's notes that must lie in one folder, and of those that must begin with a date.
+FOLDER_SHARE, DATE_SHARE = 0.8, 0.5
+
+
+def filename_templates(store: GraphStore) -> DataFrame:
+    """(schema_type, template): the folder that most notes of a type lie in, with a date before the
+    title where the type has a field `date` and most names there begin with one; else null."""
+    at = store.types.select(F.col("node_id").alias("id"), "schema_type").withColumn("dir", dirname(F.col("id")))
+    dated = F.substring_index("id", "/", -1).rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}")
+    dirs = at.groupBy("schema_type", "dir").agg(F.count("*").alias("n"), F.avg(dated.cast("double")).alias("dated"))
+    top = dirs.groupBy("schema_type").agg(F.sum("n").alias("total"), F.min_by(F.struct("dir", "n", "dated"), F.struct(-F.col("n"), "dir")).alias("top"))
+    has_date = store.fields.filter("key = 'date'").join(store.types, "node_id").select("schema_type").distinct().withColumn("has", F.lit(True))
+    name = F.when(F.coalesce("has", F.lit(False)) & (F.col("top.dated") > DATE_SHARE), "{{date}}-{{title}}.md").otherwise("{{title}}.md")
+    folder = F.when(F.col("top.dir") == "", "").otherwise(F.concat("top.dir", F.lit("/")))
+    return top.join(has_date, "schema_type", "left").select("schema_type", F.when(F.col("top.n") / F.col("total") >= FOLDER_SHARE, F.concat(folder, name)).alias("template"))
+
+
+def enum_values(store: GraphStore) -> DataFrame:
+    """(schema_type, key, value, n): the values of fields that are inferred to be enums."""
+    kinds = infer_field_types(store).filter("field_type = 'enum'").select("schema_type", "key")
+    return value_profile(store).filter("value_type = 'string'").join(kinds, ["schema_type", "key"]).select("schema_type", "key", F.col("value_text").alias("value"), "n")
+
+
+def samples(store: GraphStore, most: int = 10) -> DataFrame:
+    """(schema_type, key, values): the most frequent values of each field, as JSON."""
+    p = value_profile(store).withColumn("k", F.row_number().over(Window.partitionBy("schema_type", "key").orderBy(F.desc("n"), "value_text"))).filter(F.col("k") <= most)
+    return p.groupBy("schema_type", "key").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("k", "value_text"))), lambda x: x["value_text"])).alias("values"))
+
+
+def discrepancies(store: GraphStore, declared: DataFrame) -> DataFrame:
+    """(schema_type, key, issue, detail) between data and declared fields (schema_type, key,
+    field_type, values): undefined, absent, type, and enum values on one side only."""
+    seen = infer_field_types(store).join(declared.select("schema_type").distinct(), "schema_type", "left_semi")
+    d = declared.select("schema_type", "key", F.col("field_type").alias("want"), "values")
+    both = seen.join(d, ["schema_type", "key"], "full")
+    kind = F.when(F.col("want").isNull(), "undefined").when(F.col("field_type").isNull(), "absent").when(F.col("want") != F.col("field_type"), "type")
+    detail = F.when(F.col("want").isNull(), F.col("field_type")).when(F.col("field_type").isNull(), F.col("want")).otherwise(F.concat_ws(" / ", "want", "field_type"))
+    out = both.select("schema_type", "key", kind.alias("issue"), detail.alias("detail")).filter("issue is not null")
+    enums = both.filter("want = 'enum' and field_type = 'enum'").select("schema_type", "key", "values")
+    have = enum_values(store).join(enums.select("schema_type", "key"), ["schema_type", "key"], "left_semi").select("schema_type", "key", "value")
+    want = enums.select("schema_type", "key", F.explode("values").alias("value"))
+    extra = have.join(want, ["schema_type", "key", "value"], "left_anti").select("schema_type", "key", F.lit("extra value").alias("issue"), F.col("value").alias("detail"))
+    missing = want.join(have, ["schema_type", "key", "value"], "left_anti").select("schema_type", "key", F.lit("missing value").alias("issue"), F.col("value").alias("detail"))
+    return out.unionByName(extra).unionByName(missing)
+
+
+def active_projects(store: GraphStore) -> DataFrame:
+    """(id, status, total, done): projects whose status is active or missing, with their tasks."""
+    p = store.types.filter("schema_type = 'project'").select("node_id").distinct()
+    s = store.fields.filter("key = 'status'").select("node_id", F.col("value_text").alias("status"))
+    p = p.join(s, "node_id", "left").filter("status is null or status = 'active'").select(F.col("node_id").alias("id"), F.coalesce("status", F.lit("active")).alias("status"))
+    tasks = _linked(store, "task", {}, None).distinct().join(s.select(F.col("node_id").alias("source_id"), F.col("status").alias("task_status")), "source_id", "left")
+    n = tasks.groupBy(F.col("resolved").alias("id")).agg(F.count("*").alias("total"), F.count_if(F.col("task_status") == "done").alias("done"))
+    return p.join(n, "id", "left").select("id", "status", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("done", F.lit(0)).alias("done"))
+
+
+def task_lists(store: GraphStore, project: str) -> DataFrame:
+    """(status, n, ids): the tasks that link to a project by any link, by status."""
+    t = _linked(store, "task", {}, None).filter(F.col("resolved") == project).select(F.col("source_id").alias("node_id")).distinct()
+    f = store.fields.filter("key = 'status'").select("node_id", F.col("value_text").alias("status"))
+    return t.join(f, "node_id", "left").groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("node_id")), ",").alias("ids"))
+
+
+def recent(store: GraphStore, ids: DataFrame | None = None, n: int = 10) -> DataFrame:
+    """The n nodes indexed last (of ids (id))."""
+    nodes = store.nodes if ids is None else store.nodes.join(ids, "id", "left_semi")
+    return nodes.orderBy(F.col("indexed_at").desc(), "id").limit(n).select("id", "indexed_at")
+
+
+def queue_stats(queue: DataFrame) -> DataFrame:
+    """(status, n) of a work queue; pending counts what is pending or being worked on."""
+    return queue.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def shared_fields(store: GraphStore) -> DataFrame:
     """(key, field_type, schema_types): fields that two or more types have with the same type."""
     return infer_field_types(store).groupBy("key", "field_type").agg(F.array_join(F.sort_array(F.collect_set("schema_type")), ",").alias("schema_types"), F.countDistinct("schema_type").alias("n")).filter("n > 1").drop("n")

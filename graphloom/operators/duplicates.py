@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,27 +11,43 @@ from ..functions.scalar import normal_title, round2, similarity
 
 
 def exact(nodes: DataFrame) -> DataFrame:
-    """(norm, n, ids) of normalised titles that two or more nodes have."""
-    return nodes.select("id", normal_title(F.col("title")).alias("norm")).groupBy("norm").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids")).filter("n > 1")
+    """(norm, n, id): the members of each normalised title that two or more nodes have."""
+    norm = nodes.select("id", normal_title(F.col("title")).alias("norm"))
+    shared = norm.groupBy("norm").agg(F.count("*").alias("n")).filter("n > 1")
+    return norm.join(shared, "norm").select("norm", "n", "id")
 
 
 def near(nodes: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(a, b, similarity) of titles that no other node has, from the same 3-letter block or the
-    next existing one, with threshold <= similarity < 1."""
+    next existing one, with threshold <= similarity < 1.
+
+    Titles of such a similarity differ in length by 1 - threshold of the longer at most, so that they
+    lie in the same band of lengths or in neighbouring ones; block and band are keys of the join.
+    """
     norm = nodes.select("id", normal_title(F.col("title")).alias("norm"))
     single = norm.groupBy("norm").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").select("id", "norm").withColumn("block", F.substring("norm", 1, 3))
     # the table of blocks is small (3 letters), so one window over it is fine
     blocks = single.select("block").distinct().withColumn("ord", F.dense_rank().over(Window.orderBy("block")))
-    s = single.join(blocks, "block")
-    left = s.select(F.col("id").alias("ia"), F.col("norm").alias("na"), F.col("ord").alias("oa"), F.explode(F.array("ord", F.col("ord") + 1)).alias("ord"))
-    pairs = left.join(s.select("id", "norm", "ord"), "ord").filter("oa < ord or (oa = ord and ia < id)")
+    width = -math.log(max(threshold, 0.05)) + 1e-9
+    s = single.join(blocks, "block").withColumn("band", F.floor(F.log(F.greatest(F.length("norm"), F.lit(1)).cast("double")) / width).cast("int"))
+    left = s.select(F.col("id").alias("ia"), F.col("norm").alias("na"), F.col("ord").alias("oa"), F.explode(F.array("ord", F.col("ord") + 1)).alias("ord"), "band")
+    left = left.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)))
     longest = F.greatest(F.length("na"), F.length("norm"))
-    # the difference in length alone bounds the similarity
-    pairs = pairs.filter(F.abs(F.length("na") - F.length("norm")) <= (1 - threshold) * longest + 1e-9)
+    close = F.abs(F.length("na") - F.length("norm")) <= (1 - threshold) * longest + 1e-9
+    right = s.select("id", "norm", F.col("ord").alias("ord_b"), F.col("band").alias("band_b"))
+    pairs = left.join(right, (F.col("ord") == F.col("ord_b")) & (F.col("band") == F.col("band_b")) & ((F.col("oa") < F.col("ord")) | (F.col("ia") < F.col("id"))) & close)
     pairs = pairs.withColumn("sim", similarity(F.col("na"), F.col("norm"))).filter((F.col("sim") >= threshold) & (F.col("sim") < 1))
     return pairs.select(F.least("ia", "id").alias("a"), F.greatest("ia", "id").alias("b"), round2(F.col("sim")).alias("similarity"))
 
 
+def groups(nodes: DataFrame, threshold: float = 0.8, limit: int = 50) -> tuple[DataFrame, int]:
+    """The most similar groups (similarity, ids, reason), exact ones first, and how many there are."""
+    same = exact(nodes).groupBy("norm").agg(F.slice(F.sort_array(F.collect_list("id")), 1, 1000).alias("ids")).select(F.lit(1.0).alias("similarity"), "ids", F.lit("identical normalized title").alias("reason"))
+    alike = near(nodes, threshold).select("similarity", F.array("a", "b").alias("ids"), F.lit("similar title").alias("reason"))
+    every = same.unionByName(alike)
+    return every.orderBy(F.desc("similarity"), "ids").limit(limit), every.count()
+
+
 def field_overlap(pairs: DataFrame, fields: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs with 0.7 * similarity + 0.3 * share of equal fields, those under threshold dropped."""
     f = fields.select("node_id", "key", "value_text")

@@ -1,47 +1,147 @@
-"""Link resolution and bounded traversal."""
+"""Identity and link resolution, and bounded traversal."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import fold_typography
+from ..functions.scalar import fold_typography, nfc
+from ..plans.shared import written
 from ..plans.store import GraphStore
 
+TIERS = ("exact", "nfc", "typographic")
+
 
 def lookup(nodes: DataFrame) -> DataFrame:
     """(name, tier, id): unique titles (tier 0) and unique path suffixes (tier 1)."""
     stem = F.regexp_replace("id", r"\.md$", "")
     parts = F.split(stem, "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    paths = nodes.select("id", F.explode(suffixes).alias("suffix"))
-    every = nodes.select(fold_typography(F.col("title")).alias("name"), F.lit(0).alias("tier"), "id").unionByName(paths.select(fold_typography(F.col("suffix")).alias("name"), F.lit(1).alias("tier"), "id"))
+    paths = nodes.select("id", F.explode(suffixes).alias("name"))
+    every = nodes.select("id", F.col("title").alias("name"), F.lit(0).alias("tier")).unionByName(paths.select("id", "name", F.lit(1).alias("tier")))
+    every = every.select(fold_typography(F.col("name")).alias("name"), "tier", "id")
     return every.groupBy("name", "tier").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
 def resolve(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     """targets (target) with resolved: a unique title, else a unique path suffix, else null."""
     names = lookup(nodes)
-    key = F.regexp_replace(fold_typography(F.col("target")), r"\.md$", "")
-    t = targets.withColumn("__t", fold_typography(F.col("target"))).withColumn("__s", key)
+    t = targets.withColumn("__t", fold_typography(F.col("target"))).withColumn("__s", F.regexp_replace("__t", r"\.md$", ""))
     by_title = names.filter("tier = 0").select(F.col("name").alias("__t"), F.col("id").alias("__a"))
     by_path = names.filter("tier = 1").select(F.col("name").alias("__s"), F.col("id").alias("__b"))
     return t.join(by_title, "__t", "left").join(by_path, "__s", "left").select(*targets.columns, F.coalesce("__a", "__b").alias("resolved"))
 
 
-def traverse(store: GraphStore, root: str, depth: int = 2, direction: str = "outgoing", rel_types: list[str] | None = None) -> DataFrame:
-    """(id, depth) of nodes within depth (1 to 10) hops; the root is left out."""
+def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with resolved worked out anew for all of them."""
+    found = resolve(edges.select(F.col("target_id").alias("target")).distinct(), nodes)
+    return edges.drop("resolved").join(found.withColumnRenamed("target", "target_id"), "target_id", "left")
+
+
+def reference_counts(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count("resolved").alias("resolved"), F.count_if(F.col("resolved").isNull()).alias("unresolved"))
+
+
+def resolve_many(wanted: DataFrame, nodes: DataFrame, by: str = "id") -> DataFrame:
+    """wanted (identifier) with id, tier and the number of candidates: the first tier (exact, composed
+    and lower case, typographic) in which a node is found; by title, a tier with several stops."""
+    column = F.col("id") if by == "id" else F.col("title")
+    exact = (lambda c: c) if by == "id" else F.lower
+    tiers = (exact, lambda c: F.lower(nfc(c)), fold_typography)
+    rows = wanted.select("identifier").distinct()
+    out = rows
+    for k, f in enumerate(tiers):
+        names = nodes.filter(column.isNotNull()).select(f(column).alias("__n"), "id").groupBy("__n").agg(F.min("id").alias(f"__id{k}"), F.count("*").alias(f"__c{k}"))
+        out = out.withColumn("__n", f(F.col("identifier"))).join(names, "__n", "left").drop("__n")
+    some = [F.coalesce(F.col(f"__c{k}"), F.lit(0)) for k in range(3)]
+    # by id only a tier with one node counts; by title the first tier with any
+    good = [c == 1 if by == "id" else c > 0 for c in some]
+    tier, found, n = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(0).cast("long")
+    for k in reversed(range(3)):
+        tier = F.when(good[k], TIERS[k]).otherwise(tier)
+        found = F.when(good[k], F.when(some[k] == 1, F.col(f"__id{k}"))).otherwise(found)
+        n = F.when(good[k], some[k]).otherwise(n)
+    return out.select("identifier", found.alias("id"), tier.alias("tier"), n.alias("candidates"))
+
+
+def resolve_identifier(nodes: DataFrame, identifier: str, by: str = "id") -> dict:
+    """id (or None), tier and number of candidates of one identifier. An exact or composed id is
+    looked up directly."""
+    if by == "id":
+        for text, tier in ((identifier, "exact"), (unicodedata.normalize("NFC", identifier), "nfc")):
+            if not nodes.filter(F.col("id") == text).limit(1).isEmpty():
+                return {"id": text, "tier": tier, "candidates": 0}
+    spark = nodes.sparkSession
+    r = resolve_many(spark.createDataFrame([(identifier,)], "identifier string"), nodes, by).first()
+    return {"id": r["id"], "tier": r["tier"], "candidates": 0 if r["id"] else r["candidates"]}
+
+
+def traverse(store: GraphStore, root: str, depth: int = 2, direction: str = "outgoing", rel_types: list[str] | None = None, target_types: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, depth) of nodes within depth (1 to 10) hops without the root, those of target_types
+    only, and the links met, each once.
+
+    Each round writes the nodes it reached, so that the plan of a round doesn't hold those before.
+    """
     depth = min(max(depth, 1), 10)
-    e = store.edges.filter("resolved is not null")
+    spark = store.nodes.sparkSession
+    e = store.edges if "edge_id" in store.edges.columns else numbered(store.edges)
+    e = e.filter("resolved is not null")
     if rel_types:
         e = e.filter(F.col("rel_type").isin(rel_types))
-    hops = e.select(F.col("source_id").alias("u"), F.col("resolved").alias("v"))
-    back = e.select(F.col("resolved").alias("u"), F.col("source_id").alias("v"))
-    hops = {"outgoing": hops, "incoming": back, "both": hops.unionByName(back)}[direction]
-    spark = store.nodes.sparkSession
-    seen = frontier = spark.createDataFrame([(root, 0)], "id string, depth int")
+    ways = {"outgoing": [("source_id", "resolved")], "incoming": [("resolved", "source_id")], "both": [("source_id", "resolved"), ("resolved", "source_id")]}[direction]
+    frontier, ids = spark.createDataFrame([(root,)], "id string"), [root]
+    seen = spark.createDataFrame([(root, 0)], "id string, depth int")
+    met = None
     for d in range(1, depth + 1):
-        step = frontier.select(F.col("id").alias("u")).join(hops, "u").select(F.col("v").alias("id")).distinct()
-        frontier = step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.unionByName(frontier)
-    return seen.filter("depth > 0")
+        steps = None
+        for a, b in ways:
+            if ids is not None:  # a short list of ids is looked up in the links
+                hop = e.filter(F.col(a).isin(ids))
+            else:
+                hop = e.join(frontier.withColumnRenamed("id", a), a, "left_semi")
+            met = hop.select("edge_id", *EDGE) if met is None else met.unionByName(hop.select("edge_id", *EDGE))
+            hop = hop.select(F.col(b).alias("id"))
+            steps = hop if steps is None else steps.unionByName(hop)
+        if d == depth and ids is None:
+            frontier = steps.distinct().join(seen.select("id"), "id", "left_anti")
+            seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
+            break
+        new = steps.distinct().join(seen.select("id"), "id", "left_anti")
+        if ids is not None:
+            got = [r[0] for r in new.limit(FEW + 1).collect()]
+            if len(got) <= FEW:
+                ids = got
+                if not ids:
+                    break
+                rows = spark.createDataFrame([(i, d) for i in ids], "id string, depth int")
+                seen = seen.unionByName(rows)
+                continue
+            ids = None
+        frontier = written(new, "frontier")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.withColumn("depth", F.lit(d)))
+    nodes = seen.filter("depth > 0")
+    if target_types:
+        nodes = nodes.join(store.types.filter(F.col("schema_type").isin(target_types)).select(F.col("node_id").alias("id")), "id", "left_semi")
+    # a link may be met from both of its ends
+    return nodes, met.dropDuplicates(["edge_id"]).select(*EDGE)
+
+
+def numbered(edges: DataFrame) -> DataFrame:
+    """edges with edge_id: links are a bag, and equal ones are told apart by their number."""
+    return written(edges.withColumn("edge_id", F.monotonically_increasing_id()), "edges")
+
+
+EDGE = ("source_id", "target_id", "rel_type", "resolved", "context")
+#: Nodes of a round that are looked up by a list of ids.
+FEW = 1_000
+
+
+def hydrated(store: GraphStore, nodes: DataFrame) -> DataFrame:
+    """Nodes of a traversal with their labels, fields and depth."""
+    from .query import hydrate
+
+    return hydrate(store, nodes.join(store.nodes.select("id", "title"), "id").select("id", "title", "depth"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_boolean, wrap_reference
+from ..plans.schemas import Schema, merge
 from ..plans.store import GraphStore
 
 #: Observed value types that a declared type accepts (fixed values).
@@ -25,8 +26,14 @@ class FieldDef:
 
 def validate(store: GraphStore, schema_type: str, defs: list[FieldDef]) -> DataFrame:
     """(node_id, key, rule): required, type, enum and reference warnings of a type's nodes."""
-    t = store.types.filter(F.col("schema_type") == schema_type).select("node_id")
-    f = store.fields.join(t, "node_id", "left_semi")
+    return check(store.types.filter(F.col("schema_type") == schema_type).select("node_id"), store.fields, defs)
+
+
+def check(nodes: DataFrame, fields: DataFrame, defs: list[FieldDef]) -> DataFrame:
+    """(node_id, key, rule) of nodes (node_id), stored or not, whose merged fields are defs. A
+    reference is a link as a whole, and so is each item of a list of references."""
+    t = nodes.select("node_id").distinct()
+    f = fields.join(t, "node_id", "left_semi")
     need = [d.name for d in defs if d.required]
     out = None
     if need:
@@ -39,6 +46,8 @@ def validate(store: GraphStore, schema_type: str, defs: list[FieldDef]) -> DataF
             bad = bad.when(~F.col("value_text").isin(*d.values), "enum")
         if d.type == "reference":
             bad = bad.when(~F.col("value_text").rlike(LINK), "reference")
+        if d.type == "list<reference>":
+            bad = bad.when(F.exists(F.from_json("value_text", "array<string>"), lambda x: ~x.rlike(LINK)), "reference")
         rule = F.when(F.col("key") == d.name, bad).otherwise(rule)
     rows = f.select("node_id", "key", rule.alias("rule")).filter("rule is not null")
     return rows if out is None else out.unionByName(rows)
@@ -50,6 +59,24 @@ def validity(store: GraphStore, schema_type: str, defs: list[FieldDef]) -> DataF
     return t.join(bad, "node_id", "left").select("node_id", F.col("n").isNull().alias("is_valid"))
 
 
+def merged_defs(schemas: dict[str, Schema], types: list[str]) -> list[FieldDef]:
+    return [FieldDef(k, f.type, f.required, f.values) for k, f in merge(schemas, types).fields.items()]
+
+
+def validate_all(store: GraphStore, schemas: dict[str, Schema]) -> DataFrame:
+    """(node_id, is_valid) of every node: null where none of its types has a schema. Nodes are
+    checked by the combinations of types that occur, of which there are few."""
+    sets = store.types.filter(F.col("schema_type").isin(list(schemas))).groupBy("node_id").agg(F.array_sort(F.collect_set("schema_type")).alias("types"))
+    out = None
+    for (types,) in sets.select("types").distinct().collect():
+        nodes = sets.filter(F.col("types") == F.array(*map(F.lit, types))).select("node_id")
+        bad = check(nodes, store.fields, merged_defs(schemas, types)).select("node_id").distinct().withColumn("bad", F.lit(True))
+        part = nodes.join(bad, "node_id", "left").select("node_id", F.col("bad").isNull().alias("is_valid"))
+        out = part if out is None else out.unionByName(part)
+    every = store.nodes.select(F.col("id").alias("node_id"))
+    return every.withColumn("is_valid", F.lit(None).cast("boolean")) if out is None else every.join(out, "node_id", "left")
+
+
 def coerce(value: Column, d: FieldDef) -> Column:
     """value_text brought to the declared type where that is possible, else unchanged."""
     if d.type == "number":

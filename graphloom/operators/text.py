@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ def tokens(c: Column) -> Column:
 
 
 def parse(expression: str) -> list:
-    """[('term' | 'prefix' | 'phrase', text), 'AND' | 'OR' | 'NOT', ...] in order; AND is implied."""
+    """[('term' | 'prefix' | 'phrase', text), 'AND' | 'OR' | 'NOT', ...] in order."""
     items = re.findall(r'"([^"]*)"|(\S+)', expression)
     if not items or expression.count('"') % 2:
         raise QuerySyntaxError(expression)
@@ -31,8 +33,6 @@ def parse(expression: str) -> list:
                 raise QuerySyntaxError(expression)
             out.append(word)
             continue
-        if out and not isinstance(out[-1], str):
-            out.append("AND")
         out.append(("phrase", phrase.lower()) if phrase else ("prefix", word[:-1].lower()) if word.endswith("*") else ("term", word.lower()))
     if isinstance(out[-1], str):
         raise QuerySyntaxError(expression)
@@ -49,42 +49,76 @@ def _matches(item, words: Column) -> Column:
 
 
 def predicate(expression: str, words: Column) -> Column:
-    """NOT binds tightest, then AND, then OR."""
-    items = parse(expression)
-    groups, current = [], None
-    i = 0
-    while i < len(items):
-        if i == 0:
-            current = _matches(items[0], words)
-            i = 1
-            continue
-        op, item = items[i], items[i + 1]
-        if op == "OR":
-            groups.append(current)
-            current = _matches(item, words)
+    """Neighbouring terms (an implied AND) bind tightest, then NOT, then AND, then OR."""
+    ops, groups = [], []
+    for item in parse(expression):
+        if isinstance(item, str):
+            ops.append(item)
+        elif groups and len(groups) > len(ops):
+            groups[-1] = groups[-1] & _matches(item, words)
         else:
-            m = _matches(item, words)
-            current = current & (~m if op == "NOT" else m)
-        i += 2
-    for g in groups:
-        current = g | current
-    return current
+            groups.append(_matches(item, words))
+    for strong in ("NOT", "AND", "OR"):
+        i = 0
+        while i < len(ops):
+            if ops[i] == strong:
+                a, b = groups[i], groups.pop(i + 1)
+                groups[i] = a & ~b if strong == "NOT" else a & b if strong == "AND" else a | b
+                ops.pop(i)
+            else:
+                i += 1
+    return groups[0]
 
 
 def search(docs: DataFrame, expression: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(id, tokens(F.col(text)).alias("__w")).filter(predicate(expression, F.col("__w"))).select(id)
 
 
-def bm25(docs: DataFrame, terms: list[str], id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, rank) of documents with all terms; the smaller rank is the better."""
-    tf = [F.expr(f"size(filter(__w, w -> w = '{t}'))").alias(f"tf{i}") for i, t in enumerate(terms)]
+def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(term, id, tf, positions) and (id, len): an index to write once, in folders by the first
+    character of the term, so that a search reads only those of its terms."""
+    w = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("w"))
+    each = w.select("id", F.posexplode("w").alias("pos", "term"))
+    terms = each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    folder = F.lpad(F.conv(F.hex(F.substring("term", 1, 1).cast("binary")), 16, 16), 2, "0")
+    return terms.withColumn("folder", folder), w.select("id", F.size("w").alias("len"))
+
+
+def _folder(term: str) -> str:
+    return term[:1].encode().hex().upper().rjust(2, "0")
+
+
+def bm25_indexed(terms: DataFrame, lengths: DataFrame, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, rank) of texts with all words, from postings(); the smaller rank is the better."""
+    words = list(dict.fromkeys(words))
+    n, avg = lengths.agg(F.count("*"), F.avg("len")).first()
+    hits = terms.filter(F.col("folder").isin([_folder(w) for w in words]) & F.col("term").isin(words)).select("term", "id", "tf")
+    df = dict(hits.groupBy("term").count().collect())
+    if len(df) < len(words):
+        return hits.limit(0).select("id", F.lit(0.0).alias("rank"))
+    idf = F.lit(0.0)
+    for w, k in df.items():
+        idf = F.when(F.col("term") == w, max(math.log((n - k + 0.5) / (k + 0.5)), 1e-6)).otherwise(idf)
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
+    found = hits.join(lengths, "id").withColumn("part", part)
+    return found.groupBy("id").agg(F.count("*").alias("n"), (-F.sum("part")).alias("rank")).filter(F.col("n") == len(words)).select("id", "rank")
+
+
+def _count(term: str) -> Column:
+    return F.size(F.filter("__w", lambda w: w == F.lit(term)))
+
+
+def bm25(docs: DataFrame, terms: list[str], id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, every: bool = True) -> DataFrame:
+    """(id, rank) of documents with all terms (or any); the smaller rank is the better."""
+    tf = [_count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
     d = docs.select(id, tokens(F.col(text)).alias("__w")).select(id, F.size("__w").alias("len"), *tf)
     stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     if not stats["n"]:
         return d.select(id, F.lit(0.0).alias("rank"))
     hits = d
-    for i in range(len(terms)):
-        hits = hits.filter(F.col(f"tf{i}") > 0)
+    has = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
+    for h in has if every else [reduce(or_, has)]:
+        hits = hits.filter(h)
     score = F.lit(0.0)
     for i in range(len(terms)):
         idf = max(math.log((stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)), 1e-6)

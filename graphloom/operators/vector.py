@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +36,40 @@ def semantic_search(chunks: DataFrame, probe: list[float], limit: int = 10, allo
 
 
 def chunk(docs: DataFrame, id: str = "doc_id", text: str = "text", least: int = 200) -> DataFrame:
-    """(id, chunk_index, heading, content, token_count): sections at top-level headings, or one
-    chunk for texts without a heading or under `least` estimated tokens."""
-    headed = F.col(text).rlike(r"(?m)^# ") & (token_estimate(F.col(text)) >= least)
-    parts = F.when(headed, F.split(text, r"(?m)^(?=# )")).otherwise(F.array(text))
-    d = docs.select(id, F.posexplode(F.filter(parts, lambda p: F.trim(p) != "")).alias("chunk_index", "content"))
-    return d.select(id, "chunk_index", F.nullif(F.regexp_extract("content", r"^# ([^\n]*)", 1), F.lit("")).alias("heading"), "content", token_estimate(F.col("content")).alias("token_count"))
+    """(id, chunk_index, heading, content, token_count): one chunk for texts without a heading or
+    under `least` estimated tokens, else the text before the first heading, if any, and one chunk
+    for each heading of any depth, without the heading's line. For whole notes see notes.chunks()."""
+    mark = r"(?m)^ {0,3}#{1,6}[ \t]+"
+    headed = F.col(text).rlike(mark) & (token_estimate(F.col(text)) >= least)
+    parts = F.when(headed, F.split(text, r"(?m)^(?= {0,3}#{1,6}[ \t])")).otherwise(F.array(text))
+    kept = F.filter(parts, lambda p: (F.trim(p) != "") | ~headed)
+    d = docs.select(id, headed.alias("__h"), F.posexplode(kept).alias("chunk_index", "part"))
+    is_section = F.col("__h") & F.col("part").rlike("^ {0,3}#{1,6}[ \t]")
+    heading = F.when(is_section, F.trim(F.regexp_extract("part", r"^ {0,3}#{1,6}[ \t]+([^\n]*)", 1)))
+    content = F.when(is_section, F.regexp_replace("part", r"^[^\n]*\n?", "")).otherwise(F.col("part"))
+    d = d.select(id, "chunk_index", heading.alias("heading"), F.regexp_replace(content, r"^\s+|\s+$", "").alias("content"))
+    return d.withColumn("token_count", token_estimate(F.col("content")))
+
+
+class Provider:
+    """Texts to vectors in batches; embed() may be any Python callable, such as a remote service."""
+
+    def __init__(self, embed, dims: int):
+        self.embed, self.dims = embed, dims
+
+
+def embed(docs: DataFrame, provider: Provider, id: str = "doc_id", text: str = "text", batch: int = 50) -> DataFrame:
+    """(id, embedding) by a provider, in Arrow batches."""
+    call = provider.embed
+
+    def run(batches):
+        for pdf in batches:
+            vectors = []
+            for i in range(0, len(pdf), batch):
+                vectors += call(pdf[text].iloc[i : i + batch].tolist())
+            yield pd.DataFrame({id: pdf[id], "embedding": vectors})
+
+    return docs.select(id, text).mapInPandas(run, f"{id} {dict(docs.dtypes)[id]}, embedding array<float>")
 
 
 def hash_embed(docs: DataFrame, id: str = "doc_id", text: str = "text", dims: int = 16) -> DataFrame:
