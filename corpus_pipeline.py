@@ -1,7 +1,14 @@
 """The corpus pipeline: language ID, near-dedup, PII, mixing, packing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs. All but the last return the columns of documents, whatever further
+columns there are.
+
+Defined results: language ID drops null, blank and letterless texts and keeps everything else;
+near-dedup keeps of equal rows, of rows with one id and equal texts, and of ties the one with the
+smallest id, and rows of one id with different texts; PII and mixing keep every row (mixing repeats
+or drops by its rates); packing gives a row for each row, with null places for texts without words;
+empty tables give empty tables; without labels mixing keeps all rows once.
 """
 
 from __future__ import annotations
@@ -41,9 +48,10 @@ STAGES = [("language_id", language), ("near_dedup", near_duplicates), ("pii", pe
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.load(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = common.materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    with common.scope() as keep:
+        for name, stage in STAGES:
+            docs = common.materialize(stage(spark, docs, sf_dir), name)
+        return keep(docs)
 
 
 #: Fitted models decide in most stages, which SQL cannot express; tests hold them against brute force.
