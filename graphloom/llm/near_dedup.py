@@ -208,7 +208,9 @@ def joined(comp: DataFrame, links: DataFrame, merge: Callable[[DataFrame], DataF
     e = links.join(ends.withColumnRenamed("node", "a"), "a", "left").withColumn("a", F.coalesce("c", "a")).drop("c")
     e = e.join(ends.withColumnRenamed("node", "b"), "b", "left").withColumn("b", F.coalesce("c", "b")).drop("c")
     over = materialize(merge(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "over")
-    moved = comp.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left").select("node", F.coalesce("c", "component").alias("component"))
+    uses = comp.groupBy("component").agg(F.count("*").alias("n"))
+    new = over.select(F.col("node").alias("component"), F.col("component").alias("c")).join(uses, "component")
+    moved = hot_join(comp, new, ["component"], "node", comp.count()).select("node", F.coalesce("c", "component").alias("component"))
     alone = over.join(comp.select("node"), "node", "left_anti").select("node", "component")
     return materialize(narrow(moved.unionByName(alone), comp.count() + over.count(), ROWS), "classes")
 
