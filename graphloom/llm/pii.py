@@ -64,7 +64,9 @@ _CUES = {
     6: frozenset("name named called patient customer contact signed sincerely regards author born".split()),
     7: frozenset("account passport iban number id phone call tel fax license".split()),
 }
-_CUED = re.compile("(?i)(?<![A-Za-z_])(?:" + "|".join(sorted({w for c in _CUES.values() for w in c}, key=lambda w: (-len(w), w))) + ")(?![A-Za-z_])")
+#: The kinds that each cue word stands for; longer words first, so that api_key isn't key.
+_CUE_KINDS = {w: [k for k, c in _CUES.items() if w in c] for w in sorted({w for c in _CUES.values() for w in c}, key=lambda w: (-len(w), w))}
+_HONORIFICS = ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sr")
 _AFTER = {
     4: re.compile(r"[ ]?(?:is|was)?[ ]?[=:]?[ ]?[\"']?([A-Za-z0-9+/_.-]{7,}[A-Za-z0-9+/_])"),
     5: re.compile(r"[ ]?(?:is|no|number)?[ ]?[=:#]?[ ]?([0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4})(?![0-9])"),
@@ -116,6 +118,24 @@ def base_spans(t: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _cue_words(t: str) -> Iterator[tuple[str, list[int], int]]:
+    """Each cue word that stands alone in a text, in any case, its kinds and its end."""
+    low = t.lower()
+    if len(low) != len(t):  # a few letters become two
+        low = t.translate(_LOWER)
+    for cue, kinds in _CUE_KINDS.items():
+        p = low.find(cue)
+        while p >= 0:
+            end = p + len(cue)
+            if (p == 0 or low[p - 1] not in _WORDLIKE) and (end == len(low) or low[end] not in _WORDLIKE):
+                yield cue, kinds, end
+            p = low.find(cue, end)
+
+
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_WORDLIKE = frozenset("abcdefghijklmnopqrstuvwxyz_")
+
+
 def _proposed(t: str) -> dict[tuple[int, int, int], int]:
     """(kind, start, end) of each proposed span -> labelers that propose it (1 shape, 2 gazetteer, 4 context)."""
     out: dict[tuple[int, int, int], int] = {}
@@ -137,9 +157,11 @@ def _proposed(t: str) -> dict[tuple[int, int, int], int]:
             add(4, m, 1, 2)
         for m in _ACCOUNT.finditer(t):
             add(7, m, 1, 2)
-    for m in _NAME.finditer(t):
-        add(6, m, 1, 1)
-    for m in _CAP_WORDS.finditer(t):
+    # plain searches tell quickly that most texts hold none of the words
+    if any(h in t for h in _HONORIFICS):
+        for m in _NAME.finditer(t):
+            add(6, m, 1, 1)
+    for m in _CAP_WORDS.finditer(t) if any(g in t for g in _GIVEN) else ():
         words = m[0].split(" ")
         for i, w in enumerate(words):
             if w in _GIVEN:
@@ -147,13 +169,11 @@ def _proposed(t: str) -> dict[tuple[int, int, int], int]:
                 key = (6, s, s + sum(map(len, words[i : i + 3])) + len(words[i : i + 3]) - 1)
                 out[key] = out.get(key, 0) | 2
                 break
-    for m in _CUED.finditer(t):
-        cue = m[0].lower()
-        for kind, cues in _CUES.items():
-            if cue in cues:
-                n = _AFTER[kind].match(t, m.end())
-                if n and (kind in (5, 6, 7) or _DIGIT.search(n[1])):
-                    add(kind, n, 1, 4)
+    for cue, kinds, end in _cue_words(t):
+        for kind in kinds:
+            n = _AFTER[kind].match(t, end)
+            if n and (kind in (5, 6, 7) or _DIGIT.search(n[1])):
+                add(kind, n, 1, 4)
     return out
 
 
