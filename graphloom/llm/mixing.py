@@ -124,7 +124,10 @@ def train(docs: DataFrame, labelled: DataFrame) -> Classifier:
     lab = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     lab = lab.join(docs.filter("length(text) > 0").select("doc_id").distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    each = lab.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).filter(F.col("k") <= OF_EACH).drop("k")
+    # first of a part of a domain, then of the domain, so that few rows of it meet in a task
+    part = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(16))
+    each = lab.withColumn("k", F.row_number().over(Window.partitionBy("domain", part).orderBy(*order))).filter(F.col("k") <= OF_EACH)
+    each = each.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).filter(F.col("k") <= OF_EACH).drop("k")
     some = materialize(lab.orderBy(*order).limit(TRAIN_DOCS).unionByName(each).distinct(), "sample")
     # at most TRAIN_DOCS ids and OF_EACH of each domain
     texts = docs.select("doc_id", F.substring("text", 1, TRAIN_TEXT).alias("text")).filter("length(text) > 0")
