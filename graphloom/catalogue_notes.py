@@ -175,7 +175,7 @@ def _todo(st):
 
 _IS_TODO = "node_id IN (SELECT node_id FROM fields WHERE key = 'status' AND value_text = 'todo')"
 register("q_update_merge", f"SELECT {_COLS} FROM fields WHERE NOT (key IN ('total', 'priority') AND {_IS_TODO}) UNION ALL SELECT node_id, 'total', '5.5', 'number', 5.5 FROM fields WHERE key = 'status' AND value_text = 'todo' UNION ALL SELECT node_id, 'flag', 'true', 'boolean', NULL FROM fields WHERE key = 'status' AND value_text = 'todo' UNION ALL SELECT node_id, 'tags', '[\"a\",2]', 'list', NULL FROM fields WHERE key = 'status' AND value_text = 'todo'")(lambda st, spark, d: changes.update_fields(st, _todo(st), {"total": 5.5, "priority": None, "flag": True, "tags": ["a", 2.0]}).select("node_id", "key", "value_text", "value_type", "value_number"))
-register("q_update_date", "SELECT node_id, '2001-02-03T00:00:00.000Z' AS value_date FROM fields WHERE key = 'status' AND value_text = 'todo'")(lambda st, spark, d: changes.update_fields(st, _todo(st), {"due_date": datetime(2001, 2, 3)}).filter("value_date = '2001-02-03T00:00:00.000Z'").select("node_id", "value_date"))
+register("q_update_date", "SELECT node_id, '2031-02-03T00:00:00.000Z' AS value_date FROM fields WHERE key = 'status' AND value_text = 'todo'")(lambda st, spark, d: changes.update_fields(st, _todo(st), {"due_date": datetime(2031, 2, 3)}).filter("value_date = '2031-02-03T00:00:00.000Z'").select("node_id", "value_date"))
 register("q_update_node", "SELECT id, CASE WHEN id = 'docs/7.md' THEN 'New' ELSE title END AS title, (SELECT string_agg(schema_type, ',' ORDER BY schema_type) FROM (SELECT node_id, schema_type FROM types WHERE node_id <> 'docs/7.md' UNION ALL SELECT 'docs/7.md', 'a' UNION ALL SELECT 'docs/7.md', 'b') t WHERE t.node_id = id) AS types, len(CASE WHEN id = 'docs/7.md' THEN coalesce(content_text, '') || chr(10) || chr(10) || 'more' ELSE content_text END) AS n FROM nodes JOIN contents ON contents.node_id = id")(lambda st, spark, d: _update_node(st, spark))
 
 
