@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, licenses, mixing, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
+from . import decontamination, embedding_dedup, filter_audit, importance, language_id, licenses, mixing, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_mixing": mixing.run,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": token_counts.run,
     "op9_embedding_dedup": embedding_dedup.run,
     "op10_pii": pii.run,
+    "op11_importance": importance.run,
+    "op12_filter_audit": filter_audit.run,
+    "op13_decontamination": decontamination.run,
 }
 
-SQL = {"op4_packing": packing.ORACLE_SQL, "op9_embedding_dedup": embedding_dedup.ORACLE_SQL}
+SQL = {"op4_packing": packing.ORACLE_SQL, "op9_embedding_dedup": embedding_dedup.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
