@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -36,10 +37,27 @@ register("q_fts_assembled", f", {_RANK}, f AS (SELECT id, rank FROM r ORDER BY r
 
 @register("q_fts_postings", f", {_RANK} SELECT id, rank FROM r")
 def _(st, spark, d):
-    terms, lengths = text.postings(st.contents, "node_id", "content_text")
-    return text.bm25_indexed(terms, lengths, ["license"]).select("id", F.round("rank", 6).alias("rank"))
+    return text.ranked(text.postings(st.contents, "node_id", "content_text"), "license").select("id", F.round("rank", 6).alias("rank"))
 
 
+_BM25 = "greatest(ln((n - df{0} + 0.5) / (df{0} + 0.5)), 1e-6) * tf{0} * 2.2 / (tf{0} + 1.2 * (0.25 + 0.75 * len / a))"
+
+
+def _ranked(name: str, expression: str, tfs: list[str], match: str) -> None:
+    """A search whose units have the frequencies tfs in the words w of a text, and its ranks."""
+    n = range(len(tfs))
+    sql = f""", t AS (SELECT node_id AS id, len(w) AS len, {", ".join(f"{c} AS tf{i}" for i, c in enumerate(tfs))} FROM (SELECT node_id, {_TOK} AS w FROM contents)),
+s AS (SELECT count(*) AS n, avg(len) AS a, {", ".join(f"sum((tf{i} > 0)::INT) AS df{i}" for i in n)} FROM t)
+SELECT id, round(-({" + ".join(_BM25.format(i) for i in n)}), 6) AS rank FROM t, s WHERE {match}"""
+    register(name, sql)(lambda st, spark, d: query(st, QueryOptions(full_text=expression, limit=None)).select("id", F.round("rank", 6).alias("rank")))
+
+
+_PHRASE = "len(list_filter(range(1, len(w)), lambda i: w[i] = '{}' AND w[i + 1] = '{}'))"
+_WORD = "len(list_filter(w, lambda x: x = '{}'))"
+_ranked("q_fts_phrase_rank", '"apache license"', [_PHRASE.format("apache", "license")], "tf0 > 0")
+_ranked("q_fts_prefix_rank", "licen*", ["len(list_filter(w, lambda x: starts_with(x, 'licen')))"], "tf0 > 0")
+_ranked("q_fts_phrase_prefix", '"apache licen"*', ["len(list_filter(range(1, len(w)), lambda i: w[i] = 'apache' AND starts_with(w[i + 1], 'licen')))"], "tf0 > 0")
+_ranked("q_fts_group", '(pour OR license) AND ("under the" OR licen*) NOT redistribution', [_WORD.format("pour"), _WORD.format("license"), _PHRASE.format("under", "the"), "len(list_filter(w, lambda x: starts_with(x, 'licen')))", _WORD.format("redistribution")], "(tf0 > 0 OR tf1 > 0) AND (tf2 > 0 OR tf3 > 0) AND tf4 = 0")
 register("q_get_node", f"SELECT id, title, indexed_at, {_TYPES}, {_FIELDS} FROM nodes WHERE id = 'orders/7.md'")(lambda st, spark, d: get_node(st, "orders/7.md")[0])
 register("q_get_node_title", f"SELECT id, title, indexed_at, {_TYPES}, {_FIELDS} FROM nodes WHERE title = 'Order 11'")(lambda st, spark, d: get_node(st, "order 11", "title")[0])
 register("q_get_node_edges", "SELECT 'outgoing' AS direction, source_id, target_id, rel_type, resolved FROM edges WHERE source_id = 'customers/7.md' UNION ALL SELECT 'incoming', source_id, target_id, rel_type, resolved FROM edges WHERE resolved = 'customers/7.md'")(lambda st, spark, d: get_node(st, "customers/7.md", edges=True)[1].select("direction", "source_id", "target_id", "rel_type", "resolved"))
@@ -186,6 +204,18 @@ def _update_node(st, spark):
 
 
 register("q_bulk_update_dry", "SELECT node_id FROM fields WHERE key = 'status' AND value_text = 'todo'")(lambda st, spark, d: changes.bulk_update(st, _todo(st), {"status": "blocked"}, dry_run=True)[1])
+_PROJECT = f"rel_type = 'project' AND source_id IN (SELECT node_id FROM fields WHERE key = 'status' AND value_text = 'todo')"
+register("q_bulk_update_edges", f"SELECT source_id, target_id, rel_type, resolved FROM edges WHERE NOT ({_PROJECT}) UNION ALL SELECT node_id, t, 'project', r FROM fields, (VALUES ('Order 7', 'orders/7.md'), ('nobody', NULL)) v(t, r) WHERE key = 'status' AND value_text = 'todo'")(lambda st, spark, d: changes.bulk_update(st, _todo(st), {"project": "[[Order 7]] and [[nobody|x]]", "priority": None})[0].edges.select("source_id", "target_id", "rel_type", "resolved"))
+register("q_update_edges", "SELECT source_id, target_id, rel_type, CASE WHEN rel_type = 'nation' AND target_id = 'NATION_3' THEN 'customers/7.md' WHEN resolved = 'customers/7.md' THEN NULL ELSE resolved END AS resolved FROM edges WHERE NOT (source_id = 'customers/7.md' AND rel_type = 'nation') UNION ALL VALUES ('customers/7.md', 'Order 7', 'nation', 'orders/7.md'), ('customers/7.md', 'nation_3', 'wiki-link', 'customers/7.md'), ('customers/7.md', 'nobody', 'wiki-link', NULL)")(lambda st, spark, d: _update_edges(st, spark))
+
+
+def _update_edges(st, spark):
+    """A title that many links name already, a field with another link, and a text with links."""
+    seven = spark.createDataFrame([("customers/7.md",)], "node_id string")
+    out = changes.update(st, seven, values={"nation": "[[Order 7]]"}, title="NATION_3", body="[[nation_3]] not `[[code]]`\n\n[[nobody]]")
+    return out.edges.select("source_id", "target_id", "rel_type", "resolved")
+
+
 register("q_rename_node", "SELECT source_id, CASE WHEN resolved = 'customers/7.md' AND rel_type = 'project' THEN 'Seven' ELSE target_id END AS target_id, CASE WHEN resolved = 'customers/7.md' THEN 'customers/seven.md' ELSE resolved END AS resolved FROM edges WHERE rel_type = 'project'")(lambda st, spark, d: changes.rename_node(st, "customers/7.md", "Seven", "customers/seven.md").edges.filter("rel_type = 'project'").select("source_id", "target_id", "resolved"))
 register("q_rename_node_fields", "SELECT node_id, CASE WHEN node_id IN (SELECT source_id FROM edges WHERE resolved = 'customers/7.md') THEN '[[Seven]]' ELSE value_text END AS value_text FROM fields WHERE key = 'project'")(lambda st, spark, d: changes.rename_node(st, "customers/7.md", "Seven").fields.filter("key = 'project'").select("node_id", "value_text"))
 register("q_remove_link", "SELECT o_orderkey AS id, 'a  b' || chr(10) || chr(10) || 'c' AS text FROM orders", store=False)(lambda spark, d: table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), changes.remove_link(F.concat(F.lit("a [[X (1)|y]] b\n\n[[x (1)]]\n\nc [[X (1)]]"),), "x (1)").alias("text")))
@@ -291,6 +321,30 @@ register("q_incremental_counts", "SELECT count(*) FILTER (k % 7 <> 0 AND k % 3 <
 register("q_incremental_strict", "SELECT count(*) FILTER (k % 7 <> 0 AND k % 5 = 0) AS indexed, count(*) FILTER (k % 7 <> 0 AND k % 5 <> 0) AS skipped, count(*) FILTER (k % 7 = 0) AS deleted FROM " + _ORDERS, store=False)(lambda spark, d: ingest.incremental(_index(spark, d), _later(spark, d), strict_hash=True)[1])
 register("q_incremental_fields", f"WITH o AS (SELECT k, CASE WHEN k % 5 = 0 AND k % 3 <> 0 THEN 'blocked' ELSE s END AS s, t, o_totalprice, day, p, c FROM {_ORDERS} WHERE k % 7 <> 0) {_NOTE_FIELDS}", store=False)(lambda spark, d: ingest.reconcile(_index(spark, d), _later(spark, d)).store.fields)
 register("q_incremental_edges", f"WITH o AS (SELECT * FROM {_ORDERS} WHERE k % 7 <> 0) {_NOTE_EDGES}", store=False)(lambda spark, d: ingest.reconcile(_index(spark, d), _later(spark, d)).store.edges)
+_KEPT: dict = {}
+
+
+def _advanced(spark, d):
+    """The notes in a durable store, then what became of them, then a batch of edits: three versions."""
+    from .plans.durable import Durable
+    from .plans.shared import shared_dir
+
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _KEPT:
+        durable = Durable(spark, f"{shared_dir(spark)}/graphloom-durable/{uuid4().hex}")
+        later = ingest.advance(ingest.create(durable, _notes(spark, d)), _later(spark, d))[0]
+        _KEPT[key] = later, ingest.commit_batch(later, _EDITS)
+    return _KEPT[key]
+
+
+_EDITS = [{"op": "create", "title": "customer#000000007", "types": ["customer"], "body": "Zanzibar and [[Order 1]]"}, {"op": "update", "id": "orders/1.md", "values": {"project": "[[Order 2]]"}, "append": "zanzibar [[Order 2]]"}, {"op": "delete", "id": "orders/2.md"}]
+register("q_advance_fields", f"WITH o AS (SELECT k, CASE WHEN k % 5 = 0 AND k % 3 <> 0 THEN 'blocked' ELSE s END AS s, t, o_totalprice, day, p, c FROM {_ORDERS} WHERE k % 7 <> 0) {_NOTE_FIELDS}", store=False)(lambda spark, d: _advanced(spark, d)[0].store.fields)
+register("q_advance_edges", f"WITH o AS (SELECT * FROM {_ORDERS} WHERE k % 7 <> 0) {_NOTE_EDGES}", store=False)(lambda spark, d: _advanced(spark, d)[0].store.edges.drop("edge_id"))
+register("q_advance_search", f"SELECT {_ID} AS id FROM {_ORDERS} WHERE k % 7 <> 0 AND k IN (1, 3)", store=False)(lambda spark, d: query(_advanced(spark, d)[0].store, QueryOptions(full_text='"order 1" OR "order 3"', limit=None), "id"))
+register("q_commit_batch_edges", f"""WITH o AS (SELECT * FROM {_ORDERS} WHERE k % 7 <> 0), e AS ({_NOTE_EDGES})
+SELECT source_id, target_id, rel_type, CASE WHEN lower(target_id) = 'customer#000000007' THEN 'customer#000000007.md' ELSE resolved END AS resolved FROM e WHERE source_id <> 'orders/2.md' AND NOT (source_id = 'orders/1.md' AND rel_type = 'project')
+UNION ALL VALUES ('customer#000000007.md', 'Order 1', 'wiki-link', 'orders/1.md'), ('orders/1.md', 'Order 2', 'project', NULL), ('orders/1.md', 'Order 2', 'wiki-link', NULL)""", store=False)(lambda spark, d: _advanced(spark, d)[1].store.edges.select("source_id", "target_id", "rel_type", "resolved"))
+register("q_commit_batch_search", "SELECT 'customer#000000007.md' AS id UNION ALL SELECT 'orders/1.md'", store=False)(lambda spark, d: query(_advanced(spark, d)[1].store, QueryOptions(full_text="zanz*", limit=None), "id"))
 register("q_remove_notes", f"WITH o AS {_ORDERS}, e AS ({_NOTE_EDGES}) SELECT count(*) AS n, count(resolved) AS resolved FROM e JOIN o ON source_id = {_ID} WHERE k % 2 = 0", store=False)(lambda spark, d: ingest.remove(_index(spark, d), _index(spark, d).files.filter(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 2 == 1)).store.edges.agg(F.count("*").alias("n"), F.count("resolved").alias("resolved")))
 register("q_attach_chunks", f"WITH o AS {_ORDERS} SELECT {_ID} AS node_id, 0 AS chunk_index, NULL::VARCHAR AS heading, 'Order ' || k || {_NL} || 'For the buyer and .' || {_NL} || 'Notes' || {_NL} || 'See !100 with Order ' || k || '.' AS content FROM o WHERE k % 10 = 0", store=False)(lambda spark, d: ingest.attach_chunks(_index(spark, d).files.filter(F.col("path").like("%0.md")).select(F.col("path").alias("node_id"), F.lit(0).alias("chunk_index")), _index(spark, d).chunks))
 register("q_requeue", f"SELECT {_ID} || '#0' AS chunk_id, 'pending' AS status, 0 AS attempts FROM {_ORDERS} WHERE k % 3 <> 0", store=False)(lambda spark, d: ingest.requeue(_index(spark, d).chunks, _index(spark, d).files.filter(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 3 == 0).select(F.concat("path", F.lit("#0")).alias("chunk_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")), 2))

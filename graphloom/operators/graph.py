@@ -14,30 +14,73 @@ from ..plans.store import GraphStore
 TIERS = ("exact", "nfc", "typographic")
 
 
-def lookup(nodes: DataFrame) -> DataFrame:
-    """(name, tier, id): unique titles (tier 0) and unique path suffixes (tier 1)."""
+def names(nodes: DataFrame) -> DataFrame:
+    """(id, name, tier): what a node can be named by, its title (tier 0) and its path's suffixes (tier 1)."""
     stem = F.regexp_replace("id", r"\.md$", "")
     parts = F.split(stem, "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
     paths = nodes.select("id", F.explode(suffixes).alias("name"))
     every = nodes.select("id", F.col("title").alias("name"), F.lit(0).alias("tier")).unionByName(paths.select("id", "name", F.lit(1).alias("tier")))
-    every = every.select(fold_typography(F.col("name")).alias("name"), "tier", "id")
+    return every.select("id", fold_typography(F.col("name")).alias("name"), "tier")
+
+
+def lookup(nodes: DataFrame) -> DataFrame:
+    """(name, tier, id): unique titles (tier 0) and unique path suffixes (tier 1)."""
+    return unique(names(nodes))
+
+
+def unique(every: DataFrame) -> DataFrame:
+    """(name, tier, id) of the names that one node has."""
     return every.groupBy("name", "tier").agg(F.min("id").alias("id"), F.count("*").alias("n")).filter("n = 1").drop("n")
 
 
 def resolve(targets: DataFrame, nodes: DataFrame) -> DataFrame:
     """targets (target) with resolved: a unique title, else a unique path suffix, else null."""
-    names = lookup(nodes)
-    t = targets.withColumn("__t", fold_typography(F.col("target"))).withColumn("__s", F.regexp_replace("__t", r"\.md$", ""))
-    by_title = names.filter("tier = 0").select(F.col("name").alias("__t"), F.col("id").alias("__a"))
-    by_path = names.filter("tier = 1").select(F.col("name").alias("__s"), F.col("id").alias("__b"))
-    return t.join(by_title, "__t", "left").join(by_path, "__s", "left").select(*targets.columns, F.coalesce("__a", "__b").alias("resolved"))
+    keyed = with_keys(targets.withColumnRenamed("target", "target_id"))
+    return resolve_keyed(keyed, names(nodes)).withColumnRenamed("target_id", "target").select(*targets.columns, "resolved")
+
 
+def with_keys(edges: DataFrame) -> DataFrame:
+    """edges (target_id) with the title (name) and path (stem) that their targets may mean."""
+    return edges.withColumn("name", fold_typography(F.col("target_id"))).withColumn("stem", F.regexp_replace("name", r"\.md$", ""))
 
-def resolve_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+
+def resolve_keyed(edges: DataFrame, every: DataFrame, few: bool = False) -> DataFrame:
+    """edges (name, stem) with resolved, by names(). With few, only the names that edges ask for are
+    told apart, which saves grouping all of them."""
+    if few:
+        wanted = edges.select(F.explode(F.array(F.struct(F.lit(0).alias("tier"), "name"), F.struct(F.lit(1).alias("tier"), F.col("stem").alias("name")))).alias("w")).select("w.*").distinct()
+        every = every.join(wanted, ["name", "tier"], "left_semi")
+    known = unique(every)
+    by_title = known.filter("tier = 0").select("name", F.col("id").alias("__a"))
+    by_path = known.filter("tier = 1").select(F.col("name").alias("stem"), F.col("id").alias("__b"))
+    return edges.drop("resolved").join(by_title, "name", "left").join(by_path, "stem", "left").withColumn("resolved", F.coalesce("__a", "__b")).drop("__a", "__b")
+
+
+def resolve_edges(edges: DataFrame, nodes: DataFrame, few: bool = False) -> DataFrame:
     """edges with resolved worked out anew for all of them."""
-    found = resolve(edges.select(F.col("target_id").alias("target")).distinct(), nodes)
-    return edges.drop("resolved").join(found.withColumnRenamed("target", "target_id"), "target_id", "left")
+    found = resolve_keyed(with_keys(edges.select("target_id").distinct()), names(nodes), few).select("target_id", "resolved")
+    return edges.drop("resolved").join(found, "target_id", "left")
+
+
+def moved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(name, tier) that other nodes have in new than in old (both from names(), of some nodes)."""
+    both = old.select("name", "tier", "id").unionByName(new.select("name", "tier", "id"))
+    return both.groupBy("name", "tier", "id").count().filter("count = 1").select("name", "tier").distinct()
+
+
+def named(edges: DataFrame, changed: DataFrame) -> DataFrame:
+    """edges (name, stem) with hit: whether their target may mean one of changed (name, tier)."""
+    title = changed.filter("tier = 0").select("name", F.lit(True).alias("__t"))
+    path = changed.filter("tier = 1").select(F.col("name").alias("stem"), F.lit(True).alias("__p"))
+    return edges.join(title, "name", "left").join(path, "stem", "left").withColumn("hit", F.coalesce("__t", "__p", F.lit(False))).drop("__t", "__p")
+
+
+def relinked(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
+    """edges, those that may mean one of the changed names resolved anew."""
+    columns = edges.columns
+    all_ = named(with_keys(edges), changed)
+    return all_.filter("not hit").select(*columns).unionByName(resolve_keyed(all_.filter("hit").drop("hit"), names(nodes), few=True).select(*columns))
 
 
 def reference_counts(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Notes to store: rebuild, incremental index, upsert, reconcile."""
+"""Notes to store: rebuild, incremental index, upsert, reconcile; and the same on a durable store, which
+keeps versions and resolves again only links that may mean a name that came or went."""
 
 from __future__ import annotations
 
@@ -7,10 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import TABLES, Conflict, Durable, Snapshot
+from ..plans.schemas import Schema
 from ..plans.shared import written
 from ..plans.store import GraphStore
+from ..sources import notes as N
 from ..sources.notes import parsed
-from . import changes, graph
+from . import changes, graph, text
+from .query import QueryError
 
 
 @dataclass
@@ -38,6 +43,113 @@ def build(notes: DataFrame, resolve: bool = True) -> Index:
     return Index(store, rows.select(F.col("id").alias("path"), "mtime", "hash"), chunks)
 
 
+# ---- durable --------------------------------------------------------------------------------
+
+
+def _tables(notes: DataFrame) -> dict[str, DataFrame]:
+    """The rows of all tables for notes (path, mtime, raw); links are not resolved."""
+    index = build(notes, resolve=False)
+    return _with_derived({t: getattr(index.store, t) for t in ("nodes", "types", "fields", "edges", "contents")} | {"files": index.files, "chunks": index.chunks})
+
+
+def _with_derived(rows: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """rows with the names of nodes and the postings of texts."""
+    index = text.postings(rows["contents"], "node_id", "content_text")
+    return rows | {"names": graph.names(rows["nodes"]), "postings": index.postings, "lengths": index.lengths}
+
+
+def _numbered(edges: DataFrame) -> DataFrame:
+    """Links with numbers that no other run has: links are a bag."""
+    return edges.select("source_id", "target_id", "rel_type", "resolved", "context", "name", "stem").withColumn("edge_id", F.expr("uuid()"))
+
+
+def create(durable: Durable, notes: DataFrame) -> Snapshot:
+    """The first version of a durable store, or one that replaces all there is."""
+    rows = _tables(notes)
+    rows["edges"] = _numbered(graph.resolve_keyed(graph.with_keys(rows["edges"]), rows["names"]))
+    return _commit(durable.open(), rows, replace=True)
+
+
+def advance(snapshot: Snapshot, notes: DataFrame, strict_hash: bool = False, compact_after: int = 24) -> tuple[Snapshot, DataFrame]:
+    """The next version after a new listing of notes (path, mtime, raw), and the counts (indexed,
+    skipped, deleted), as incremental() does it. Without a change there is no new version.
+
+    Only new and changed notes are parsed, and only links that may mean a name that came or went are
+    resolved again. After compact_after commits the runs are made one.
+    """
+    spark = notes.sparkSession
+    now = notes.select("path", F.col("mtime").cast("timestamp").alias("mtime"), F.sha2("raw", 256).alias("hash"))
+    plan = written(changes.diff(snapshot.table("files"), now, strict_hash), "diff")
+    found = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
+    n = lambda *actions: sum(found.get(a, 0) for a in actions)
+    counts = spark.createDataFrame([(n("new", "changed"), n("skip", "touch"), n("deleted"))], "indexed long, skipped long, deleted long")
+    if not n("new", "changed", "deleted", "touch"):
+        return snapshot, counts
+    touched = plan.filter("action = 'touch'").select("path").join(now, "path")
+    if n("new", "changed", "deleted"):
+        fresh = _tables(notes.join(plan.filter("action in ('new', 'changed')").select("path"), "path", "left_semi"))
+        gone = plan.filter("action in ('changed', 'deleted')").select(F.col("path").alias("node_id"))
+        return _compacted(apply(snapshot, fresh, gone, touched if n("touch") else None), compact_after), counts
+    out = _commit(snapshot, {"files": touched}, touched.select(F.col("path").alias("node_id"), F.lit("files").alias("area")))
+    return _compacted(out, compact_after), counts
+
+
+def apply(snapshot: Snapshot, fresh: dict[str, DataFrame], gone: DataFrame, touched: DataFrame | None = None) -> Snapshot:
+    """The next version: the rows of gone (node_id) void, those of fresh (links not resolved) added, the
+    files of touched (path, mtime, hash) replaced, and the links of other nodes that may mean one of
+    the names that came or went resolved again."""
+    gone = gone.distinct()
+    names = snapshot.table("names")
+    kept_names = names.join(gone.withColumnRenamed("node_id", "id"), "id", "left_anti")
+    changed = written(graph.moved(names.join(gone.withColumnRenamed("node_id", "id"), "id", "left_semi"), fresh["names"]), "moved")
+    new = graph.with_keys(fresh["edges"].drop("resolved"))
+    void = gone.select("node_id", F.lit("all").alias("area"))
+    if not changed.isEmpty():
+        others = snapshot.table("edges").join(gone.withColumnRenamed("node_id", "source_id"), "source_id", "left_anti")
+        # a node's links are void together, so that all links of a node with such a link are written
+        sources = written(graph.named(others.select("source_id", "name", "stem"), changed).filter("hit").select("source_id").distinct(), "relinked")
+        new = new.unionByName(others.join(sources, "source_id", "left_semi").select(*new.columns))
+        void = void.unionByName(sources.select(F.col("source_id").alias("node_id"), F.lit("edges").alias("area")))
+    edges = graph.resolve_keyed(new, kept_names.select("name", "tier", "id").unionByName(fresh["names"].select("name", "tier", "id")), few=True)
+    rows = fresh | {"edges": _numbered(edges)}
+    if touched is not None:
+        rows["files"] = rows["files"].unionByName(touched.select(*rows["files"].columns))
+        void = void.unionByName(touched.select(F.col("path").alias("node_id"), F.lit("files").alias("area")))
+    return _commit(snapshot, rows, void)
+
+
+def commit_batch(snapshot: Snapshot, operations: list[dict], schemas: dict[str, Schema] | None = None) -> Snapshot:
+    """The next version after create, update, delete, link and unlink in order, all of them or none. Where
+    an operation fails, or another writer was faster (CONFLICT), the published version stays."""
+    overlay = changes.draft(snapshot.store, operations, schemas)
+    ids = overlay.touched
+    if not ids:
+        return snapshot
+    spark = snapshot.durable.spark
+    rows = overlay.rows(spark)
+    chunks = [(i, *c) for i in ids if overlay.after[i] is not None for c in N.chunks(N.Note("", [], [], "", N.blocks(overlay.after[i].text or "")))]
+    rows["chunks"] = spark.createDataFrame(chunks, "node_id string, chunk_index int, heading string, content string, token_count int")
+    # files are as they were found: a note that is still there stays known, so that advance() sees its change
+    here = spark.createDataFrame([(i,) for i in ids if overlay.after[i] is not None], "path string")
+    rows["files"] = snapshot.table("files").join(here, "path", "left_semi")
+    return apply(snapshot, _with_derived(rows), spark.createDataFrame([(i,) for i in ids], "node_id string"))
+
+
+def _commit(base: Snapshot, rows: dict[str, DataFrame], void: DataFrame | None = None, replace: bool = False) -> Snapshot:
+    rows = {t: d.select(*(c.split(" ")[0] for c in TABLES[t].schema.split(", "))) for t, d in rows.items()}
+    try:
+        return base.durable.commit(base, rows, void, replace)
+    except Conflict as e:
+        raise QueryError("CONFLICT", str(e)) from e
+
+
+def _compacted(snapshot: Snapshot, after: int) -> Snapshot:
+    return snapshot.durable.compact(snapshot) if len(snapshot.runs.get("files", [])) > after else snapshot
+
+
+# ---- within a session -----------------------------------------------------------------------
+
+
 def upsert(index: Index, notes: DataFrame) -> Index:
     """The index with notes added or replaced; links are resolved anew at the end."""
     new = build(notes, resolve=False)

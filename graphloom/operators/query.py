@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ascii_lower, decode, strip_reference
+from ..plans.shared import written
 from ..plans.store import GraphStore
 from . import graph, text
 
@@ -158,14 +159,12 @@ def query(store: GraphStore, q: QueryOptions, fields: str = "short") -> DataFram
 
 
 def ranked(store: GraphStore, expression: str) -> DataFrame:
-    """(id, rank) of nodes whose text matches; rank by BM25 over the expression's plain terms."""
-    terms = [t for kind, t in (x for x in text.parse(expression) if not isinstance(x, str)) if kind == "term"]
-    docs = store.contents
-    hits = text.search(docs, expression, "node_id", "content_text").withColumnRenamed("node_id", "id")
-    scores = text.bm25(docs, terms, "node_id", "content_text", every=False).withColumnRenamed("node_id", "id") if terms else None
-    if scores is None:
-        return hits.withColumn("rank", F.lit(0.0))
-    return hits.join(scores, "id", "left").select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
+    """(id, rank) of nodes whose text matches, by BM25: from the store's postings, which are written
+    at the first search where the store itself is written, and else from its texts."""
+    if store.text is None and store.written:
+        t = text.postings(store.contents, "node_id", "content_text")
+        store.text = text.TextIndex(written(text.sorted_by_term(t.postings), "postings", "folder"), written(t.lengths, "lengths"))
+    return text.ranked(store.text or text.postings(store.contents, "node_id", "content_text"), expression)
 
 
 def resolved_target(store: GraphStore, target: str) -> str:

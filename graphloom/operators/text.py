@@ -1,16 +1,23 @@
-"""Full text: postings, a small query grammar, BM25."""
+"""Full text: a query grammar, positional postings written in folders, boolean search, BM25.
+
+A search over postings reads only the folders (and, as files are sorted by term, the row groups) of
+the terms it names, and no text: places of the words of a phrase are intersected, all terms with
+a prefix count as one, and a term, phrase or prefix is ranked as a unit.
+"""
 
 from __future__ import annotations
 
 import math
 import re
+from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = r"[\p{L}\p{N}]+"
+_WORD = re.compile(r"[^\W_]+")
 
 
 class QuerySyntaxError(ValueError):
@@ -21,87 +28,99 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
 
 
-def parse(expression: str) -> list:
-    """[('term' | 'prefix' | 'phrase', text), 'AND' | 'OR' | 'NOT', ...] in order."""
-    items = re.findall(r'"([^"]*)"|(\S+)', expression)
-    if not items or expression.count('"') % 2:
+# ---- grammar --------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Unit:
+    """Words that follow each other, the last one perhaps the beginning of a word."""
+
+    words: tuple[str, ...]
+    prefix: bool = False
+
+
+#: An expression: a Unit, or (operator, left, right) with AND, OR or NOT (left without right).
+Expression = Unit | tuple
+
+
+def parse(expression: str) -> Expression:
+    """Neighbouring units (an implied AND) bind tightest, then NOT, then AND, then OR; all from the
+    left. Parentheses group; what they enclose is joined to others by an operator only."""
+    parts = re.findall(r'"((?:[^"]|"")*)"(\s*\*)?|([()])|([^\s()"*]+)(\*)?|(\S)', expression)
+    if any(p[5] or re.search(r"[\x00-\x2f\x3a-\x40\x5b-\x5e\x60\x7b-\x7f]", p[3]) for p in parts):
         raise QuerySyntaxError(expression)
-    out: list = []
-    for phrase, word in items:
-        if word in ("AND", "OR", "NOT"):
-            if not out or isinstance(out[-1], str):
+    # a token is a Unit, or one of ( ) AND OR NOT
+    line: list = [p[2] or (p[3] if p[3] in ("AND", "OR", "NOT") and not p[4] else Unit(tuple(_WORD.findall((p[0] or p[3]).lower())), bool(p[1] or p[4]))) for p in parts]
+    at = 0
+
+    def peek():
+        return line[at] if at < len(line) else None
+
+    def primary() -> Expression:
+        nonlocal at
+        got: Expression | str | None = peek()
+        at += 1
+        if got == "(":
+            got = level(0)
+            if peek() != ")":
                 raise QuerySyntaxError(expression)
-            out.append(word)
-            continue
-        out.append(("phrase", phrase.lower()) if phrase else ("prefix", word[:-1].lower()) if word.endswith("*") else ("term", word.lower()))
-    if isinstance(out[-1], str):
+            at += 1
+            return got
+        if not isinstance(got, Unit):
+            raise QuerySyntaxError(expression)
+        while isinstance(peek(), Unit):
+            got = ("AND", got, peek())
+            at += 1
+        return got
+
+    def level(k: int) -> Expression:
+        nonlocal at
+        if k == 3:
+            return primary()
+        left = level(k + 1)
+        while peek() == ("OR", "AND", "NOT")[k]:
+            at += 1
+            left = (("OR", "AND", "NOT")[k], left, level(k + 1))
+        return left
+
+    out = level(0) if line else None
+    if out is None or at < len(line):
         raise QuerySyntaxError(expression)
     return out
 
 
-def _matches(item, words: Column) -> Column:
-    kind, text = item
-    if kind == "term":
-        return F.array_contains(words, text)
-    if kind == "prefix":
-        return F.exists(words, lambda w: w.startswith(text))
-    return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(" " + " ".join(re.findall(r"\w+", text)) + " "))
+def units(e: Expression) -> list[Unit]:
+    """All units of an expression in order, each as often as it stands there."""
+    return [e] if isinstance(e, Unit) else units(e[1]) + units(e[2])
 
 
-def predicate(expression: str, words: Column) -> Column:
-    """Neighbouring terms (an implied AND) bind tightest, then NOT, then AND, then OR."""
-    ops, groups = [], []
-    for item in parse(expression):
-        if isinstance(item, str):
-            ops.append(item)
-        elif groups and len(groups) > len(ops):
-            groups[-1] = groups[-1] & _matches(item, words)
-        else:
-            groups.append(_matches(item, words))
-    for strong in ("NOT", "AND", "OR"):
-        i = 0
-        while i < len(ops):
-            if ops[i] == strong:
-                a, b = groups[i], groups.pop(i + 1)
-                groups[i] = a & ~b if strong == "NOT" else a & b if strong == "AND" else a | b
-                ops.pop(i)
-            else:
-                i += 1
-    return groups[0]
+def _fold(e: Expression, has) -> Column:
+    """The condition of an expression; has() gives that of each unit, in order."""
+    if isinstance(e, Unit):
+        return has(e)
+    a, b = _fold(e[1], has), _fold(e[2], has)
+    return a & b if e[0] == "AND" else a | b if e[0] == "OR" else a & ~b
 
 
-def search(docs: DataFrame, expression: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(id, tokens(F.col(text)).alias("__w")).filter(predicate(expression, F.col("__w"))).select(id)
+# ---- over texts -----------------------------------------------------------------------------
 
 
-def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(term, id, tf, positions) and (id, len): an index to write once, in folders by the first
-    character of the term, so that a search reads only those of its terms."""
-    w = docs.select(F.col(id).alias("id"), tokens(F.col(text)).alias("w"))
-    each = w.select("id", F.posexplode("w").alias("pos", "term"))
-    terms = each.groupBy("term", "id").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    folder = F.lpad(F.conv(F.hex(F.substring("term", 1, 1).cast("binary")), 16, 16), 2, "0")
-    return terms.withColumn("folder", folder), w.select("id", F.size("w").alias("len"))
+def _in_words(u: Unit, words: Column) -> Column:
+    if not u.words:
+        return F.lit(False)
+    if len(u.words) == 1:
+        return F.exists(words, lambda w: w.startswith(u.words[0])) if u.prefix else F.array_contains(words, u.words[0])
+    line = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return F.contains(line, F.lit(" " + " ".join(u.words) + ("" if u.prefix else " ")))
 
 
-def _folder(term: str) -> str:
-    return term[:1].encode().hex().upper().rjust(2, "0")
+def predicate(expression: str, words: Column) -> Column:
+    return _fold(parse(expression), lambda u: _in_words(u, words))
 
 
-def bm25_indexed(terms: DataFrame, lengths: DataFrame, words: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, rank) of texts with all words, from postings(); the smaller rank is the better."""
-    words = list(dict.fromkeys(words))
-    n, avg = lengths.agg(F.count("*"), F.avg("len")).first()
-    hits = terms.filter(F.col("folder").isin([_folder(w) for w in words]) & F.col("term").isin(words)).select("term", "id", "tf")
-    df = dict(hits.groupBy("term").count().collect())
-    if len(df) < len(words):
-        return hits.limit(0).select("id", F.lit(0.0).alias("rank"))
-    idf = F.lit(0.0)
-    for w, k in df.items():
-        idf = F.when(F.col("term") == w, max(math.log((n - k + 0.5) / (k + 0.5)), 1e-6)).otherwise(idf)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg))
-    found = hits.join(lengths, "id").withColumn("part", part)
-    return found.groupBy("id").agg(F.count("*").alias("n"), (-F.sum("part")).alias("rank")).filter(F.col("n") == len(words)).select("id", "rank")
+def search(docs: DataFrame, expression: str, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Ids of matching texts, by a look at each of them; for repeated searches see postings()."""
+    return docs.select(id, tokens(F.col(text)).alias("__w")).filter(predicate(expression, F.col("__w"))).select(id)
 
 
 def _count(term: str) -> Column:
@@ -115,12 +134,99 @@ def bm25(docs: DataFrame, terms: list[str], id: str = "doc_id", text: str = "tex
     stats = d.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))]).first()
     if not stats["n"]:
         return d.select(id, F.lit(0.0).alias("rank"))
-    hits = d
     has = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    for h in has if every else [reduce(or_, has)]:
-        hits = hits.filter(h)
+    hits = d.filter(reduce(and_ if every else or_, has))
+    return hits.select(id, (-_score([(F.col(f"tf{i}"), stats[f"df{i}"]) for i in range(len(terms))], stats["n"], stats["avgdl"], k1, b)).alias("rank"))
+
+
+def _score(parts: list[tuple[Column, int]], n: int, average: float, k1: float, b: float) -> Column:
+    """The sum over (frequency in the text, texts that have it) of units; len is the text's length."""
     score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = max(math.log((stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)), 1e-6)
-        score = score + idf * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("len") / stats["avgdl"]))
-    return hits.select(id, (-score).alias("rank"))
+    for tf, df in parts:
+        idf = max(math.log((n - df + 0.5) / (df + 0.5)), 1e-6)
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / (average or 1.0)))
+    return score
+
+
+# ---- over postings --------------------------------------------------------------------------
+
+#: Folders of terms that begin with a letter or digit beyond ASCII.
+OTHER_FOLDERS = 64
+
+
+@dataclass
+class TextIndex:
+    """postings(term, id, positions, len, folder) · lengths(id, len). len counts a text's tokens."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def folder(term: Column) -> Column:
+    """The folder of a term, which its first character tells."""
+    first = F.substring(term, 1, 1)
+    return F.when(first.rlike("^[a-z0-9]$"), first).otherwise(F.format_string("other-%02d", F.pmod(F.crc32(first.cast("binary")), F.lit(OTHER_FOLDERS))))
+
+
+def _folder_of(term: str) -> str:
+    import zlib
+
+    return term[0] if term[0].isascii() else f"other-{zlib.crc32(term[0].encode()) % OTHER_FOLDERS:02d}"
+
+
+def postings(docs: DataFrame, id: str = "doc_id", text: str = "text") -> TextIndex:
+    """The index of texts, as expressions; see sorted_by_term() for writing it. Texts are dealt by their
+    ids, so that the words of one text meet where they are and are not shuffled again."""
+    w = docs.select(F.col(id).alias("id"), tokens(F.coalesce(F.col(text), F.lit(""))).alias("w"))
+    each = w.repartition("id").select("id", F.size("w").alias("len"), F.posexplode("w").alias("pos", "term"))
+    each = each.groupBy("term", "id", "len").agg(F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "id", "positions", "len")
+    return TextIndex(each.withColumn("folder", folder(F.col("term"))), w.select("id", F.size("w").alias("len")))
+
+
+def sorted_by_term(p: DataFrame) -> DataFrame:
+    """Postings for writing in folders: dealt by ranges of (folder, term, id), so that the rows of a
+    frequent term are many tasks' work and a file's row groups hold few terms."""
+    return p.repartitionByRange("folder", "term", "id").sortWithinPartitions("folder", "term", "id")
+
+
+def ranked(index: TextIndex, expression: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(id, rank) of the texts that match an expression, by BM25 over all its units; the smaller
+    rank is the better."""
+    e = parse(expression)
+    every = units(e)
+    distinct = list(dict.fromkeys(every))
+    p = index.postings
+    nothing = p.select("id", F.lit(0.0).alias("rank")).limit(0)
+    whole = sorted({w for u in distinct for w in (u.words[:-1] if u.prefix else u.words)})
+    starts = sorted({u.words[-1] for u in distinct if u.prefix and u.words})
+    if not whole and not starts:
+        return nothing
+    is_term = reduce(or_, [*([F.col("term").isin(whole)] if whole else []), *(F.col("term").startswith(s) for s in starts)])
+    hits = p.filter(F.col("folder").isin(sorted({_folder_of(w) for w in [*whole, *starts]})) & is_term)
+
+    # one row for each text, with the places of each word and prefix
+    places = {}
+    for w in whole:
+        places[w, False] = F.max(F.when(F.col("term") == w, F.col("positions")))
+    for s in starts:
+        places[s, True] = F.flatten(F.collect_list(F.when(F.col("term").startswith(s), F.col("positions"))))
+    names = {key: f"p{i}" for i, key in enumerate(places)}
+    texts = hits.groupBy("id").agg(F.max("len").alias("len"), *(c.alias(names[k]) for k, c in places.items()))
+
+    def frequency(u: Unit) -> Column:
+        """Places where the first word stands with each other word as far behind as in the unit."""
+        if not u.words:
+            return F.lit(0)
+        at = [_shifted(names[w, u.prefix and i == len(u.words) - 1], i) for i, w in enumerate(u.words)]
+        return F.coalesce(F.size(reduce(F.array_intersect, at)), F.lit(0))
+
+    tf = {u: f"tf{i}" for i, u in enumerate(distinct)}
+    texts = texts.select("id", "len", *(F.when(frequency(u) > 0, frequency(u)).otherwise(0).alias(c) for u, c in tf.items()))
+    found = texts.agg(*(F.count_if(F.col(c) > 0).alias(c) for c in tf.values())).first()
+    n, average = index.lengths.agg(F.count("*"), F.avg("len")).first()
+    match = texts.filter(_fold(e, lambda u: F.col(tf[u]) > 0))
+    return match.select("id", (-_score([(F.col(tf[u]), found[tf[u]]) for u in every], n, average, k1, b)).alias("rank"))
+
+
+def _shifted(name: str, by: int) -> Column:
+    return F.transform(name, lambda x: x - by) if by else F.col(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +16,21 @@ from .shared import written
 class GraphStore:
     """nodes(id, title, indexed_at, file_mtime) · types(node_id, schema_type) ·
     fields(node_id, key, value_text, value_type, value_number, value_date) ·
-    edges(source_id, target_id, rel_type, resolved, context) · contents(node_id, content_text)."""
+    edges(source_id, target_id, rel_type, resolved, context) · contents(node_id, content_text);
+    text is the index of contents (operators.text.TextIndex), where there is one; written tells that the
+    tables are files, not expressions. Both end with any change of contents."""
 
     nodes: DataFrame
     types: DataFrame
     fields: DataFrame
     edges: DataFrame
     contents: DataFrame | None = None
+    text: Any = None
+    written: bool = False
+
+    def changed(self, **tables: DataFrame) -> GraphStore:
+        """The store with other tables, which are expressions now."""
+        return replace(self, **tables, written=False, text=None if "contents" in tables else self.text)
 
 
 #: The column that each table is laid out in folders by, so that a filter on it reads no others.
@@ -32,7 +41,7 @@ def persisted(store: GraphStore) -> GraphStore:
     """The store written once, in folders by label, key and kind of link; links get numbers."""
     if "edge_id" not in store.edges.columns:
         store = replace(store, edges=store.edges.withColumn("edge_id", F.monotonically_increasing_id()))
-    return GraphStore(**{name: written(getattr(store, name), name, by) for name, by in FOLDERS.items() if getattr(store, name) is not None})
+    return GraphStore(**{name: written(getattr(store, name), name, by) for name, by in FOLDERS.items() if getattr(store, name) is not None}, written=True)
 
 
 _OPEN: dict[tuple[str, str], GraphStore] = {}
