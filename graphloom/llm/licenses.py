@@ -200,8 +200,9 @@ def scan(docs: DataFrame) -> DataFrame:
     named_parts = parts.filter(F.size("names") > 0).select("row", F.lit(1).alias("n"), F.explode("names").alias("family"))
     other_parts = parts.filter(F.size("names") == 0).select("row", "n", F.lit(UNKNOWN).alias("family"))
     every = alone.filter(F.col("family") != UNKNOWN).select("row", F.lit(1).alias("n"), "family").unionByName(named_parts).unionByName(other_parts)
-    per = every.join(some.select("row", "doc_id"), "row").groupBy("doc_id").agg(F.sum("n").alias("n_paragraphs"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licenses"))
-    out = docs.select("doc_id").join(per, "doc_id", "left")
+    # by row: a doc_id may be null or stand on several texts
+    per = every.groupBy("row").agg(F.sum("n").alias("n_paragraphs"), F.array_join(F.sort_array(F.collect_set("family")), ",").alias("licenses"))
+    out = some.select("row", "doc_id").join(per, "row", "left").drop("row").unionByName(docs.filter(~F.coalesce(F.col("text").rlike(CUE), F.lit(False))).select("doc_id", F.lit(None).alias("n_paragraphs"), F.lit(None).alias("licenses")))
     return out.select("doc_id", F.coalesce("n_paragraphs", F.lit(0)).cast("long").alias("n_paragraphs"), F.coalesce("licenses", F.lit("")).alias("licenses"))
 
 
