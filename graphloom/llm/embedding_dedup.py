@@ -36,7 +36,7 @@ from .common import arrow_ready, hot_join, load, materialize, scope
 from .components import components
 
 THRESHOLD = 0.98
-CELL, PIVOTS, BLOCK = 2_000, 16, 2_048
+CELL, PIVOTS, BLOCK = 32, 16, 2_048
 #: Vectors that the pivots of a cell are chosen from, share of the work that a split must leave at
 #: most, and levels (each level leaves at most GAIN of the work of a cell that it splits).
 DRAWN, GAIN, LEVELS = 64, 0.8, 40
