@@ -55,7 +55,8 @@ _GIVEN = frozenset(
     "James John Robert Michael William David Richard Thomas Charles Daniel Mary Patricia Jennifer Linda Elizabeth Susan Jessica Sarah Karen Anna Hans Peter Klaus Wolfgang "
     "Stefan Petra Monika Sabine Ursula Heike Jean Pierre Michel Philippe Marie Nathalie Isabelle Sophie Juan Carlos Luis Miguel Pedro Maria Carmen Lucia Elena Sofia".split()
 )
-_KEY_STARTS = re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA|ghp_|gho_|glpat-|sk-|xox[bp]-|AIza|eyJ)[A-Za-z0-9_.-]{9,}[A-Za-z0-9_])")
+_KEY_HEADS = ("AKIA", "ASIA", "ghp_", "gho_", "glpat-", "sk-", "xoxb-", "xoxp-", "AIza", "eyJ")
+_KEY_STARTS = re.compile(rf"(?<![A-Za-z0-9])((?:{'|'.join(_KEY_HEADS)})[A-Za-z0-9_.-]{{9,}}[A-Za-z0-9_])")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])((?:DE|FR|ES|IT|NL|BE|AT|CH|GB|IE|PT)[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?)(?![0-9A-Za-z])")
 _NOT_NAMES = frozenset("The This That Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December".split())
 _CUES = {
@@ -76,8 +77,8 @@ _AFTER = {
 _CAP_WORDS = re.compile(rf"\b{_CAPS}(?: {_CAPS})*")
 _WORD = re.compile(r"[A-Za-z_]+")
 _HEX = re.compile(r"[0-9a-f]{12,}\Z")
-#: Bounds: spans the classifier is fitted on, hashed features, characters of a span that give them.
-TRAIN_SPANS, HASHED, BODY = 20_000, 4_096, 200
+#: Bounds: spans the classifier is fitted on, and hashed features.
+TRAIN_SPANS, HASHED = 20_000, 4_096
 
 
 def luhn(digits: str) -> bool:
@@ -153,11 +154,12 @@ def _proposed(t: str) -> dict[tuple[int, int, int], int]:
             add(5, m, 0, 1)
         for m in _NUMBER.finditer(t):
             add(7, m, 0, 1)
-        for m in _KEY_STARTS.finditer(t):
-            add(4, m, 1, 2)
         for m in _ACCOUNT.finditer(t):
             add(7, m, 1, 2)
     # plain searches tell quickly that most texts hold none of the words
+    if any(k in t for k in _KEY_HEADS):
+        for m in _KEY_STARTS.finditer(t):
+            add(4, m, 1, 2)
     if any(h in t for h in _HONORIFICS):
         for m in _NAME.finditer(t):
             add(6, m, 1, 1)
@@ -197,12 +199,12 @@ def _votes(kind: int, body: str, before: list[str], who: int) -> int:
 
 def _features(kind: int, t: str, s: int, e: int, before: list[str]) -> list[int]:
     """Places of the classifier's features, none of which is a vote."""
-    body = t[s : min(e, s + BODY)]
+    body = t[s:e]
     digits = sum(map(str.isdigit, body))
-    shape = re.sub(r"[a-z\u00df-\u00ff]+", "a", re.sub(r"[A-Z\u00c0-\u00de]", "A", re.sub(r"[0-9]+", "0", body)))[:12]
+    shape = re.sub(r"[a-z\u00df-\u00ff]+", "a", re.sub(r"[A-Z\u00c0-\u00de]", "A", re.sub(r"[0-9]+", "0", body)))
     names = [f"k{kind}", f"{kind}n{min(12, (e - s) // 4)}", f"{kind}d{4 * digits // len(body)}", f"{kind}s{shape}", f"{kind}p{t[s - 1] if s else ''}", f"{kind}w{before[-1] if before else ''}"]
     names += [f"{kind}q{len(set(body)) // 4}", f"{kind}x{sum(a.isdigit() != b.isdigit() for a, b in zip(body, body[1:])) // 3}"]
-    names += [f"{kind}t{body[i : i + 3].lower()}" for i in range(0, min(len(body) - 2, 24), 2)] if kind == 6 else []
+    names += [f"{kind}t{body[i : i + 3].lower()}" for i in range(len(body) - 2)] if kind == 6 else []
     return sorted({xxhash.xxh3_64_intdigest(n.encode("utf-8", "surrogatepass")) % HASHED for n in names})
 
 

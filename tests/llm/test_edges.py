@@ -345,3 +345,42 @@ def test_license_classifier_on_unseen_variants():
                 guess = families[int(p.argmax())] if p.max() >= limit else licenses.UNKNOWN
                 right, wrong = right + (guess == f), wrong + (guess not in (f, licenses.UNKNOWN))
     assert right >= 0.85 * (right + wrong) and wrong <= 0.1 * 5 * sum(map(len, licenses.NOTICES.values()))
+
+
+def test_licences_go_by_row(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, under the MIT License"
+    rows = [(1, mit, "en"), (1, mit, "en"), (1, "no notice here", "en"), (None, "text\n" + mit, "en"), (None, None, None), (2, "", "en")]
+    got = Counter((r["doc_id"], r["n_paragraphs"], r["licenses"]) for r in licenses.scan(table(spark, rows)).collect())
+    assert got == Counter([(1, 1, "mit"), (1, 1, "mit"), (1, 0, ""), (None, 1, "mit"), (None, 0, ""), (2, 0, "")])
+
+
+def test_keys_need_no_digit_elsewhere():
+    for t in ("sk-abcdefghijklmnop alone", "sk-abcdefghijklmnop alone 7", "xoxb-aaaaabbbbbccccc", "no ghp_ABCDEFGHIJKLM here"):
+        assert any(kind == 4 for kind, *_ in pii._proposed(t)), t
+
+
+def test_long_spans_are_judged_whole():
+    a, b = "x" * 300 + "A" * 100, "x" * 300 + "1" * 100
+    assert pii._features(4, a, 0, 400, []) != pii._features(4, b, 0, 400, [])
+
+
+def test_pii_columns_follow_the_spans(spark):
+    rows = [(i, f"mail a{i}@b.org or call +49 170 555 {1000 + i}; token = abcdef0123456789{i:02d} and card 4111 1111 1111 1111") for i in range(60)] + [(70, None), (71, "nothing")]
+    for r in pii.op10(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = dict(rows)[r["doc_id"]] or ""
+        base = ",".join(f"{pii.BASE[k]}:{s}:{e}" for k, s, e in pii.base_spans(text))
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert (r["spans"] or "").startswith(base)
+        more = [x.split(":") for x in (r["spans"] or "")[len(base) :].strip(",").split(",") if x]
+        assert [(k, text[int(s) : int(e)]) for k, s, e in more] == ([("secret", f"abcdef0123456789{r['doc_id']:02d}")] if r["doc_id"] < 60 else [])
+
+
+def test_pivots_are_drawn_for_small_labels(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, "a", (centres[i % 12] + rng.normal(size=16) * 0.05).tolist()) for i in range(150)]
+    d = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    vectors = d.select(d["label"].alias("cell"), d["vec_id"].alias("rep"), d["embedding"].alias("v")).selectExpr("cell", "rep", "v", "1L n")
+    placed = embedding_dedup.assign(vectors, 0.98)
+    assert placed.select("cell").distinct().count() > 1
+    assert Counter(r["rep"] for r in placed.filter("own").collect()) == Counter(range(150))
