@@ -375,12 +375,12 @@ def test_pii_columns_follow_the_spans(spark):
         assert [(k, text[int(s) : int(e)]) for k, s, e in more] == ([("secret", f"abcdef0123456789{r['doc_id']:02d}")] if r["doc_id"] < 60 else [])
 
 
-def test_pivots_are_drawn_for_small_labels(spark):
+def test_pivots_are_drawn_for_small_cells(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16))
     rows = [(i, "a", (centres[i % 12] + rng.normal(size=16) * 0.05).tolist()) for i in range(150)]
     d = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
     vectors = d.select(d["label"].alias("cell"), d["vec_id"].alias("rep"), d["embedding"].alias("v")).selectExpr("cell", "rep", "v", "1L n")
-    placed = embedding_dedup.assign(vectors, 0.98)
+    placed = embedding_dedup.assign(vectors, 0.98, 32)
     assert placed.select("cell").distinct().count() > 1
     assert Counter(r["rep"] for r in placed.filter("own").collect()) == Counter(range(150))
