@@ -158,11 +158,22 @@ _PROBE = [1.0] * 8 + [0.0] * 56
 _DIST = "sqrt(list_sum([(x::DOUBLE - CASE WHEN i <= 8 THEN 1.0 ELSE 0.0 END) ** 2 for x, i in embedding]))"
 
 
+_CELLS: dict = {}
+
+
+def _cells(spark, d):
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CELLS:
+        _CELLS[key] = vector.cells(_chunks(spark, d))
+    return _CELLS[key]
+
+
 def _chunks(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.floor(F.col("vec_id") / 5).cast("bigint").alias("node_id"), "label", "embedding")
 
 
 register("q_knn_topk", f"SELECT vec_id AS chunk_id, round({_DIST}, 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 30", store=False)(lambda spark, d: vector.knn(_chunks(spark, d), _PROBE, 30).select("chunk_id", F.round("distance", 6).alias("distance")))
+register("q_knn_cells", f"SELECT vec_id AS chunk_id, round({_DIST}, 6) AS distance FROM embeddings ORDER BY 2, 1 LIMIT 30", store=False)(lambda spark, d: vector.nearest(_cells(spark, d), _PROBE, 30)[0].select("chunk_id", F.round("distance", 6).alias("distance")))
 _KNN = f"h AS (SELECT vec_id AS chunk_id, vec_id // 5 AS node_id, {_DIST} AS distance FROM embeddings {{}} ORDER BY distance, chunk_id LIMIT 30), b AS (SELECT node_id, min(distance) AS distance FROM h GROUP BY 1)"
 _BEST = " SELECT node_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS score FROM b {} ORDER BY b.distance, node_id LIMIT 10"
 _ALLOWED = "(SELECT vec_id // 5 FROM embeddings WHERE label < 5)"

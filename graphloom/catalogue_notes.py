@@ -92,7 +92,7 @@ register("q_reference_counts", "SELECT count(resolved) AS resolved, count(*) - c
 
 register("q_overdue", f"SELECT f.node_id AS id, f.value_date[:10] AS due FROM fields f LEFT JOIN fields s ON s.node_id = f.node_id AND s.key = 'status' WHERE f.key = 'due_date' AND f.value_date[:10] < '{TODAY}' AND s.value_text NOT IN ('done', 'cancelled')")(lambda st, spark, d: aggregate.due_lists(st, TODAY).filter("bucket = 'overdue'").select("id", "due"))
 register("q_active_projects", "SELECT p.node_id AS id, 'active' AS status, coalesce(total, 0) AS total, coalesce(done, 0) AS done FROM types p LEFT JOIN (SELECT resolved, count(*) AS total, count(*) FILTER (value_text = 'done') AS done FROM (SELECT DISTINCT source_id, resolved FROM edges WHERE rel_type = 'project') LEFT JOIN fields f ON f.node_id = source_id AND key = 'status' GROUP BY 1) ON resolved = p.node_id WHERE schema_type = 'project'")(lambda st, spark, d: aggregate.active_projects(st))
-register("q_task_lists", "SELECT value_text AS status, count(*) AS n, string_agg(node_id, ',' ORDER BY node_id) AS ids FROM fields WHERE key = 'status' AND node_id IN (SELECT source_id FROM edges WHERE resolved = 'customers/7.md') GROUP BY 1")(lambda st, spark, d: aggregate.task_lists(st, "customers/7.md"))
+register("q_task_lists", "SELECT value_text AS status, count(*) OVER (PARTITION BY value_text) AS n, node_id AS id FROM fields WHERE key = 'status' AND node_id IN (SELECT source_id FROM edges WHERE resolved = 'customers/7.md')")(lambda st, spark, d: aggregate.task_lists(st, "customers/7.md"))
 register("q_project_recent", "SELECT id, indexed_at FROM nodes WHERE id IN (SELECT source_id FROM edges WHERE resolved = 'customers/7.md') ORDER BY indexed_at DESC, id LIMIT 10")(lambda st, spark, d: aggregate.recent(st, st.edges.filter("resolved = 'customers/7.md'").select(F.col("source_id").alias("id"))))
 register("q_filename_template", "SELECT schema_type, CASE WHEN max(n) / sum(n) >= 0.8 THEN arg_max(dir, n) || '/{{title}}.md' END AS template FROM (SELECT schema_type, regexp_extract(node_id, '^(.*)/', 1) AS dir, count(*) AS n FROM types GROUP BY ALL) GROUP BY 1")(lambda st, spark, d: aggregate.filename_templates(st))
 register("q_samples", "SELECT schema_type, key, '[' || string_agg('\"' || value_text || '\"', ',' ORDER BY k) || ']' AS \"values\" FROM (SELECT *, row_number() OVER (PARTITION BY schema_type, key ORDER BY n DESC, value_text) AS k FROM (SELECT schema_type, key, value_text, count(*) AS n FROM fields JOIN types USING (node_id) GROUP BY ALL)) WHERE k <= 10 GROUP BY ALL")(lambda st, spark, d: aggregate.samples(st))
@@ -107,14 +107,22 @@ _DISC = """VALUES ('task', 'priority', 'undefined', 'enum'), ('task', 'due_date'
 register("q_schema_discrepancy", f", x AS (SELECT 'part' AS schema_type, 'type' AS key, 'extra value' AS issue, p_type AS detail FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO') GROUP BY p_type), b AS (SELECT count(DISTINCT p_brand) BETWEEN 2 AND 20 AND count(DISTINCT p_brand) / count(*) < 0.5 AS enum FROM part) SELECT * FROM ({_DISC}) t(schema_type, key, issue, detail) UNION ALL SELECT * FROM x UNION ALL SELECT 'part', 'brand', 'type', 'string / enum' FROM b WHERE enum")(lambda st, spark, d: aggregate.discrepancies(st, C.declared(spark, {k: _SCHEMAS[k] for k in ("task", "part")})))
 
 
-@register("q_schema_merge", "SELECT * FROM (VALUES ('owner', 'reference', false, ''), ('priority', 'string', false, ''), ('project', 'reference', true, ''), ('status', 'enum', true, 'done,in-progress,todo,blocked')) t(key, field_type, required, \"values\")", store=False)
-def _(spark, d):
-    m = C.merge(_SCHEMAS, ["task", "order", "nosuch"])
-    return spark.createDataFrame([(k, f.type, f.required, ",".join(f.values)) for k, f in m.fields.items()], "key string, field_type string, required boolean, values string")
+_DECLARED = "(VALUES ('task', 'status', 'enum', false, 'todo,done,blocked'), ('task', 'total', 'string', false, ''), ('task', 'owner', 'reference', false, ''), ('task', 'project', 'reference', true, ''), ('order', 'status', 'enum', true, 'done,in-progress'), ('order', 'total', 'number', false, ''), ('order', 'priority', 'string', false, ''), ('part', 'size', 'number', false, ''), ('part', 'brand', 'string', false, ''), ('part', 'type', 'enum', false, 'ECONOMY,PROMO')) d(schema_type, key, field_type, required, vals)"
+register("q_schema_merge", f"""SELECT types, key, CASE WHEN count(DISTINCT field_type) = 1 THEN min(field_type) END AS field_type, count(DISTINCT field_type) = 1 AND bool_or(required) AS required,
+CASE WHEN count(DISTINCT field_type) > 1 THEN '' WHEN key = 'status' THEN 'done,in-progress,todo,blocked' ELSE min(vals) END AS "values", count(DISTINCT field_type) > 1 AS conflict, count(*) // count(DISTINCT schema_type) AS n_nodes
+FROM (SELECT node_id, string_agg(schema_type, ',' ORDER BY schema_type) OVER (PARTITION BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS types, schema_type FROM types) JOIN {_DECLARED} USING (schema_type) GROUP BY types, key""")(lambda st, spark, d: _merged(st, spark))
 
 
-register("q_schema_list", "SELECT * FROM (VALUES ('order', NULL, '', 3), ('part', NULL, '', 3), ('task', NULL, '', 4), ('urgent-task', 'task', 'task', 5)) t(name, extends, ancestors, field_count)", store=False)(lambda spark, d: C.listing(spark, _SCHEMAS).drop("display_name"))
-register("q_schema_describe", "SELECT * FROM (VALUES ('part', 'brand', 'string', false), ('part', 'size', 'number', false), ('part', 'type', 'enum', false)) t(schema_type, key, field_type, required)", store=False)(lambda spark, d: C.describe(spark, _SCHEMAS, "part").drop("values"))
+def _merged(st, spark):
+    """The merged fields of each set of types that nodes have, and how many nodes that is."""
+    sets = quality.type_sets(st.types).groupBy("types").agg(F.count("*").alias("n_nodes"))
+    m = C.merged_sets(sets.select("types"), C.declarations(spark, _SCHEMAS)).join(sets, "types")
+    return m.select(F.array_join("types", ",").alias("types"), "key", "field_type", "required", F.array_join("values", ",").alias("values"), "conflict", "n_nodes")
+
+
+_USED = "(SELECT schema_type, count(*) AS n_nodes FROM types GROUP BY 1)"
+register("q_schema_list", f"SELECT name, extends, ancestors, field_count, coalesce(n_nodes, 0) AS n_nodes FROM (VALUES ('order', NULL, '', 3), ('part', NULL, '', 3), ('task', NULL, '', 4), ('urgent-task', 'task', 'task', 5)) t(name, extends, ancestors, field_count) LEFT JOIN {_USED} ON schema_type = name")(lambda st, spark, d: C.listing(spark, _SCHEMAS).drop("display_name").join(aggregate.count_types(st).select(F.col("schema_type").alias("name"), F.col("n").alias("n_nodes")), "name", "left").fillna(0, ["n_nodes"]))
+register("q_schema_describe", "SELECT 'part' AS schema_type, t.key, field_type, required, coalesce(n, 0) AS n_nodes FROM (VALUES ('brand', 'string', false), ('size', 'number', false), ('type', 'enum', false)) t(key, field_type, required) LEFT JOIN (SELECT key, count(*) AS n FROM fields WHERE node_id IN (SELECT node_id FROM types WHERE schema_type = 'part') GROUP BY 1) f ON f.key = t.key")(lambda st, spark, d: C.describe(spark, _SCHEMAS, "part").drop("values").join(aggregate.field_frequency(st).select("schema_type", "key", "n_nodes"), ["schema_type", "key"], "left").fillna(0, ["n_nodes"]))
 
 
 @register("q_schema_generate", "SELECT schema_type, key, value_type AS field_type FROM (SELECT schema_type, key, any_value(value_type) AS value_type FROM fields JOIN types USING (node_id) WHERE schema_type IN ('customer', 'document') AND key IN ('acctbal', 'nation', 'chars') GROUP BY 1, 2)")
@@ -406,6 +414,9 @@ register("q_queue_stats", "SELECT CASE event_id % 4 WHEN 0 THEN 'done' WHEN 1 TH
 register("q_queue_claim", "SELECT event_id AS chunk_id, event_type AS content FROM events WHERE event_id % 4 IN (1, 3) ORDER BY event_id % 3, event_id LIMIT 50", store=False)(lambda spark, d: events.claim(_queue(spark, d), table(spark, d, "events").select(F.col("event_id").alias("chunk_id"), F.col("event_type").alias("content"))).select("chunk_id", "content"))
 register("q_embed_provider", "SELECT doc_id, len(text)::DOUBLE AS d0, (len(text) % 7)::DOUBLE AS d1 FROM documents WHERE text IS NOT NULL", store=False)(lambda spark, d: vector.embed(table(spark, d, "documents").filter("text is not null"), vector.Provider(lambda texts: [[float(len(t)), float(len(t) % 7)] for t in texts], 2)).select("doc_id", F.col("embedding")[0].cast("double").alias("d0"), F.col("embedding")[1].cast("double").alias("d1")))
 _TITLES = r"SELECT 'parts/' || p_partkey || '.md' AS id, trim(regexp_replace(regexp_replace(trim(lower(p_name || ' ' || p_brand)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g')) AS norm FROM part"
+_CUSTOMERS = "SELECT 'customers/' || c_custkey || '.md' AS id, replace(lower(c_name), '#', '') AS norm FROM customer"
+register("q_dup_near_block", f"""WITH t AS ({_CUSTOMERS}), p AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, 1 - levenshtein(x.norm, y.norm) / greatest(len(x.norm), len(y.norm)) AS sim FROM t x JOIN t y ON x.id < y.id)
+SELECT a, b, floor(sim * 100 + 0.5) / 100 AS similarity FROM p WHERE sim >= 0.9 AND sim < 1""", store=False)(lambda spark, d: duplicates.near(table(spark, d, "customer").select(F.concat(F.lit("customers/"), F.col("c_custkey").cast("string"), F.lit(".md")).alias("id"), F.col("c_name").alias("title")), 0.9))
 register("q_dup_groups", f"""WITH t AS ({_TITLES}), s AS (SELECT norm, min(id) AS id, dense_rank() OVER (ORDER BY norm[:3]) AS ord FROM t GROUP BY norm HAVING count(*) = 1),
 p AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, 1 - levenshtein(x.norm, y.norm) / greatest(len(x.norm), len(y.norm)) AS sim FROM s x JOIN s y ON y.ord = x.ord + 1 OR (y.ord = x.ord AND x.id < y.id)),
 g AS (SELECT 1.0::DOUBLE AS similarity, array_agg(id ORDER BY id) AS l, 'identical normalized title' AS reason FROM t GROUP BY norm HAVING count(*) > 1 UNION ALL SELECT floor(sim * 100 + 0.5) / 100, [a, b], 'similar title' FROM p WHERE sim >= 0.8 AND sim < 1)

@@ -55,26 +55,25 @@ def dominant_type(store: GraphStore) -> DataFrame:
 
 
 def infer_field_types(store: GraphStore) -> DataFrame:
-    """(schema_type, key, field_type): the dominant value type; a list whose items are all links is
-    list<reference>, another list<string>; strings that are all links are reference, few different
-    ones enum."""
+    """(schema_type, key, field_type): the dominant value type; lists of which each has items, and each
+    item holds a link, are list<reference>, others list<string>; strings that all hold a link's beginning
+    are reference, few different ones enum."""
     v = store.fields.join(store.types, "node_id").groupBy("schema_type", "key", "value_type", "value_text").agg(F.count("*").alias("n"))
     of = lambda t: F.col("value_type") == t
-    link = F.col("value_text").rlike(WHOLE_LINK)
+    link = F.contains(F.col("value_text"), F.lit("[["))
     items = F.when(of("list"), json_items(F.col("value_text")))
+    linked = (F.size(items) > 0) & F.forall(items, lambda x: F.contains(x, F.lit("[[")))
     per = v.groupBy("schema_type", "key").agg(
         F.count_if(of("string")).alias("distinct_strings"),
         F.sum(F.when(of("string"), F.col("n")).otherwise(0)).alias("strings"),
         F.coalesce(F.bool_and(F.when(of("string"), link)), F.lit(False)).alias("links"),
-        F.coalesce(F.bool_and(F.forall(items, lambda x: x.rlike(WHOLE_LINK))) & (F.sum(F.coalesce(F.size(items), F.lit(0))) > 0), F.lit(False)).alias("link_lists"),
+        F.coalesce(F.bool_and(F.when(of("list"), F.coalesce(linked, F.lit(False)))), F.lit(False)).alias("link_lists"),
     )
     few = F.col("distinct_strings").between(2, 20) & (F.col("distinct_strings") / F.col("strings") < 0.5)
     kind = F.when(of("list"), F.when(F.col("link_lists"), "list<reference>").otherwise("list<string>")).when(~of("string"), F.col("value_type")).when(F.col("links"), "reference").when(few, "enum").otherwise("string")
     return per.join(dominant_type(store), ["schema_type", "key"]).select("schema_type", "key", kind.alias("field_type"))
 
 
-#: A value that is nothing but a link.
-WHOLE_LINK = r"^\[\[[^\]]+\]\]$"
 #: Share of a type's notes that must lie in one folder, and of those that must begin with a date.
 FOLDER_SHARE, DATE_SHARE = 0.8, 0.5
 
@@ -132,10 +131,12 @@ def active_projects(store: GraphStore) -> DataFrame:
 
 
 def task_lists(store: GraphStore, project: str) -> DataFrame:
-    """(status, n, ids): the tasks that link to a project by any link, by status."""
+    """(status, n, id): the tasks that link to a project by any link, a row each, with the number of
+    those of the same status."""
     t = _linked(store, "task", {}, None).filter(F.col("resolved") == project).select(F.col("source_id").alias("node_id")).distinct()
     f = store.fields.filter("key = 'status'").select("node_id", F.col("value_text").alias("status"))
-    return t.join(f, "node_id", "left").groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("node_id")), ",").alias("ids"))
+    rows = t.join(f, "node_id", "left").select(F.coalesce("status", F.lit("unknown")).alias("status"), F.col("node_id").alias("id"))
+    return rows.join(rows.groupBy("status").agg(F.count("*").alias("n")), "status").select("status", "n", "id")
 
 
 def recent(store: GraphStore, ids: DataFrame | None = None, n: int = 10) -> DataFrame:

@@ -114,8 +114,15 @@ def audit(fields: DataFrame, rules: DataFrame) -> DataFrame:
     hit = r.join(f, "low").filter("(action = 'rename_key' and key = from_key) or (action = 'coerce_value' and value_type <> 'list')")
     hit = hit.select("action", "from_key", "to_key", "target_type", "node_id").distinct()
     cols = ["action", "from_key", "to_key", "target_type"]
-    k = F.row_number().over(Window.partitionBy(*cols).orderBy("node_id"))
-    return hit.withColumn("k", k).groupBy(*cols).agg(F.count("*").alias("files_affected"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("k") <= 5, F.col("node_id")))), ",").alias("sample_files"))
+    # the rows of a rule are counted where they are; of its files a task keeps the first five of a part, and then
+    # of all parts, so that no rule's files meet in one task
+    counts = hit.groupBy(*cols).agg(F.count("*").alias("files_affected"))
+    first = hit.withColumn("part", F.pmod(F.xxhash64("node_id"), F.lit(64)))
+    for by in ([*cols, "part"], cols):
+        first = first.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("node_id"))).filter(F.col("k") <= 5)
+    first = first.groupBy(*cols).agg(F.array_join(F.sort_array(F.collect_list("node_id")), ",").alias("sample_files"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in cols]
+    return counts.alias("a").join(first.alias("b"), same).select(*(f"a.{c}" for c in cols), "files_affected", "sample_files")
 
 
 def normalized(fields: DataFrame, rules: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import to_boolean, wrap_reference
-from ..plans.schemas import Schema, merge
+from ..plans.schemas import Schema, declarations, merge, merged_sets
 from ..plans.store import GraphStore
 
 #: Observed value types that a declared type accepts (fixed values).
@@ -63,18 +63,35 @@ def merged_defs(schemas: dict[str, Schema], types: list[str]) -> list[FieldDef]:
     return [FieldDef(k, f.type, f.required, f.values) for k, f in merge(schemas, types).fields.items()]
 
 
+def check_sets(sets: DataFrame, fields: DataFrame, merged: DataFrame) -> DataFrame:
+    """(node_id, key, rule): check() of nodes (node_id, types) whose fields are merged (from
+    merged_sets()), as joins: the plan doesn't depend on the number of sets."""
+    want = merged.filter("field_type is not null").select("types", "key", "field_type", "required", "values")
+    accepts = F.create_map(*[x for t, kinds in ACCEPTS.items() for x in (F.lit(t), F.array(*map(F.lit, kinds)))])
+    bad = F.when(~F.array_contains(accepts[F.col("field_type")], F.col("value_type")), "type")
+    bad = bad.when((F.col("field_type") == "enum") & ~F.array_contains("values", F.col("value_text")), "enum")
+    bad = bad.when((F.col("field_type") == "reference") & ~F.col("value_text").rlike(LINK), "reference")
+    items = F.from_json(F.when(F.col("field_type") == "list<reference>", F.col("value_text")), "array<string>")
+    bad = bad.when(F.exists(items, lambda x: ~x.rlike(LINK)), "reference")
+    have = sets.join(fields.select("node_id", "key", "value_text", "value_type"), "node_id").join(want, ["types", "key"])
+    wrong = have.select("node_id", "key", bad.alias("rule")).filter("rule is not null")
+    need = sets.join(want.filter("required").select("types", "key"), "types").select("node_id", "key")
+    missing = need.join(fields.select("node_id", "key"), ["node_id", "key"], "left_anti").withColumn("rule", F.lit("required"))
+    return wrong.unionByName(missing)
+
+
+def type_sets(types: DataFrame) -> DataFrame:
+    """(node_id, types) with the types of each node in order."""
+    return types.groupBy("node_id").agg(F.array_sort(F.collect_set("schema_type")).alias("types"))
+
+
 def validate_all(store: GraphStore, schemas: dict[str, Schema]) -> DataFrame:
-    """(node_id, is_valid) of every node: null where none of its types has a schema. Nodes are
-    checked by the combinations of types that occur, of which there are few."""
-    sets = store.types.filter(F.col("schema_type").isin(list(schemas))).groupBy("node_id").agg(F.array_sort(F.collect_set("schema_type")).alias("types"))
-    out = None
-    for (types,) in sets.select("types").distinct().collect():
-        nodes = sets.filter(F.col("types") == F.array(*map(F.lit, types))).select("node_id")
-        bad = check(nodes, store.fields, merged_defs(schemas, types)).select("node_id").distinct().withColumn("bad", F.lit(True))
-        part = nodes.join(bad, "node_id", "left").select("node_id", F.col("bad").isNull().alias("is_valid"))
-        out = part if out is None else out.unionByName(part)
-    every = store.nodes.select(F.col("id").alias("node_id"))
-    return every.withColumn("is_valid", F.lit(None).cast("boolean")) if out is None else every.join(out, "node_id", "left")
+    """(node_id, is_valid) of every node: null where none of its types has a schema."""
+    sets = type_sets(store.types.filter(F.col("schema_type").isin(list(schemas))))
+    merged = merged_sets(sets.select("types").distinct(), declarations(store.nodes.sparkSession, schemas))
+    bad = check_sets(sets, store.fields, merged).select("node_id").distinct().withColumn("bad", F.lit(True))
+    known = sets.select("node_id").join(bad, "node_id", "left").select("node_id", F.col("bad").isNull().alias("is_valid"))
+    return store.nodes.select(F.col("id").alias("node_id")).join(known, "node_id", "left")
 
 
 def coerce(value: Column, d: FieldDef) -> Column:

@@ -1,12 +1,20 @@
-"""Chunk vectors: nearest neighbours, best chunk of each node, chunking, a hashing embedder."""
+"""Chunk vectors: nearest neighbours, also from cells around pivots, best chunk of each node, chunking, a hashing embedder."""
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import token_estimate
+from ..plans.shared import written
 
 
 def l2(v: Column, probe: list[float]) -> Column:
@@ -19,6 +27,87 @@ def knn(chunks: DataFrame, probe: list[float], k: int, id: str = "chunk_id", vec
     return chunks.withColumn("distance", l2(F.col(vector), probe)).drop(vector).orderBy("distance", id).limit(k)
 
 
+# ---- nearest neighbours from cells ----------------------------------------------------------
+
+#: Most cells of an index, and vectors that their pivots are drawn from.
+CELLS, DRAWN = 1_024, 20_000
+
+
+@dataclass
+class VectorIndex:
+    """Vectors in folders by cell (rows: id columns, vector, cell, reach), reach being the distance of a
+    vector to its cell's pivot; pivots and the least and largest reach of each cell (CELLS at most)."""
+
+    rows: DataFrame
+    pivots: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    vector: str
+
+
+def cells(chunks: DataFrame, vector: str = "embedding", most: int | None = None) -> VectorIndex:
+    """An index of vectors of one length, written in the shared folder: about sqrt(n) cells, each vector
+    in that of the nearest pivot, sorted by its distance to it. Null vectors are left out."""
+    chunks = chunks.filter(F.col(vector).isNotNull())
+    n = chunks.count()
+    most = most or max(1, min(CELLS, math.isqrt(n)))
+    # the pivots only decide how much a search reads; it is exact with any
+    drawn = chunks.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(11), "v")).limit(DRAWN).collect()
+    pool = np.unique(np.array([r["v"] for r in drawn], float).reshape(len(drawn), -1), axis=0)
+    chosen, far = [0] if len(pool) else [], None
+    while len(pool) and len(chosen) < most:
+        d = ((pool - pool[chosen[-1]]) ** 2).sum(1)
+        far = d if far is None else np.minimum(far, d)
+        if far.max() <= 0:
+            break
+        chosen.append(int(far.argmax()))
+    pivots = pool[chosen]
+
+    def place(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.stack(pdf[vector].to_numpy()).astype(float)
+            d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ pivots.T + (pivots**2).sum(1)[None], 0))
+            cell = d.argmin(1)
+            # the nearest by rough distances; its own distance without cancellation
+            yield pdf.assign(reach=np.sqrt(((x - pivots[cell]) ** 2).sum(1)), cell=cell.astype(np.int32))
+
+    placed = chunks.mapInPandas(place, T.StructType([*chunks.schema.fields, T.StructField("reach", T.DoubleType()), T.StructField("cell", T.IntegerType())]))
+    rows = written(placed.repartitionByRange("cell", "reach").sortWithinPartitions("cell", "reach"), "vectors", "cell")
+    low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for r in rows.groupBy("cell").agg(F.min("reach").alias("low"), F.max("reach").alias("high")).collect():
+        low[r["cell"]], high[r["cell"]] = r["low"], r["high"]
+    return VectorIndex(rows, pivots, low, high, vector)
+
+
+def nearest(index: VectorIndex, probe: list[float], k: int, id: str = "chunk_id") -> tuple[DataFrame, int]:
+    """knn() from an index, and how many cells were read.
+
+    The cells nearest to the probe give k vectors, whose largest distance bounds that of the k nearest. By
+    the triangle inequality no vector nearer than that has a distance to its pivot that differs more from
+    the probe's; cells without such distances are not opened, and of the others only such rows are read.
+    """
+    none = index.rows.drop("cell", "reach", index.vector).withColumn("distance", F.lit(0.0)).limit(0)
+    if not len(index.pivots) or k < 1:
+        return none, 0
+    to = np.sqrt(((index.pivots - np.array(probe, float)) ** 2).sum(1))
+    # how near a vector of each cell may be
+    bound = np.maximum(0, np.maximum(to - index.high, index.low - to))
+    order = [int(c) for c in np.argsort(bound, kind="stable") if np.isfinite(bound[c])]
+    limit, first, found = math.inf, [], 0
+    while found < k and len(first) < len(order):
+        first = order[: max(1, 2 * len(first))]
+        got = knn(index.rows.filter(F.col("cell").isin(first)).select(id, index.vector), probe, k, id, index.vector).collect()
+        found = len(got)
+        limit = got[-1]["distance"] if found == k else math.inf
+    limit = limit * (1 + 1e-12) + 1e-12
+    need = [c for c in order if bound[c] <= limit]
+    near = reduce(or_, [(F.col("cell") == c) & F.col("reach").between(float(to[c]) - limit, float(to[c]) + limit) for c in need])
+    rows = index.rows.filter(F.col("cell").isin(need) & near).drop("cell", "reach")
+    return knn(rows, probe, k, id, index.vector), len(set(first) | set(need))
+
+
 def best_per_node(hits: DataFrame, node: str = "node_id", id: str = "chunk_id") -> DataFrame:
     best = hits.groupBy(node).agg(F.min(F.struct("distance", F.col(id).alias("chunk_id"))).alias("b"))
     return best.select(node, F.col("b.chunk_id").alias("chunk_id"), F.col("b.distance").alias("distance"), (1 / (1 + F.col("b.distance"))).alias("score"))

@@ -11,6 +11,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Types that a field can be declared with (fixed values).
 FIELD_TYPES = ("string", "number", "date", "boolean", "enum", "reference", "list<string>", "list<reference>")
@@ -96,7 +97,7 @@ def from_definitions(raws: list[dict]) -> dict[str, Schema]:
                 if s.extends not in own:
                     raise SchemaError(f"{name} extends {s.extends}, which is unknown")
                 parent = resolve(s.extends, (*path, name))
-                s = replace(s, fields=parent.fields | s.fields, ancestors=[s.extends, *parent.ancestors])
+                s = replace(s, fields=parent.fields | s.fields, ancestors=[*parent.ancestors, s.extends])
             done[name] = s
         return done[name]
 
@@ -148,6 +149,25 @@ def declared(spark: SparkSession, schemas: dict[str, Schema]) -> DataFrame:
     return spark.createDataFrame(rows, "schema_type string, key string, field_type string, required boolean, values array<string>")
 
 
+def declarations(spark: SparkSession, schemas: dict[str, Schema]) -> DataFrame:
+    """(schema_type, key, field_type, target, required, values): declared() with the targets of references."""
+    rows = [(s.name, k, f.type, f.target, f.required, list(f.values)) for s in schemas.values() for k, f in s.fields.items()]
+    return spark.createDataFrame(rows, "schema_type string, key string, field_type string, target string, required boolean, values array<string>")
+
+
+def merged_sets(sets: DataFrame, declared_: DataFrame) -> DataFrame:
+    """(types, key, field_type, required, values, conflict): merge() of each set of types (types, an
+    array in order) as one plan, from declarations(). field_type is null where the field went in a conflict."""
+    each = sets.select("types", F.posexplode("types").alias("pos", "schema_type")).join(declared_, "schema_type")
+    one = F.struct("pos", "field_type", F.coalesce("target", F.lit("")).alias("target"), "required", "values")
+    fields = each.groupBy("types", "key").agg(F.array_sort(F.collect_list(one)).alias("d"))
+    fold = """aggregate(d, named_struct('t', cast(null as string), 'g', '', 'r', false, 'v', cast(array() as array<string>), 'c', false), (a, x) ->
+        if(a.t is null, named_struct('t', x.field_type, 'g', x.target, 'r', x.required, 'v', x.values, 'c', a.c),
+        if(a.t <> x.field_type or a.g <> x.target, named_struct('t', cast(null as string), 'g', '', 'r', false, 'v', cast(array() as array<string>), 'c', true),
+        named_struct('t', a.t, 'g', a.g, 'r', a.r or x.required, 'v', array_distinct(concat(a.v, x.values)), 'c', a.c))))"""
+    return fields.withColumn("m", F.expr(fold)).select("types", "key", F.col("m.t").alias("field_type"), F.col("m.r").alias("required"), F.col("m.v").alias("values"), F.col("m.c").alias("conflict"))
+
+
 def listing(spark: SparkSession, schemas: dict[str, Schema]) -> DataFrame:
     """(name, display_name, extends, ancestors, field_count) ordered by name."""
     rows = [(s.name, s.display_name, s.extends, ",".join(s.ancestors), len(s.fields)) for _, s in sorted(schemas.items())]
