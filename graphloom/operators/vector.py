@@ -53,7 +53,7 @@ def cells(chunks: DataFrame, vector: str = "embedding", most: int | None = None)
     most = most or max(1, min(CELLS, math.isqrt(n)))
     # the pivots only decide how much a search reads; it is exact with any
     drawn = chunks.select(F.col(vector).cast("array<double>").alias("v")).orderBy(F.xxhash64(F.lit(11), "v")).limit(DRAWN).collect()
-    pool = np.unique(np.array([r["v"] for r in drawn], float).reshape(len(drawn), -1), axis=0)
+    pool = np.unique(np.array([r["v"] for r in drawn], float), axis=0) if drawn else np.empty((0, 0))
     chosen, far = [0] if len(pool) else [], None
     while len(pool) and len(chosen) < most:
         d = ((pool - pool[chosen[-1]]) ** 2).sum(1)
