@@ -15,6 +15,7 @@ from .plans.store import table
 from .registry import register
 from .sources import markdown
 from .sources.markdown import Patch
+from .sources.notes import rename_links
 from .streaming import events
 
 TODAY = "2000-06-14"
@@ -329,6 +330,30 @@ register("q_incremental_counts", "SELECT count(*) FILTER (k % 7 <> 0 AND k % 3 <
 register("q_incremental_strict", "SELECT count(*) FILTER (k % 7 <> 0 AND k % 5 = 0) AS indexed, count(*) FILTER (k % 7 <> 0 AND k % 5 <> 0) AS skipped, count(*) FILTER (k % 7 = 0) AS deleted FROM " + _ORDERS, store=False)(lambda spark, d: ingest.incremental(_index(spark, d), _later(spark, d), strict_hash=True)[1])
 register("q_incremental_fields", f"WITH o AS (SELECT k, CASE WHEN k % 5 = 0 AND k % 3 <> 0 THEN 'blocked' ELSE s END AS s, t, o_totalprice, day, p, c FROM {_ORDERS} WHERE k % 7 <> 0) {_NOTE_FIELDS}", store=False)(lambda spark, d: ingest.reconcile(_index(spark, d), _later(spark, d)).store.fields)
 register("q_incremental_edges", f"WITH o AS (SELECT * FROM {_ORDERS} WHERE k % 7 <> 0) {_NOTE_EDGES}", store=False)(lambda spark, d: ingest.reconcile(_index(spark, d), _later(spark, d)).store.edges)
+# notes with block scalars, maps, setext headings, lazy quotes, nested lists and code
+_RICH = ["---\ntitle: P ", "k", "\ndesc: |\n  size ", "size", "\n    deep\nfold: >-\n  a\n  ", "brand", "\nmeta:\n  a: 1\nhex: 0x10\n---\nName ", "k", "\n====\n\n> quote [[", "brand", "]]\nlazy\n\n    [[hidden ", "k", "]]\n\n- item [[P ", "k", "]]\n  - sub\n\n1. [[", "brand", "|b]] `[[", "brand", "]]`\n"]
+
+
+def _rich(spark, d):
+    col = {"k": F.col("p_partkey").cast("string"), "size": F.col("p_size").cast("string"), "brand": F.col("p_brand")}
+    raw = F.concat(*[col[x] if i % 2 else F.lit(x) for i, x in enumerate(_RICH)])
+    return table(spark, d, "part").select(F.concat(F.lit("p/"), col["k"], F.lit(".md")).alias("path"), F.lit("2000-01-01").cast("timestamp").alias("mtime"), raw.alias("raw"))
+
+
+def _rich_sql(*links: str) -> str:
+    """The same text, with other names in the links, in order."""
+    named = iter(links)
+    col = {"k": "p_partkey", "size": "p_size"}
+    parts = [(col.get(x) or (next(named) if _RICH[i - 1].endswith("[[") and links else "p_brand")) if i % 2 else "'" + x.replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(_RICH)]
+    return " || ".join(parts)
+
+
+_PID = "'p/' || p_partkey || '.md'"
+register("q_parse_fields", f"""SELECT {_PID} AS node_id, unnest(['desc', 'fold', 'meta', 'hex']) AS key, unnest(['size ' || p_size || {_NL} || '  deep' || {_NL}, 'a ' || p_brand, '[object Object]', '16']) AS value_text, unnest(['string', 'string', 'string', 'number']) AS value_type FROM part""", store=False)(lambda spark, d: ingest.build(_rich(spark, d)).store.fields.select("node_id", "key", "value_text", "value_type"))
+register("q_parse_edges", f"""SELECT {_PID} AS source_id, unnest([p_brand, 'P ' || p_partkey, p_brand]) AS target_id, unnest([NULL, {_PID}, NULL]) AS resolved, unnest(['quote ' || p_brand || {_NL} || 'lazy', 'item P ' || p_partkey, 'b ']) AS context FROM part""", store=False)(lambda spark, d: ingest.build(_rich(spark, d)).store.edges.select("source_id", "target_id", "resolved", "context"))
+register("q_parse_content", f"SELECT {_PID} AS node_id, 'Name ' || p_partkey || {_NL} || 'quote ' || p_brand || {_NL} || 'lazy' || {_NL} || 'item P ' || p_partkey || 'sub' || {_NL} || 'b' AS content_text FROM part", store=False)(lambda spark, d: ingest.build(_rich(spark, d)).store.contents)
+_NEW = "CASE WHEN p_brand = 'Brand#13' THEN 'Brand X' ELSE p_brand END"
+register("q_rename_links", f"SELECT {_PID} AS path, {_rich_sql(_NEW, _NEW, 'p_brand')} AS raw FROM part", store=False)(lambda spark, d: rename_links(_rich(spark, d), "brand#13", "Brand X").select("path", "raw"))
 _KEPT: dict = {}
 
 

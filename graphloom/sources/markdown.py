@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quote_key, quote_yaml
-from .notes import read_notes
+from .notes import IGNORED, read_notes
 
 LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
 HEADER = r"(?s)\A---\n(.*?)\n---\n?"
@@ -82,10 +82,10 @@ def media_type(name: Column) -> Column:
     return F.coalesce(pairs[F.lower(F.substring_index(name, ".", -1))], F.lit("application/octet-stream"))
 
 
-def resolve_embeds(wanted: DataFrame, files: DataFrame) -> DataFrame:
+def resolve_embeds(wanted: DataFrame, files: DataFrame, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """wanted (source, file) with the path that is meant, of files (path): in Attachments, at the
     root, beside the source, else the first of that name outside ignored folders."""
-    base = files.filter(~F.exists(F.split("path", "/"), lambda x: x.isin(".git", "node_modules", ".vault-engine"))).select("path")
+    base = files.filter(~F.exists(F.split("path", "/"), lambda x: x.isin(*ignored))).select("path")
     w = wanted.select("source", "file").distinct()
     folder = F.regexp_extract("source", "^(.*/)[^/]*$", 1)
     places = w.select("source", "file", F.posexplode(F.array(F.concat(F.lit("Attachments/"), "file"), F.col("file"), F.concat(folder, F.col("file")))).alias("rank", "path"))

@@ -1,11 +1,13 @@
 """Markdown notes parsed into nested rows: header, typed fields, blocks, links, chunks.
 
-The header is read by a small parser of the part of YAML that notes use: scalars, quoted strings,
-lists in brackets or of dashes, nested maps (which become the text `[object Object]`).
+The header is read by a small parser of the part of YAML that notes use (a map as a field's value becomes
+the text `[object Object]`). The body is read by its containers, quotes and list items, and what
+stands in them; each text knows its places in the body, so that links are edited where they are.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
 from collections.abc import Iterator
@@ -21,22 +23,22 @@ from ..plans.shared import ship
 
 LINK = re.compile(r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]")
 HEAD = re.compile(r"\A---\r?\n(.*?)\r?\n?---[ \t]*(?:\r?\n|\Z)(.*)\Z", re.S)
-#: Folders that hold no notes (fixed values).
-IGNORED = (".git", "node_modules", ".vault-engine")
+#: Folders that hold no notes; a caller with others names them.
+IGNORED = (".git", "node_modules")
 #: Headings cut a text into chunks from so many estimated tokens on.
 LONG_ENOUGH = 200
-_NUMBER = re.compile(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?\Z")
+_NUMBER = re.compile(r"[-+]?(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9][0-9_]*)(?:[eE][-+]?[0-9]+)?\Z")
 _DATE = re.compile(r"([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[Tt ]([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:\.([0-9]+))?)?(?:Z|[ ]?\+00:?00)?)?\Z")
 
 
-def read_notes(spark: SparkSession, path: str) -> DataFrame:
+def read_notes(spark: SparkSession, path: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(path, mtime, raw) of all .md files below path, ids relative to it, without ignored folders."""
     d = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
     root = path.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
     inside = F.substring(F.url_decode(F.replace(rel, F.lit("+"), F.lit("%2B"))), len("/" + root.lstrip("/")) + 2, 10_000)
     d = d.select(inside.alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("raw"))
-    return d.filter(~F.exists(F.split("path", "/"), lambda s: s.isin(*IGNORED)))
+    return d.filter(~F.exists(F.split("path", "/"), lambda s: s.isin(*ignored)))
 
 
 # ---- header ---------------------------------------------------------------------------------
@@ -46,7 +48,7 @@ def scalar(text: str) -> Any:
     """A plain or quoted scalar as the Python value it stands for."""
     t = text.strip()
     if len(t) > 1 and t[0] == t[-1] == '"':
-        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), t[1:-1])
+        return re.sub(r"\\(u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", lambda m: chr(int(m[1][1:], 16)) if len(m[1]) > 1 else {"n": "\n", "t": "\t", "r": "\r", "0": "\0"}.get(m[1], m[1]), t[1:-1])
     if len(t) > 1 and t[0] == t[-1] == "'":
         return t[1:-1].replace("''", "'")
     t = re.split(r"(?:^|\s)#", t, maxsplit=1)[0].strip()
@@ -56,8 +58,14 @@ def scalar(text: str) -> Any:
         return True
     if t in ("false", "False", "FALSE"):
         return False
+    if m := re.match(r"([-+]?)0(x[0-9a-fA-F_]+|b[01_]+|[0-7_]+)\Z", t):
+        return float(int(m[2].lstrip("xb").replace("_", ""), {"x": 16, "b": 2}.get(m[2][0], 8)) * (-1 if m[1] == "-" else 1))
     if _NUMBER.match(t):
-        return float(t)
+        return float(t.replace("_", ""))
+    if re.match(r"[-+]?\.(inf|Inf|INF)\Z", t):
+        return -math.inf if t[0] == "-" else math.inf
+    if t in (".nan", ".NaN", ".NAN"):
+        return math.nan
     if m := _DATE.match(t):
         y, mo, d, h, mi, s, ms = m.groups()
         try:
@@ -67,56 +75,197 @@ def scalar(text: str) -> Any:
     return t
 
 
-def _items(text: str) -> list[str]:
-    """The parts of the inside of a bracket list, split at commas outside quotes and links."""
+def _closed(text: str) -> bool:
+    """Whether the brackets and quotes of a flow collection are closed."""
+    depth, quote, before = 0, "", " "
+    for c in text:
+        if quote:
+            quote = "" if c == quote and before != "\\" else quote
+        elif c in "\"'" and before in " ,[{:\t\n":
+            quote = c
+        else:
+            depth += (c in "[{") - (c in "]}")
+        before = c
+    return depth <= 0 and not quote
+
+
+def _parts(text: str) -> list[str]:
+    """The parts of the inside of a flow collection, split at commas outside quotes and brackets."""
     out, part, quote, depth = [], "", "", 0
     for c in text:
         if quote:
             quote = "" if c == quote else quote
         elif c in "\"'" and not part.strip():
             quote = c
-        elif c == "[":
-            depth += 1
-        elif c == "]":
-            depth -= 1
-        if c == "," and not quote and not depth:
+        else:
+            depth += (c in "[{") - (c in "]}")
+        if c == "," and not quote and depth == 0:
             out.append(part)
             part = ""
         else:
             part += c
-    return [*out, part] if part.strip() or out else []
+    return [*out, part] if part.strip() else out
+
+
+_LINK_ALONE = re.compile(r"\[\[[^\[\]]*\]\]\Z")
+_KEY = re.compile(r"(\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[^\s:#\[{\"'-][^:#]*?|-[^\s:#][^:#]*?)\s*:(?:[ \t]+(.*))?\Z", re.S)
+_SCALAR_HEAD = re.compile(r"([|>])([+-]?)([1-9]?)([+-]?)[ \t]*(?:#.*)?\Z")
+
+
+class _Yaml:
+    """The part of YAML that headers use: maps and lists by indentation, block and quoted scalars over
+    lines, flow collections, anchors and aliases. A line that fits nowhere is left out."""
+
+    def __init__(self, text: str):
+        self.lines, self.i, self.anchors = text.split("\n"), 0, {}
+
+    def peek(self) -> tuple[int, str] | None:
+        """Indentation and text of the next line that holds something."""
+        while self.i < len(self.lines):
+            line = self.lines[self.i]
+            bare = line.strip()
+            if bare and not bare.startswith("#"):
+                return len(line) - len(line.lstrip(" \t")), bare
+            self.i += 1
+        return None
+
+    def block(self, indent: int) -> Any:
+        first = self.peek()
+        if first is None or first[0] < indent:
+            return None
+        at, bare = first
+        if bare == "-" or bare.startswith("- "):
+            return self.list(at)
+        if _KEY.match(bare):
+            return self.map(at)
+        self.i += 1
+        return self.scalar(bare, at - 1)
+
+    def map(self, indent: int) -> dict[str, Any]:
+        out: dict[str, Any] = {}
+        while (line := self.peek()) is not None and line[0] >= indent:
+            m = _KEY.match(line[1]) if line[0] == indent and not line[1].startswith("- ") else None
+            self.i += 1
+            if m:
+                self.put(out, m, indent)
+        return out
+
+    def put(self, out: dict[str, Any], m: re.Match, indent: int) -> None:
+        key = str(scalar(m[1])) if m[1][0] in "\"'" else m[1].strip()
+        value = self.scalar((m[2] or "").strip(), indent)
+        if key == "<<" and isinstance(value, dict):
+            for k, v in value.items():
+                out.setdefault(k, v)
+        else:
+            out[key] = value
+
+    def list(self, indent: int) -> list:
+        out = []
+        while (line := self.peek()) is not None and line[0] == indent and (line[1] == "-" or line[1].startswith("- ")):
+            self.i += 1
+            rest = line[1][1:].strip()
+            m = _KEY.match(rest) if rest[:1] not in "\"'[{" or re.match(r"(\"[^\"]*\"|'[^']*')\s*:", rest) else None
+            if rest == "-" or rest.startswith("- "):
+                self.i -= 1
+                inner = indent + line[1].index("-", 1)
+                self.lines[self.i] = " " * inner + rest
+                out.append(self.list(inner))
+            elif m:  # a map that begins behind the dash
+                inner, item = indent + line[1].index(rest), {}
+                self.put(item, m, inner)
+                after = self.peek()
+                if after is not None and after[0] == inner and not after[1].startswith("- "):
+                    item |= self.map(inner)
+                out.append(item)
+            else:
+                out.append(self.scalar(rest, indent))
+        return out
+
+    def scalar(self, rest: str, indent: int) -> Any:
+        """A value that begins with rest, and goes on in lines that are further in than indent."""
+        if m := re.match(r"&(\S+)(?:\s+(.*))?\Z", rest, re.S):
+            self.anchors[m[1]] = self.scalar(m[2] or "", indent)
+            return self.anchors[m[1]]
+        if m := re.match(r"\*([^\s,\]}]+)\s*(?:#.*)?\Z", rest):
+            return self.anchors.get(m[1])
+        if m := re.match(r"!\S*(?:\s+(.*))?\Z", rest, re.S):
+            return self.scalar(m[1] or "", indent)
+        if not rest or rest.startswith("#"):
+            line = self.peek()
+            if line is None:
+                return None
+            if line[0] > indent:
+                return self.block(indent + 1)
+            return self.list(indent) if line[0] == indent and (line[1] == "-" or line[1].startswith("- ")) else None
+        if m := _SCALAR_HEAD.match(rest):
+            return self.folded(m[1], m[2] or m[4], int(m[3] or 0), indent)
+        if rest[0] in "[{" and not _LINK_ALONE.match(re.split(r"\s#", rest)[0].strip()):
+            while not _closed(rest) and self.i < len(self.lines):
+                rest += " " + self.lines[self.i].strip()
+                self.i += 1
+            return self.flow(rest)
+        if rest[0] in "\"'":
+            closed = re.compile(r'"(?:[^"\\]|\\.)*"' if rest[0] == '"' else r"'(?:[^']|'')*'", re.S)
+            while not closed.match(rest) and (line := self.peek()) is not None and line[0] > indent:
+                rest += " " + line[1]
+                self.i += 1
+            m = closed.match(rest)
+            return scalar(m[0] if m else rest)
+        while not re.search(r"\s#", rest) and (line := self.peek()) is not None and line[0] > indent:
+            rest += " " + line[1]
+            self.i += 1
+        return scalar(rest)
+
+    def folded(self, style: str, chomp: str, ahead: int, indent: int) -> str:
+        """A block scalar: lines as they are (|), or joined where neither is blank nor further in (>)."""
+        lines, width = [], max(indent, 0) + ahead if ahead else None
+        while self.i < len(self.lines):
+            line = self.lines[self.i]
+            here = len(line) - len(line.lstrip(" "))
+            if line.strip():
+                width = here if width is None else width
+                if here < width or here <= indent:
+                    break
+            lines.append(line[width or 0 :] if line.strip() else "")
+            self.i += 1
+        tail = len(lines)
+        while tail and not lines[tail - 1]:
+            tail -= 1
+        kept, end = lines[:tail], len(lines) - tail
+        if style == "|":
+            text = "\n".join(kept)
+        else:
+            text, blank = "", 0
+            for k, line in enumerate(kept):
+                if not line:
+                    blank += 1
+                    continue
+                plain_ = line[0] not in " \t" and k > 0 and kept[k - 1 - blank][:1] not in (" ", "\t")
+                text += ("" if not k else "\n" * blank if blank and plain_ else " " if plain_ else "\n" * (blank + 1)) + line
+                blank = 0
+        return text + ("" if chomp == "-" or not kept else "\n" * (end + 1) if chomp == "+" else "\n")
+
+    def flow(self, text: str) -> Any:
+        text = text.strip()
+        if text[:1] == "[" and not _LINK_ALONE.match(text):
+            return [self.flow(x) for x in _parts(text[1 : text.rindex("]")] if "]" in text else text[1:])]
+        if text[:1] == "{":
+            out = {}
+            for part in _parts(text[1 : text.rindex("}")] if "}" in text else text[1:]):
+                k, _, v = part.partition(":") if not re.match(r"\s*[\"']", part) else (lambda m: (m[1], ":", m[2]) if m else (part, "", ""))(re.match(r"\s*(\"[^\"]*\"|'[^']*')\s*:(.*)\Z", part, re.S))
+                out[str(scalar(k)) if k.strip()[:1] in ("'", '"') else k.strip()] = self.flow(v)
+            return out
+        if m := re.match(r"\*(\S+)\Z", text):
+            return self.anchors.get(m[1])
+        return scalar(text)
 
 
 def header(yaml: str) -> dict[str, Any]:
     """The keys of a header in order, as Python values (numbers are floats)."""
-    out: dict[str, Any] = {}
-    key, lines = None, yaml.split("\n")
-    for line in lines:
-        bare = line.strip()
-        if not bare or bare.startswith("#"):
-            continue
-        if key is not None and (bare.startswith("- ") or bare == "-"):
-            if not isinstance(out[key], list):
-                out[key] = []
-            out[key].append(scalar(bare[1:]))
-            continue
-        if line[0] in " \t":
-            if key is not None and out[key] is None:
-                out[key] = {}
-            continue
-        m = re.match(r"(\"[^\"]*\"|'[^']*'|[^:#]+?)\s*:(?:\s+(.*))?\Z", line)
-        if not m:
-            continue
-        key, value = str(scalar(m[1])) if m[1][0] in "\"'" else m[1].strip(), (m[2] or "").strip()
-        if value.startswith("[") and not value.startswith("[[") and value.endswith("]"):
-            out[key] = [scalar(x) for x in _items(value[1:-1])]
-        elif value.startswith("[[") and not re.match(r"\[\[[^\]]*\]\]\Z", value) and value.endswith("]"):
-            out[key] = [scalar(x) for x in _items(value[1:-1])]
-        elif value.startswith("{"):
-            out[key] = {}
-        else:
-            out[key] = scalar(value)
-    return out
+    y = _Yaml(yaml)
+    first = y.peek()
+    got = y.block(first[0]) if first else None
+    return got if isinstance(got, dict) else {}
 
 
 def value_type(v: Any) -> str:
@@ -142,7 +291,9 @@ def iso(v: date | datetime) -> str:
 
 def plain(v: Any) -> Any:
     """A value as JSON would hold it."""
-    return [plain(x) for x in v] if isinstance(v, list) else iso(v) if isinstance(v, (date, datetime)) else int(v) if isinstance(v, float) and v == int(v) else v
+    if isinstance(v, dict):
+        return {k: plain(x) for k, x in v.items()}
+    return [plain(x) for x in v] if isinstance(v, list) else iso(v) if isinstance(v, (date, datetime)) else int(v) if isinstance(v, float) and math.isfinite(v) and v == int(v) else None if isinstance(v, float) and not math.isfinite(v) else v
 
 
 def value_text(v: Any) -> str:
@@ -167,6 +318,15 @@ class Block:
     kind: str  # heading, paragraph, item, code
     text: str
     start: int
+    #: where each line of text begins in the body, and the outermost quote or list item it stands in
+    places: list[int] = field(default_factory=list)
+    part: int | None = None
+    level: int = 0
+
+    def at(self, i: int) -> int:
+        """The place in the body of a character of text."""
+        line = self.text.count("\n", 0, i)
+        return (self.places[line] if self.places else self.start) + i - (self.text.rfind("\n", 0, i) + 1)
 
 
 @dataclass
@@ -178,47 +338,201 @@ class Note:
     blocks: list[Block] = field(default_factory=list)
 
 
+_FENCE = re.compile(r"(`{3,})(?=[^`]*\Z)|(~{3,})")
+_ATX = re.compile(r"(#{1,6})(?:[ \t]+|\Z)(.*?)(?:(?:^|[ \t]+)#+)?[ \t]*\Z")
+_SETEXT = re.compile(r"(=+|-+)[ \t]*\Z")
+_BREAK = re.compile(r"([-*_])(?:[ \t]*\1){2,}[ \t]*\Z")
+_MARKER = re.compile(r"([-*+]|([0-9]{1,9})[.)])(?=[ \t]|\Z)")
+_HTML = re.compile(r"<(?:[A-Za-z][^\s>]*|/[A-Za-z]|!|\?)")
+
+
+class _Line:
+    """A line of a body, read from the left. Tabs reach to the next multiple of four."""
+
+    def __init__(self, text: str, at: int):
+        self.text, self.at, self.pos, self.col = text, at, 0, 0
+
+    def indent(self) -> int:
+        col = self.col
+        for c in self.text[self.pos :]:
+            if c == " ":
+                col += 1
+            elif c == "\t":
+                col += 4 - col % 4
+            else:
+                break
+        return col - self.col
+
+    def blank(self) -> bool:
+        return not self.text[self.pos :].strip()
+
+    def skip(self, columns: int) -> None:
+        end = self.col + columns
+        while self.col < end and self.pos < len(self.text) and self.text[self.pos] in " \t":
+            self.col += 1 if self.text[self.pos] == " " else 4 - self.col % 4
+            self.pos += 1
+
+    def rest(self) -> str:
+        return self.text[self.pos :].lstrip(" \t")
+
+    def take(self, n: int) -> None:
+        self.pos, self.col = self.pos + n, self.col + n
+
+    def piece(self) -> tuple[str, int]:
+        """What is left without white space around it, and where that begins in the body."""
+        bare = self.text[self.pos :].strip()
+        return bare, self.at + (self.text.index(bare, self.pos) if bare else self.pos)
+
+
 def blocks(body: str) -> list[Block]:
-    """Headings, paragraphs, list items and code of a body in order, with their offsets."""
+    """Headings, paragraphs, list items and code of a body in order, with their offsets.
+
+    A line first continues the quotes and list items it stands in, in their order; then it may open
+    others, end or go on with a paragraph, or be code. A paragraph's line may leave out the marks of
+    the quotes and items around it.
+    """
     out: list[Block] = []
-    at, fence, open_block = 0, None, None
-    for line in body.split("\n"):
-        bare = line.strip()
-        if fence is not None:
-            if bare.startswith(fence):
-                fence = None
-        elif m := re.match(r"(```+|~~~+)", bare):
-            fence, open_block = m[1], None
-            out.append(Block("code", "", at))
-        elif not bare:
-            open_block = None
-        elif m := re.match(r" {0,3}#{1,6}(?:[ \t]+|\Z)(.*?)(?:[ \t]+#+)?[ \t]*\Z", line):
-            out.append(Block("heading", m[1], at + m.start(1)))
-            open_block = None
-        elif m := re.match(r"\s*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+(.*)\Z", line):
-            open_block = Block("item", m[1], at + m.start(1))
-            out.append(open_block)
-        elif open_block is not None:
-            open_block.text += "\n" + line.strip()
-        else:
-            text = re.sub(r"^\s*(?:>\s?)+", "", line).strip()
-            open_block = Block("paragraph", text, at + line.find(text))
-            out.append(open_block)
-        at += len(line) + 1
+    stack: list[tuple[str, int]] = []  # (quote, 0) or (item, columns its lines are further in)
+    leaf: Block | None = None  # a paragraph, or code by indentation, that goes on
+    fence: tuple[str, int] | None = None
+    in_html, part, parts, at = False, None, 0, 0
+    for text in body.split("\n"):
+        line = _Line(text, at)
+        at += len(text) + 1
+        k = 0
+        for kind, width in stack:
+            if kind == "quote":
+                if line.indent() > 3 or not line.rest().startswith(">"):
+                    break
+                line.skip(3)
+                line.take(1)
+                line.skip(1)
+            elif not line.blank():
+                if line.indent() < width:
+                    break
+                line.skip(width)
+            k += 1
+        inside = k == len(stack)
+        if fence and inside:
+            m = re.match(rf"{re.escape(fence[0])}{{{fence[1]},}}[ \t]*\Z", line.rest())
+            fence = None if m and line.indent() < 4 else fence
+            continue
+        if in_html and inside and not line.blank():
+            continue
+        fence, in_html = None, False
+        if not inside:
+            lazy = leaf is not None and leaf.kind in ("paragraph", "item") and not line.blank() and (line.indent() > 3 or not _starts(line.rest()))
+            if lazy:
+                _more(leaf, line)
+                continue
+            stack, leaf = stack[:k], None
+            part = part if stack else None
+        while True:
+            if line.blank():
+                if leaf is not None and leaf.kind != "code":
+                    leaf = None
+                break
+            if line.indent() > 3:
+                if leaf is None:
+                    leaf = Block("code", "", line.piece()[1], part=part)
+                    out.append(leaf)
+                elif leaf.kind != "code":
+                    _more(leaf, line)
+                break
+            if leaf is not None and leaf.kind == "code":
+                leaf = None
+            rest = line.rest()
+            if rest[0] == ">":
+                line.skip(3)
+                line.take(1)
+                line.skip(1)
+                leaf = None
+                if not stack:
+                    parts += 1
+                    part = parts
+                stack.append(("quote", 0))
+                continue
+            if m := _FENCE.match(rest):
+                mark = m[1] or m[2]
+                fence, leaf = (mark[0], len(mark)), None
+                out.append(Block("code", "", line.piece()[1], part=part))
+                break
+            if m := _ATX.match(rest):
+                start = line.piece()[1] + m.start(2)
+                out.append(Block("heading", m[2].strip(), start, [start], part, len(m[1])))
+                leaf = None
+                break
+            if leaf is not None and (m := _SETEXT.match(rest)):
+                leaf.kind, leaf.level, leaf = "heading", 1 if m[1][0] == "=" else 2, None
+                break
+            if _BREAK.match(rest):
+                leaf = None
+                break
+            m = _MARKER.match(rest)
+            if m and (leaf is None or (rest[m.end() :].strip() and m[2] in (None, "1"))):
+                before = line.indent()
+                line.skip(before)
+                line.take(m.end())
+                after = line.indent()
+                gap = 1 if line.blank() or after > 4 else after
+                line.skip(gap)
+                leaf = None
+                if not stack:
+                    parts += 1
+                    part = parts
+                stack.append(("item", before + m.end() + gap))
+                continue
+            if leaf is None and _HTML.match(rest) and not re.match(r"<[A-Za-z][A-Za-z0-9+.-]*:|<[^\s@>]+@", rest):
+                in_html = True
+                out.append(Block("code", "", line.piece()[1], part=part))
+                break
+            if leaf is None:
+                leaf = Block("item" if stack and stack[-1][0] == "item" else "paragraph", "", 0, part=part)
+                out.append(leaf)
+            _more(leaf, line)
+            break
     return out
 
 
+def _starts(rest: str) -> bool:
+    """Whether a block other than a paragraph begins here, outside the paragraph's container."""
+    return rest[:1] == ">" or any(x.match(rest) for x in (_FENCE, _ATX, _BREAK, _MARKER))
+
+
+def _more(leaf: Block, line: _Line) -> None:
+    text, place = line.piece()
+    leaf.start = leaf.start if leaf.places else place
+    leaf.text = f"{leaf.text}\n{text}" if leaf.places else text
+    leaf.places.append(place)
+
+
+_ESCAPE = re.compile(r"\\([!-/:-@\[-`{-~])")
+
+
 def inline(text: str) -> str:
-    """Text of a block: links as alias or target, code and marks left out."""
-    t = re.sub(r"(`+).*?\1", "", text, flags=re.S)
-    t = LINK.sub(lambda m: (m[2] or m[1]).strip(), t)
-    t = re.sub(r"!?\[([^\]\[]*)\]\([^)]*\)", r"\1", t)
-    return re.sub(r"(\*\*|__|(?<!\w)[*_](?=\S)|(?<=\S)[*_](?!\w))", "", t)
+    """Text of a block: links as alias or target or text; code, pictures, tags and marks left out."""
+    t = re.sub(r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", "", text, flags=re.S)
+    kept: list[str] = []
+
+    def keep(m: re.Match) -> str:  # an escaped character, and a wiki link, are no marks
+        kept.append(m[1] if m.re is _ESCAPE else (m[2] or m[1]).strip())
+        return f"\x00{len(kept) - 1}\x00"
+
+    t = LINK.sub(keep, _ESCAPE.sub(keep, t.replace("\x00", "")))
+    t = re.sub(r"!\[[^\]\[]*\]\([^)]*\)", "", t)
+    t = re.sub(r"\[([^\]\[]*)\]\([^)]*\)", r"\1", t)
+    t = re.sub(r"<([A-Za-z][A-Za-z0-9+.-]*:[^\s<>]*|[^\s@<>]+@[^\s@<>]+)>", r"\1", t)
+    t = re.sub(r"</?[A-Za-z][^<>]*>|<!--.*?-->", "", t, flags=re.S)
+    t = re.sub(r"(\*\*|__|(?<!\w)[*_](?=\S)|(?<=\S)[*_](?!\w))", "", t)
+    t = html.unescape(t) if "&" in t else t
+    while "\x00" in t:
+        t = re.sub(r"\x00(\d+)\x00", lambda m: kept[int(m[1])], t)
+    return t
 
 
 def links(text: str) -> list[tuple[str, str | None, int, int]]:
     """(target, alias, start, end) of the links of a block outside code."""
-    code = [m.span() for m in re.finditer(r"(`+).*?\1", text, re.S)]
+    code = [m.span() for m in re.finditer(r"(?<!`)(`+)(?!`).*?(?<!`)\1(?!`)", text, re.S)]
     return [(m[1].strip(), m[2].strip() if m[2] else None, *m.span()) for m in LINK.finditer(text) if not any(a <= m.start() < b for a, b in code)]
 
 
@@ -234,7 +548,52 @@ def parse(path: str, raw: str) -> Note:
 
 
 def content(note: Note) -> str:
-    return "\n".join(t for t in (inline(b.text) for b in note.blocks if b.kind != "code") if t).strip()
+    return _text(note.blocks)
+
+
+def _text(some: list[Block]) -> str:
+    """Blocks as lines; what stands in one outermost quote or list item runs together."""
+    out, last = [], None
+    for b in some:
+        t = inline(b.text) if b.kind != "code" else ""
+        if t and b.part is not None and b.part == last:
+            out[-1] += t
+        elif t:
+            out.append(t)
+            last = b.part
+    return "\n".join(out).strip()
+
+
+def places(note: Note, offset: int = 0) -> list[tuple[str, str | None, int, int]]:
+    """(target, alias, start, end) of the links of a note's body, with their places in it, behind offset."""
+    return [(t, alias, offset + b.at(i), offset + b.at(j - 1) + 1) for b in note.blocks if b.kind != "code" for t, alias, i, j in links(b.text)]
+
+
+def renamed(raw: str, old: str, new: str) -> str:
+    """A note in which links to old (in any case) are links to new: in header values and the text, not
+    in code, and nothing else is changed."""
+    m = HEAD.match(raw)
+    split = m.start(2) if m else 0
+    note = parse("", raw)
+    edits = [(i, j, alias) for t, alias, i, j in places(note, split) if t.lower() == old.lower()]
+    head = re.sub(rf"(?i)\[\[[ \t]*{re.escape(old)}[ \t]*(\|[^\]]+)?\]\]", lambda x: f"[[{new}{x[1] or ''}]]", raw[:split])
+    out, done = [head], split
+    for i, j, _ in sorted(edits):
+        inner = raw[i:j]
+        out += [raw[done:i], f"[[{new}{inner[inner.index('|'):-2] if '|' in inner else ''}]]"]
+        done = j
+    return "".join([*out, raw[done:]])
+
+
+def rename_links(notes: DataFrame, old: str, new: str) -> DataFrame:
+    """notes (path, mtime, raw) with their links renamed, in Arrow batches."""
+    ship(notes.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(raw=[r if r is None or old.lower() not in r.lower() else renamed(r, old, new) for r in pdf["raw"]])
+
+    return notes.mapInPandas(run, notes.schema)
 
 
 def tokens(text: str) -> int:
@@ -257,16 +616,16 @@ def edges(note: Note) -> list[tuple[str, str, str | None]]:
 def chunks(note: Note) -> list[tuple[int, str | None, str, int]]:
     """(index, heading, text, tokens): one for a short note or one without headings, else the text
     before the first heading and one for each heading."""
-    text = "\n".join(t for t in (inline(b.text) for b in note.blocks if b.kind != "code") if t).strip()
+    text = content(note)
     if not any(b.kind == "heading" for b in note.blocks) or tokens(text) < LONG_ENOUGH:
         return [(0, None, text, tokens(text))]
-    parts: list[tuple[str | None, list[str]]] = [(None, [])]
+    parts: list[tuple[str | None, list[Block]]] = [(None, [])]
     for b in note.blocks:
         if b.kind == "heading":
             parts.append((inline(b.text).strip(), []))
-        elif b.kind != "code" and inline(b.text):
-            parts[-1][1].append(inline(b.text))
-    texts = [(h, "\n".join(t).strip()) for h, t in parts]
+        else:
+            parts[-1][1].append(b)
+    texts = [(h, _text(bs)) for h, bs in parts]
     kept = [x for i, x in enumerate(texts) if i or x[1]]
     return [(i, h, t, tokens(t)) for i, (h, t) in enumerate(kept)]
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clock
+from ..sources.notes import IGNORED
 
 
 def debounce(events: DataFrame, gap: str = "1 hour", watermark: str | None = None, key: str = "user_id", ts: str = "ts") -> DataFrame:
@@ -59,15 +60,12 @@ def claim(queue: DataFrame, chunks: DataFrame, n: int = 50) -> DataFrame:
     return q.filter("status = 'pending'").orderBy("attempts", "chunk_id").limit(n).join(chunks.select("chunk_id", "content"), "chunk_id")
 
 
-#: Folders whose files are no events (fixed values).
-IGNORED = (".git", "node_modules", ".vault-engine")
-
-
-def note_events(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of new and changed .md files below a folder (path, mtime, raw)."""
+def note_events(spark: SparkSession, folder: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
+    """A stream of new and changed .md files below a folder (path, mtime, raw), but for those in ignored
+    folders."""
     d = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(folder)
     d = d.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), F.col("value").alias("raw"))
-    return d.filter(~F.exists(F.split("path", "/"), lambda s: s.isin(*IGNORED)))
+    return d.filter(~F.exists(F.split("path", "/"), lambda s: s.isin(*ignored)))
 
 
 def watch(events: DataFrame, apply, checkpoint: str, every: str | None = None):
