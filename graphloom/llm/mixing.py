@@ -2,12 +2,15 @@ r"""Mixing to target weights by soft membership.
 
 A multinomial logistic regression, fitted on a bounded sample of a table of labelled documents,
 gives each document a posterior over the labels (domains). Rates r >= 0 for the documents are then
-fitted by projected least squares: the rates nearest to 1 for which the expected tokens of each
-domain, sum(r * tokens * posterior), match the target weights times all tokens. They have the form
-max(0, 1 - posterior . v) with one vector v, found by damped Newton steps whose Gram matrix holds
-only the rows with a rate above 0; a step needs a few small sums from the whole table. The steps go
-on until the domain shares are within TOLERANCE of the targets. Targets that no rates reach (soft
-posteriors) are approached as far as STEPS steps go, and a warning gives the remaining gap.
+fitted by projected-gradient least squares: from r = 1 on, each step goes against the gradient of the
+squared gap between the expected tokens of the domains, sum(r * tokens * posterior), and the target
+weights times all tokens, and rates below 0 become 0. The gap is measured in the inverse of the Gram
+matrix of the rows that the step moves, in which one step closes it where no rate is cut; of several step
+lengths the best is taken. Since the gradient of a row is its posterior times one vector of a number for
+each domain, a step is that vector, a rate is worked out from a row's posterior and the vectors of all
+steps, and a step needs a few small sums from the whole table. The steps go on until the domain shares
+are within TOLERANCE of the targets. Targets that no rates reach (soft posteriors) are approached as
+far as STEPS steps go, and a warning gives the remaining gap.
 
 draw() applies the rates: scaled so that a sure document of the favoured domain stands once, a rate
 gives its whole part as copies and one more with the probability of the rest. reached() gives the
@@ -39,8 +42,8 @@ from .common import arrow_ready, keyed, load, materialize, utf8
 #: from of one text) and of the word features.
 TRAIN_DOCS, OF_EACH, TRAIN_TEXT, WORDS = 4_000, 50, 20_000, 400
 STEPS, TOLERANCE = 60, 1e-7
-#: Damping of the trial steps of one pass, as parts of the mean of the Gram diagonal.
-DAMPING = (1e-12, 1e-6, 1e-4, 1e-2, 1e-1, 1.0, 10.0, 1000.0)
+#: Lengths of the trial steps of one pass, and what is added to the Gram diagonal, as a part of its mean.
+LENGTHS, RIDGE = (1.5, 1.25, 1.0, 0.75, 0.5, 0.25, 0.1, 0.02, 0.004), 1e-9
 TARGETS = {"good": 0.9, "junk": 0.05, "toxic": 0.05}
 _PUNCT = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
@@ -157,53 +160,72 @@ def memberships(docs: DataFrame, model: Classifier, id: str = "doc_id") -> DataF
     return docs.select(id, "text").mapInArrow(run, f"{id} long, n_tokens long, p array<double>")
 
 
-def _rate(v: np.ndarray):
-    """The rate of a document with posterior p."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.col("p")[i] * float(x) for i, x in enumerate(v)), F.lit(0.0)))
+def _rate(steps: np.ndarray):
+    """The rate of a document with posterior p after steps (one row each)."""
+    if not len(steps):
+        return F.lit(1.0)
+    rows = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in steps])
+    return F.aggregate(rows, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r - sum((F.col("p")[i] * s[i] for i in range(steps.shape[1])), F.lit(0.0))))
+
+
+def rate_of(p: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """_rate() of posteriors (rows of p)."""
+    r = np.ones(len(p))
+    for s in steps:
+        r = np.maximum(0.0, r - p @ s)
+    return r
+
+
+def _dot(v: np.ndarray):
+    return sum((F.col("p")[i] * float(x) for i, x in enumerate(v)), F.lit(0.0))
+
+
+def _gram(rated: DataFrame, active, d: int, total: float) -> tuple[np.ndarray, int]:
+    """The Gram matrix of the posteriors of active rows, by tokens, and how many rows have the rate 0."""
+    cells = [F.sum(F.when(active, F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)) for i in range(d) for j in range(i, d)]
+    *got, cut = rated.agg(*cells, F.count_if(F.col("r") == 0)).first()
+    gram = np.zeros((d, d))
+    gram[np.triu_indices(d)] = [float(x) / total for x in got]
+    gram = np.maximum(gram, gram.T)
+    return gram + np.eye(d) * max(np.trace(gram) / d, 1e-9) * RIDGE, cut
 
 
 def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float]) -> np.ndarray:
-    """The vector v whose _rate() is each document's rate."""
+    """The steps whose _rate() is each document's rate."""
     d = len(domains)
-    w, v = np.array([targets.get(x, 0.0) for x in domains]), np.zeros(d)
+    w, steps = np.array([targets.get(x, 0.0) for x in domains]), np.zeros((0, d))
     if not d or w.sum() <= 0:
-        return v
+        return steps
     n = F.col("n_tokens")
     first = rows.agg(F.sum("n_tokens"), *[F.sum(n * F.col("p")[i]) for i in range(d)]).first()
     total = float(first[0] or 0)
     if not total:
-        return v
+        return steps
     held = np.array([float(x) for x in first[1:]])
     w = np.where(held > 0, w, 0.0)
     if w.sum() <= 0:
-        return v
+        return steps
     w = w / w.sum()
-    gap, value = held / total - w, 0.0
-    best, least = v, np.abs(gap).max()
+    gap = held / total - w
     for _ in range(STEPS):
-        if least < TOLERANCE:
+        if np.abs(gap).max() < TOLERANCE:
             break
-        cells = [F.sum(F.when(_rate(v) > 0, n * F.col("p")[i] * F.col("p")[j]).otherwise(0.0)) for i in range(d) for j in range(i, d)]
-        gram = np.zeros((d, d))
-        gram[np.triu_indices(d)] = [float(x) / total for x in rows.agg(*cells).first()]
-        gram = np.maximum(gram, gram.T)
-        unit = max(np.trace(gram) / d, 1e-9)
-        trials = [v + np.linalg.solve(gram + np.eye(d) * unit * k, gap) for k in DAMPING]
-        sums = [F.sum(n * _rate(t) * x) for t in trials for x in (_rate(t), *[F.col("p")[i] for i in range(d)])]
-        got = np.array([float(x) for x in rows.agg(*sums).first()]).reshape(len(trials), d + 1) / total
-        # the concave dual function of which the gap is the gradient
-        values = (1 - got[:, 0]) / 2 - np.array(trials) @ w
-        gaps = got[:, 1:] - w
-        k = int(np.argmax(values))
-        near = int(np.argmin(np.abs(gaps).max(axis=1)))
-        if np.abs(gaps[near]).max() < least:
-            best, least = trials[near], np.abs(gaps[near]).max()
-        if least < TOLERANCE or values[k] <= value:
+        rated = rows.withColumn("r", _rate(steps))
+        gram, cut = _gram(rated, F.col("r") > 0, d, total)
+        ahead = np.linalg.solve(gram, gap)
+        if cut:  # rows at 0 that the step takes up again belong to those it moves
+            gram, _ = _gram(rated, (F.col("r") > 0) | (_dot(ahead) < 0), d, total)
+            ahead = np.linalg.solve(gram, gap)
+        sums = [F.sum(n * F.greatest(F.lit(0.0), F.col("r") - _dot(k * ahead)) * F.col("p")[i]) for k in LENGTHS for i in range(d)]
+        gaps = np.array([float(x) for x in rated.agg(*sums).first()]).reshape(len(LENGTHS), d) / total - w
+        size = lambda g: g @ np.linalg.solve(gram, g)
+        best = min(range(len(LENGTHS)), key=lambda k: size(gaps[k]))
+        if size(gaps[best]) >= size(gap) * (1 - 1e-9):
             break
-        v, gap, value = trials[k], gaps[k], values[k]
-    if least >= TOLERANCE:
-        warnings.warn(f"mixing: the domain shares of {dict(zip(domains, w.round(6).tolist()))} are missed by up to {least:.3g}", stacklevel=2)
-    return best
+        steps, gap = np.vstack([steps, LENGTHS[best] * ahead]), gaps[best]
+    if np.abs(gap).max() >= TOLERANCE:
+        warnings.warn(f"mixing: the domain shares of {dict(zip(domains, w.round(6).tolist()))} are missed by up to {np.abs(gap).max():.3g}", stacklevel=2)
+    return steps
 
 
 def reached(rows: DataFrame, domains: list[str]) -> dict[str, tuple[float, float]]:
@@ -241,10 +263,10 @@ def draw(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS
         return docs
     docs, _ = keyed(docs)
     rows = materialize(memberships(docs, model, "__key"), "posterior")
-    v = fit_rates(rows, model.domains, targets)
+    steps = fit_rates(rows, model.domains, targets)
     favoured = favoured or max(model.domains, key=lambda d: targets.get(d, 0.0))
-    one = 1.0 - v[model.domains.index(favoured)] if favoured in model.domains else 1.0
-    rate = _rate(v) / (float(one) if one > 1e-9 else 1.0)
+    one = rate_of(np.array([[float(d == favoured) for d in model.domains]]), steps)[0]
+    rate = _rate(steps) / (float(one) if one > 1e-9 else 1.0)
     u = F.pmod(F.xxhash64(F.lit(97), "__key"), F.lit(1_000_003)) / 1_000_003.0
     times = F.when(F.col("n_tokens") > 0, F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).otherwise(1).cast("int")
     other = rows.select("__key", times.alias("__times")).filter("__times <> 1")

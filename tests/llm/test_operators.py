@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from graphloom.llm import embedding_dedup, language_id, licenses, mixing, near_dedup, packing, pii, quality_rules, substring_dedup, token_counts
@@ -311,6 +312,39 @@ def test_mixing_reaches_targets(spark, recwarn):
         mixing.fit_rates(flat, domains, mixing.TARGETS)
 
 
+def solved(p, n, w, rounds=400):
+    """Projected gradient on the whole vector of rates, all rows at hand."""
+    r, total = np.ones(len(p)), n.sum()
+    for _ in range(rounds):
+        gap = (n * r) @ p / total - w
+        if np.abs(gap).max() < mixing.TOLERANCE:
+            break
+        for active in (r > 0, None):
+            active = (r > 0) | (p @ step < 0) if active is None else active
+            gram = (p[active] * n[active, None]).T @ p[active] / total
+            gram += np.eye(len(w)) * np.trace(gram) / len(w) * mixing.RIDGE
+            step = np.linalg.solve(gram, gap)
+        trials = [np.maximum(0, r - k * (p @ step)) for k in mixing.LENGTHS]
+        left = [(n * t) @ p / total - w for t in trials]
+        r = trials[int(np.argmin([g @ np.linalg.solve(gram, g) for g in left]))]
+    return r
+
+
+@pytest.mark.parametrize("shares, sharp", [((0.3, 0.5, 0.2), 0.5), ((0.1, 0.6, 0.3), 2.0), ((0.5, 0.3, 0.2), 6.0)])
+def test_rates_equal_a_solver(spark, shares, sharp):
+    rng = np.random.default_rng(9)
+    z = rng.normal(size=(600, 3))
+    z[np.arange(600), rng.choice(3, 600, p=shares)] += sharp
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    n = rng.integers(1, 900, 600)
+    t = spark.createDataFrame([(i, int(k), x.tolist()) for i, (k, x) in enumerate(zip(n, p))], "i long, n_tokens long, p array<double>").cache()
+    steps = mixing.fit_rates(t, ["good", "junk", "toxic"], mixing.TARGETS)
+    got = np.array([r["r"] for r in t.select("i", mixing._rate(steps).alias("r")).orderBy("i").collect()])
+    want = solved(p, n.astype(float), np.array([0.9, 0.05, 0.05]))
+    assert np.abs(got - want).max() < 1e-5 and np.abs(got - mixing.rate_of(p, steps)).max() < 1e-9
+    assert got.min() >= 0 and np.abs((n * got) @ p / n.sum() - [0.9, 0.05, 0.05]).max() < 1e-6
+
+
 def test_language_id_keeps_every_letter_and_language(spark):
     """70 languages, 1400 letters, some above U+FFFF: each language is told by its own letters."""
     rng = random.Random(3)
