@@ -378,6 +378,19 @@ register("q_commit_batch_edges", f"""WITH o AS (SELECT * FROM {_ORDERS} WHERE k
 SELECT source_id, target_id, rel_type, CASE WHEN lower(target_id) = 'customer#000000007' THEN 'customer#000000007.md' ELSE resolved END AS resolved FROM e WHERE source_id <> 'orders/2.md' AND NOT (source_id = 'orders/1.md' AND rel_type = 'project')
 UNION ALL VALUES ('customer#000000007.md', 'Order 1', 'wiki-link', 'orders/1.md'), ('orders/1.md', 'Order 2', 'project', NULL), ('orders/1.md', 'Order 2', 'wiki-link', NULL)""", store=False)(lambda spark, d: _advanced(spark, d)[1].store.edges.select("source_id", "target_id", "rel_type", "resolved"))
 register("q_commit_batch_search", "SELECT 'customer#000000007.md' AS id UNION ALL SELECT 'orders/1.md'", store=False)(lambda spark, d: query(_advanced(spark, d)[1].store, QueryOptions(full_text="zanz*", limit=None), "id"))
+register("q_normalize_version", f"""WITH o AS (SELECT k, CASE WHEN k % 5 = 0 AND k % 3 <> 0 THEN 'blocked' ELSE s END AS s, t, o_totalprice, day, p, c FROM {_ORDERS} WHERE k % 7 <> 0), f AS ({_NOTE_FIELDS})
+SELECT node_id, CASE key WHEN 'status' THEN 'Status' ELSE key END AS key, CASE WHEN key = 'total' THEN '[' || value_text || ']' WHEN key = 'project' AND node_id = 'orders/1.md' THEN '[[Order 2]]' ELSE value_text END AS value_text, CASE key WHEN 'total' THEN 'list' ELSE value_type END AS value_type, CASE WHEN key <> 'total' THEN value_number END AS value_number FROM f WHERE node_id <> 'orders/2.md'""", store=False)(lambda spark, d: _normalized_version(spark, d).store.fields.drop("value_date"))
+
+
+def _normalized_version(spark, d):
+    """The store after the batch with its fields as declared, as a fourth version."""
+    key = (spark.sparkContext.applicationId, d, "normalized")
+    if key not in _KEPT:
+        declared = spark.createDataFrame([("task", "Status", "string"), ("task", "total", "list<string>")], "schema_type string, key string, field_type string")
+        _KEPT[key] = ingest.normalize(_advanced(spark, d)[1], declared, apply_=True)[0]
+    return _KEPT[key]
+
+
 register("q_remove_notes", f"WITH o AS {_ORDERS}, e AS ({_NOTE_EDGES}) SELECT count(*) AS n, count(resolved) AS resolved FROM e JOIN o ON source_id = {_ID} WHERE k % 2 = 0", store=False)(lambda spark, d: ingest.remove(_index(spark, d), _index(spark, d).files.filter(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 2 == 1)).store.edges.agg(F.count("*").alias("n"), F.count("resolved").alias("resolved")))
 register("q_attach_chunks", f"WITH o AS {_ORDERS} SELECT {_ID} AS node_id, 0 AS chunk_index, NULL::VARCHAR AS heading, 'Order ' || k || {_NL} || 'For the buyer and .' || {_NL} || 'Notes' || {_NL} || 'See !100 with Order ' || k || '.' AS content FROM o WHERE k % 10 = 0", store=False)(lambda spark, d: ingest.attach_chunks(_index(spark, d).files.filter(F.col("path").like("%0.md")).select(F.col("path").alias("node_id"), F.lit(0).alias("chunk_index")), _index(spark, d).chunks))
 register("q_requeue", f"SELECT {_ID} || '#0' AS chunk_id, 'pending' AS status, 0 AS attempts FROM {_ORDERS} WHERE k % 3 <> 0", store=False)(lambda spark, d: ingest.requeue(_index(spark, d).chunks, _index(spark, d).files.filter(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 3 == 0).select(F.concat("path", F.lit("#0")).alias("chunk_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding")), 2))

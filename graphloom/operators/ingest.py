@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from ..plans.durable import TABLES, Conflict, Durable, Snapshot
 from ..plans.schemas import Schema
-from ..plans.shared import written
+from ..plans.shared import scratch, written
 from ..plans.store import GraphStore
 from ..sources import notes as N
 from ..sources.notes import parsed
-from . import changes, graph, text
+from . import changes, coercion, graph, text
 from .query import QueryError
 
 
@@ -65,9 +65,10 @@ def _numbered(edges: DataFrame) -> DataFrame:
 
 def create(durable: Durable, notes: DataFrame) -> Snapshot:
     """The first version of a durable store, or one that replaces all there is."""
-    rows = _tables(notes)
-    rows["edges"] = _numbered(graph.resolve_keyed(graph.with_keys(rows["edges"]), rows["names"]))
-    return _commit(durable.open(), rows, replace=True)
+    with scratch():
+        rows = _tables(notes)
+        rows["edges"] = _numbered(graph.resolve_keyed(graph.with_keys(rows["edges"]), rows["names"]))
+        return _commit(durable.open(), rows, replace=True)
 
 
 def advance(snapshot: Snapshot, notes: DataFrame, strict_hash: bool = False, compact_after: int = 24) -> tuple[Snapshot, DataFrame]:
@@ -77,6 +78,11 @@ def advance(snapshot: Snapshot, notes: DataFrame, strict_hash: bool = False, com
     Only new and changed notes are parsed, and only links that may mean a name that came or went are
     resolved again. After compact_after commits the runs are made one.
     """
+    with scratch():
+        return _advance(snapshot, notes, strict_hash, compact_after)
+
+
+def _advance(snapshot: Snapshot, notes: DataFrame, strict_hash: bool, compact_after: int) -> tuple[Snapshot, DataFrame]:
     spark = notes.sparkSession
     now = notes.select("path", F.col("mtime").cast("timestamp").alias("mtime"), F.sha2("raw", 256).alias("hash"))
     plan = written(changes.diff(snapshot.table("files"), now, strict_hash), "diff")
@@ -132,7 +138,37 @@ def commit_batch(snapshot: Snapshot, operations: list[dict], schemas: dict[str,
     # files are as they were found: a note that is still there stays known, so that advance() sees its change
     here = spark.createDataFrame([(i,) for i in ids if overlay.after[i] is not None], "path string")
     rows["files"] = snapshot.table("files").join(here, "path", "left_semi")
-    return apply(snapshot, _with_derived(rows), spark.createDataFrame([(i,) for i in ids], "node_id string"))
+    with scratch():
+        return apply(snapshot, _with_derived(rows), spark.createDataFrame([(i,) for i in ids], "node_id string"))
+
+
+def normalize(snapshot: Snapshot, declared: DataFrame, apply_: bool = False) -> tuple[Snapshot, DataFrame]:
+    """The rules that fields need to be as declared (schema_type, key, field_type), with the notes they touch
+    (coercion.audit()), and with apply_ the next version, in which keys are renamed and lists are lists,
+    links of a renamed field with them. Only fields and links of notes that a rule touches are written;
+    roll_back() to the version before undoes it."""
+    fields, types = snapshot.table("fields"), snapshot.table("types")
+    rules = coercion.infer_rules(fields, types, declared)
+    with scratch():
+        rules = written(rules, "rules")
+        report = coercion.audit(fields, rules)
+        report = fields.sparkSession.createDataFrame(report.collect(), report.schema)  # a row for each rule
+        if not apply_ or rules.isEmpty():
+            return snapshot, report
+        mine = rules.select("action", F.col("from_key").alias("key")).distinct()
+        hit = fields.join(mine, "key").filter("action = 'rename_key' or value_type <> 'list'").select("node_id").distinct()
+        hit = written(hit, "normalized")
+        before = fields.join(hit, "node_id", "left_semi")
+        after = coercion.normalized(before, rules)
+        after = after.withColumns({"value_number": F.when(F.col("value_type") == "number", F.col("value_text").cast("double")), "value_date": F.when(F.col("value_type") == "date", F.col("value_text"))})
+        # a field is renamed where the note has no field of the new name
+        renames = rules.filter("action = 'rename_key'").select(F.col("from_key").alias("rel_type"), "to_key")
+        have = before.select(F.col("node_id").alias("source_id"), F.col("key").alias("to_key"), F.lit(True).alias("__has"))
+        own = snapshot.table("edges").join(hit.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi")
+        links = own.join(renames, "rel_type", "left").join(have, ["source_id", "to_key"], "left")
+        links = links.withColumn("rel_type", F.when(F.col("to_key").isNotNull() & F.col("__has").isNull(), F.col("to_key")).otherwise(F.col("rel_type")))
+        void = hit.select("node_id", F.explode(F.array(F.lit("fields"), F.lit("edges"))).alias("area"))
+        return _commit(snapshot, {"fields": after, "edges": links.select(*own.columns)}, void), report
 
 
 def _commit(base: Snapshot, rows: dict[str, DataFrame], void: DataFrame | None = None, replace: bool = False) -> Snapshot:
@@ -179,7 +215,7 @@ def _merged(a: Index, b: Index | None) -> Index:
 
 def incremental(index: Index, notes: DataFrame, strict_hash: bool = False) -> tuple[Index, DataFrame]:
     """The index after a new listing of notes (path, mtime, raw), and the counts (indexed, skipped,
-    deleted). A note of the same time is skipped without a look at it, unless strict_hash; one of
+    deleted); a plan on that of the index before, and so not for long chains, which advance() is for. A note of the same time is skipped without a look at it, unless strict_hash; one of
     the same content gets its new time."""
     spark = notes.sparkSession
     now = notes.select("path", F.col("mtime").cast("timestamp").alias("mtime"), F.sha2("raw", 256).alias("hash"))

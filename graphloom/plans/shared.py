@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,28 @@ def written(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     """df written as Parquet in the shared folder (in folders by a column) and read back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-store/{tag}-{uuid.uuid4().hex}"
+    if _SCRATCH:
+        _SCRATCH[-1].append((spark, path))
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables written in each open scratch().
+_SCRATCH: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes what written() writes in it, at its end: for work whose result is written elsewhere."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _SCRATCH.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the Python workers, once for each context."""
     sc = spark.sparkContext

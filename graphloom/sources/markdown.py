@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import zipfile
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import quote_key, quote_yaml
+from ..plans.shared import ship
 from .notes import IGNORED, read_notes
 
 LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
@@ -97,12 +104,41 @@ def resolve_embeds(wanted: DataFrame, files: DataFrame, ignored: tuple[str, ...]
 
 
 def read_attachments(files: DataFrame) -> DataFrame:
-    """(path, kind, media_type, data) of binaryFile rows (path, content): images in base64, svg and
-    text documents as text; others have no data, as their formats need a reader of their own."""
+    """(path, kind, media_type, data) of binaryFile rows (path, content): images in base64; svg, text
+    documents and the text of DOCX as text; others have no data, as their formats need a reader of their own."""
     kind = attachment_class(F.col("path"))
     text = F.lower(F.substring_index("path", ".", -1)).isin("svg", "txt", "md")
     data = F.when(text, F.decode("content", "UTF-8")).when(kind == "image", F.base64("content"))
-    return files.select("path", kind.alias("kind"), media_type(F.col("path")).alias("media_type"), data.alias("data"))
+    word = F.lower("path").endswith(".docx")
+    rows = files.select("path", kind.alias("kind"), media_type(F.col("path")).alias("media_type"), data.alias("data"), "content")
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(data=[docx_text(c) for c in pdf["content"]])[["path", "kind", "media_type", "data"]]
+
+    docx = rows.filter(word).mapInPandas(run, "path string, kind string, media_type string, data string")
+    return rows.filter(~word).drop("content").unionByName(docx)
+
+
+_WORDS = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_text(content: bytes | None) -> str | None:
+    """The text of a DOCX file: paragraphs, those of tables too, each with a blank line after it; None if it
+    can't be read. Deleted text of tracked changes is left out."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+            root = ElementTree.fromstring(z.read("word/document.xml"))
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, NotImplementedError, zlib.error):
+        return None
+    out: list[str] = []
+    for p in root.iter(f"{_WORDS}p"):
+        for x in p.iter():
+            if x.tag in (f"{_WORDS}t", f"{_WORDS}tab"):
+                out.append((x.text or "") if x.tag.endswith("}t") else "\t")
+        out.append("\n\n")
+    return "".join(out)
 
 
 def embed_report(notes: DataFrame, kind: str = "all", raw: str = "raw", id: str = "path") -> DataFrame:
