@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.durable import TABLES, Conflict, Durable, Snapshot
-from ..plans.schemas import Schema
+from ..plans.schemas import POLICIES, Schema
 from ..plans.shared import scratch, written
 from ..plans.store import GraphStore
 from ..sources import notes as N
@@ -171,6 +171,18 @@ def normalize(snapshot: Snapshot, declared: DataFrame, apply_: bool = False) ->
         return _commit(snapshot, {"fields": after, "edges": links.select(*own.columns)}, void), report
 
 
+def advance_normalized(snapshot: Snapshot, notes: DataFrame, declared: DataFrame, policy: str = "warn") -> tuple[Snapshot, DataFrame, DataFrame]:
+    """advance(), then normalize() as a policy says: off not at all, warn for its report, fix with a version
+    of its own. The counts and the report come with it."""
+    if policy not in POLICIES["normalize_on_index"]:
+        raise QueryError("VALIDATION_ERROR", f"unknown policy {policy}")
+    out, counts = advance(snapshot, notes)
+    if policy == "off":
+        return out, counts, coercion.infer_rules(out.table("fields"), out.table("types"), declared).limit(0)
+    out, report = normalize(out, declared, apply_=policy == "fix")
+    return out, counts, report
+
+
 def _commit(base: Snapshot, rows: dict[str, DataFrame], void: DataFrame | None = None, replace: bool = False) -> Snapshot:
     rows = {t: d.select(*(c.split(" ")[0] for c in TABLES[t].schema.split(", "))) for t, d in rows.items()}
     try:

@@ -229,21 +229,24 @@ def patch_header(raw: Column, key: str, value: str) -> Column:
 
 def write_notes(notes: DataFrame, folder: str) -> int:
     """Write notes (path, raw) as files below a folder, each by the task that holds it; the number
-    written. The folder must be one that all executors share; a path leaving it is an error."""
+    written. The folder is a path that all executors share, or the address of a store that pyarrow
+    opens (s3, gs, hdfs, abfs, file); a path leaving it is an error."""
 
     def run(rows):
-        import os
+        import uuid
 
-        n = 0
+        from pyarrow import fs
+
+        n, (store, base) = 0, fs.FileSystem.from_uri(folder)
         for r in rows:
             if any(p in ("", ".", "..") for p in r["path"].split("/")):
                 raise ValueError(f"path {r['path']}")
-            at = os.path.join(folder, r["path"])
-            os.makedirs(os.path.dirname(at), exist_ok=True)
-            tmp = f"{at}.{os.getpid()}.tmp"
-            with open(tmp, "w", encoding="utf-8", newline="") as f:
-                f.write(r["raw"])
-            os.replace(tmp, at)  # a task that runs twice leaves the same file
+            at = f"{base.rstrip('/')}/{r['path']}"
+            store.create_dir(at.rpartition("/")[0], recursive=True)
+            draft = f"{at}.{uuid.uuid4().hex}.draft"
+            with store.open_output_stream(draft) as f:
+                f.write(r["raw"].encode())
+            store.move(draft, at)  # a task that runs twice leaves the same file
             n += 1
         yield n
 

@@ -49,4 +49,10 @@ def test_normalise_is_a_version(spark, tmp_path):
     assert [(r["source_id"], r["rel_type"], r["resolved"]) for r in done.store.edges.collect()] == [("a.md", "ref", "b.md")]
     assert {(r["key"], r["value_number"]) for r in done.store.fields.filter("value_number is not null").collect()} == {("n", 1.5)}
     assert done.store.nodes.count() == 3 and done.version == 2
-    assert fields(done.durable.roll_back(1)) == fields(first)
+    back = done.durable.roll_back(1)
+    assert fields(back) == fields(first)
+    later = notes.unionByName(spark.createDataFrame([("d.md", "2020-01-02", "---\ntypes: [t]\nTAG: w\n---\n")], "path string, mtime string, raw string").withColumn("mtime", F.col("mtime").cast("timestamp")))
+    warned, counts, report = ingest.advance_normalized(back, later, declared, "warn")
+    assert counts.first()["indexed"] == 1 and ("d.md", "TAG", "w") in fields(warned) and report.filter("from_key = 'TAG'").count() == 1
+    fixed, counts, _ = ingest.advance_normalized(warned, later, declared, "fix")
+    assert counts.first()["indexed"] == 0 and ("d.md", "tag", '["w"]') in fields(fixed) and fixed.version == warned.version + 1
