@@ -47,8 +47,9 @@ class VectorIndex:
 
 def cells(chunks: DataFrame, vector: str = "embedding", most: int | None = None) -> VectorIndex:
     """An index of vectors of one length, written in the shared folder: about sqrt(n) cells, each vector
-    in that of the nearest pivot, sorted by its distance to it. Null vectors are left out."""
-    chunks = chunks.filter(F.col(vector).isNotNull())
+    in that of the nearest pivot, sorted by its distance to it. Vectors that are null or hold null or NaN
+    have no distance and are left out."""
+    chunks = chunks.filter(F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)))
     n = chunks.count()
     most = most or max(1, min(CELLS, math.isqrt(n)))
     # the pivots only decide how much a search reads; it is exact with any

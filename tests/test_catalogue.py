@@ -10,7 +10,7 @@ from graphloom import catalogue
 SF = "/root/testdata/sf0.001"
 
 
-ALWAYS = {"q_type_status_recent", "q_ref_both", "q_project_status", "q_bfs_edges", "q_fts_phrase", "q_knn_dedup_node", "q_cdc_counts", "q_validate_all", "q_batch", "q_rebuild_edges", "q_incremental_fields", "q_coerce_fields", "q_patch_all"}
+ALWAYS = {"q_type_status_recent", "q_ref_both", "q_project_status", "q_bfs_edges", "q_fts_phrase", "q_knn_dedup_node", "q_cdc_counts", "q_validate_all", "q_batch", "q_rebuild_edges", "q_incremental_fields", "q_coerce_fields", "q_patch_all", "q_fts_group", "q_fts_phrase_rank", "q_update_edges", "q_bulk_update_edges", "q_dup_near_block", "q_knn_cells", "q_parse_edges", "q_rename_links", "q_commit_batch_edges", "q_normalize_version", "q_schema_merge", "q_task_lists"}
 NAMES = sorted(ALWAYS | set(sorted(catalogue.SQL)[::3]))
 
 

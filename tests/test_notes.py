@@ -237,7 +237,7 @@ def test_coercion_of_conflicts_and_globals(spark):
 
 def test_streams_run(spark, tmp_path):
     """Files come and change; each content is applied once, also after a restart."""
-    folder, seen = tmp_path / "vault", []
+    folder, seen = tmp_path / "notes", []
     folder.mkdir()
     (folder / "a.md").write_text("one")
     (folder / "b.md").write_text("two")
