@@ -21,7 +21,7 @@ from graphloom.streaming import events
 def test_header_values():
     got = N.header("a: 1\nb: 'it''s'\nc: \"x \\\"y\\\"\"\nd: 2024-05-06\ne: true\nf:\n  - x\n  - 3\ng: [1, \"b, c\", [[L]]]\nh:\n  k: v\ni: ~\nj: [[One]]\n\"k k\": z # note\nl:")
     day = datetime(2024, 5, 6, tzinfo=timezone.utc)
-    assert got == {"a": 1.0, "b": "it's", "c": 'x "y"', "d": day, "e": True, "f": ["x", 3.0], "g": [1.0, "b, c", "[[L]]"], "h": {}, "i": None, "j": "[[One]]", "k k": "z", "l": None}
+    assert got == {"a": 1.0, "b": "it's", "c": 'x "y"', "d": day, "e": True, "f": ["x", 3.0], "g": [1.0, "b, c", "[[L]]"], "h": {"k": "v"}, "i": None, "j": "[[One]]", "k k": "z", "l": None}
     assert [N.value_type(v) for v in (got["a"], got["d"], got["e"], got["f"], got["j"], got["b"])] == ["number", "date", "boolean", "list", "reference", "string"]
     assert [N.value_text(v) for v in (1.5, 2.0, day, [1.0, "x"], None, {})] == ["1.5", "2", "2024-05-06T00:00:00.000Z", '[1,"x"]', "null", "[object Object]"]
 
