@@ -14,7 +14,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -109,16 +109,23 @@ def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
 PARTS = 256
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows: int, how: str = "left") -> DataFrame:
+def hot_at(rows: int) -> int:
+    """The number of rows of a key up to which it is not hot in a table of rows."""
+    return max(1, -(-rows // PARTS))
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows: int, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
     """left joined with right, in which each key stands once with n, its number of rows in left.
 
-    Keys with more than rows / PARTS rows are dealt by the column `spread` of left to several tasks,
+    Keys with more than hot_at(rows) rows are dealt by the column `spread` of left to several tasks,
     and their row of right is repeated for each. There are at most PARTS such keys, as the counts of
     different keys add up to no more than rows, so that the driver may know them by their hashes.
+    A hot key of left must be dealt whether or not it finds a partner: right holds it too, or counts
+    (the key and n) are given apart.
     """
-    most = max(1, -(-rows // PARTS))
+    most = hot_at(rows)
     key = F.xxhash64(*on)
-    hot = right.filter(F.col("n") > most).select(key.alias("key"), "n").collect()
+    hot = (right if counts is None else counts).filter(F.col("n") > most).select(key.alias("key"), "n").collect()
     if not hot:
         return left.join(right.drop("n"), on, how)
     salts = -(-max(r["n"] for r in hot) // most)
@@ -128,6 +135,30 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows
     return dealt.join(copies.drop("n"), [*on, "__salt"], how).drop("__salt")
 
 
+def first_by_hash(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
+    """The `most` first rows of each group of rows (a written table) by order, whose first column
+    is an evenly spread 64-bit hash, with their place k.
+
+    Of a group of n rows the first ones lie below a bound that follows from n, with room to spare,
+    so that about `most` rows of a group meet in a task, whatever its size. Where chance has left
+    fewer than asked below a bound, it is raised.
+    """
+    sizes = materialize(rows.groupBy(*by).agg(F.count("*").alias("n"), F.count("*").alias("__size")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    part = F.col(order[0]) / F.lit(2.0**64) + 0.5
+    room = most + 8 * most**0.5 + 16
+    while True:
+        near = hot_join(rows, sizes, by, order[0], total, "inner").filter(part * F.col("__size") <= room)
+        near = materialize(near, "near")
+        short = near.groupBy(*by).agg(F.count("*").alias("got")).join(sizes, by, "right").filter(F.coalesce("got", F.lit(0)) < F.least("__size", F.lit(most)))
+        if short.isEmpty():
+            break
+        drop(near)
+        room *= 4
+    drop(sizes)
+    return near.drop("__size").withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("k") <= most)
+
+
 def arrow_ready(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes, so that memory does not follow the length of texts,
     and send the package to the Python workers (once for each context)."""

@@ -66,5 +66,5 @@ def near_labels(edges: DataFrame) -> DataFrame:
     step, out = low.select(F.col("node").alias("component"), F.col("component").alias("c")), low
     for _ in range(2):
         uses = out.groupBy("component").agg(F.count("*").alias("n"))
-        out = hot_join(out, step.join(uses, "component"), ["component"], "node", rows).select("node", F.coalesce("c", "component").alias("component"))
+        out = hot_join(out, uses.join(step, "component", "left"), ["component"], "node", rows).select("node", F.coalesce("c", "component").alias("component"))
     return out

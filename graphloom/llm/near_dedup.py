@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, drop, hash_words, hot_join, in_chunks, keyed, load, materialize, mix64, narrow, ngram_hashes, scope, utf8, words_of
+from .common import arrow_ready, drop, hash_words, hot_at, hot_join, in_chunks, keyed, load, materialize, mix64, narrow, ngram_hashes, scope, utf8, words_of
 from .components import components, near_labels
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -46,6 +46,8 @@ SHORT_SKETCHES, SHORT_WIDTH, SHORT, LONG = 16, 2, 40, 26
 SMALL = 24
 #: Rows, and pairs to align, for one task.
 ROWS, PAIRS = 100_000, 1_000
+#: Texts of one shingle that are held against as many others in one task.
+BLOCK = 1_024
 #: Counters (a power of two) of the frequencies that order the shingles.
 COUNTERS = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(5))
@@ -177,8 +179,11 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of pairs (a, b; a materialised table) of row keys that are links."""
     arrow_ready(docs.sparkSession)
-    texts = docs.select("__key", "text")
-    rows = pairs.join(texts.select(F.col("__key").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("__key").alias("a"), F.col("text").alias("ta")), "a")
+    rows, n = pairs.select("a", "b"), pairs.count()
+    # a leader of a large bucket stands in many pairs, at either end: such pairs are dealt to many tasks
+    for end, other in (("b", "a"), ("a", "b")):
+        texts = docs.select(F.col("__key").alias(end), F.col("text").alias(f"t{end}"))
+        rows = hot_join(rows, texts, [end], other, n, "inner", pairs.groupBy(end).agg(F.count("*").alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,26 +195,30 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(similar(last[1], hash_words([texts[1][i]])[0]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return materialize(narrow(rows.select("a", "b", "ta", "tb"), pairs.count(), PAIRS).mapInArrow(run, "a long, b long"), "links")
+    return materialize(narrow(rows.select("a", "b", "ta", "tb"), n, PAIRS).mapInArrow(run, "a long, b long"), "links")
 
 
 def mixed_rows(buckets: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of buckets that are in several classes, with c (their class)."""
     rows = buckets.join(comp.select(F.col("node").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("c", F.coalesce("c", "rep"))
     n = buckets.count()
-    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("key", "n")
-    return materialize(narrow(hot_join(rows, materialize(mixed, "mixed"), ["key"], "rep", n, "inner"), n, ROWS), "rows")
+    mixed = rows.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter(f"lo < hi or n > {hot_at(n)}")
+    mixed = materialize(mixed.select("key", "n", (F.col("lo") < F.col("hi")).alias("mixed")), "mixed")
+    return materialize(narrow(hot_join(rows, mixed, ["key"], "rep", n, "inner").filter("mixed").drop("mixed"), n, ROWS), "rows")
 
 
 def joined(comp: DataFrame, links: DataFrame, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """comp (node, component) after more links (a, b): classes that these join get a common name by
     merge, which maps edges (a, b), a < b, to (node, component)."""
-    ends = comp.select(F.col("node"), F.col("component").alias("c"))
-    e = links.join(ends.withColumnRenamed("node", "a"), "a", "left").withColumn("a", F.coalesce("c", "a")).drop("c")
-    e = e.join(ends.withColumnRenamed("node", "b"), "b", "left").withColumn("b", F.coalesce("c", "b")).drop("c")
+    e, n = links.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), links.count()
+    for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        uses = links.groupBy(end).agg(F.count("*").alias("n"))
+        ends = comp.select(F.col("node").alias(end), F.col("component").alias("c"))
+        e = hot_join(e, ends, [end], other, n, "left", uses).withColumn(name, F.coalesce("c", end)).drop("c")
+    e = e.select(F.col("x").alias("a"), F.col("y").alias("b"))
     over = materialize(merge(e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), "over")
     uses = comp.groupBy("component").agg(F.count("*").alias("n"))
-    new = over.select(F.col("node").alias("component"), F.col("component").alias("c")).join(uses, "component")
+    new = uses.join(over.select(F.col("node").alias("component"), F.col("component").alias("c")), "component", "left")
     moved = hot_join(comp, new, ["component"], "node", comp.count()).select("node", F.coalesce("c", "component").alias("component"))
     alone = over.join(comp.select("node"), "node", "left_anti").select("node", "component")
     return materialize(narrow(moved.unionByName(alone), comp.count() + over.count(), ROWS), "classes")
@@ -267,13 +276,17 @@ def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
     texts = reps.join(docs.select(F.col("__key").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
     lists = materialize(shingles(narrow(texts, reps.count(), PAIRS)), "shingles")
     index = materialize(prefixes(lists), "index")
-    # a shingle of one class only is in no pair
-    met = index.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("s")
-    index = materialize(narrow(index.join(met, "s", "left_semi"), index.count(), ROWS), "index")
-    x = index.select("s", *(F.col(k).alias(f"{k}_a") for k in ("rep", "c", "n", "rest")))
-    y = index.select("s", *(F.col(k).alias(f"{k}_b") for k in ("rep", "c", "n", "rest")))
-    both = x.join(y, "s").filter("rep_a < rep_b and c_a <> c_b and 9 * least(rest_a, rest_b) >= 4 * (n_a + n_b)")
-    return narrow(both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), index.count(), ROWS)
+    rows = index.count()
+    # a shingle of one class only is in no pair; that of many texts is joined in blocks
+    met = index.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter(f"lo < hi or n > {hot_at(rows)}")
+    met = materialize(met.select("s", "n", (F.col("lo") < F.col("hi")).alias("met"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "met")
+    index = hot_join(index.withColumnRenamed("n", "size"), met, ["s"], "rep", rows, "inner").filter("met")
+    index = materialize(narrow(index.withColumnRenamed("size", "n").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), rows, ROWS), "index")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = index.select("s", F.col("block").alias("i"), every.alias("j"), *(F.col(k).alias(f"{k}_a") for k in ("rep", "c", "n", "rest")))
+    y = index.select("s", every.alias("i"), F.col("block").alias("j"), *(F.col(k).alias(f"{k}_b") for k in ("rep", "c", "n", "rest")))
+    both = x.join(y, ["s", "i", "j"]).filter("rep_a < rep_b and c_a <> c_b and 9 * least(rest_a, rest_b) >= 4 * (n_a + n_b)")
+    return narrow(both.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct(), rows, ROWS)
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -316,8 +329,8 @@ def classes(docs: DataFrame) -> DataFrame:
         comp = joined(comp, links, lambda e: components(e, "a", "b"))
         # every text of a class with all its copies: a text with many is dealt to many tasks
         most = member.groupBy("rep").agg(F.count("*").alias("n"))
-        comp = comp.select(F.col("node").alias("rep"), F.col("component").alias("c")).join(most, "rep")
-        named = hot_join(member, comp, ["rep"], "__key", n_docs)
+        comp = comp.select(F.col("node").alias("rep"), F.col("component").alias("c"))
+        named = hot_join(member, most.join(comp, "rep", "left"), ["rep"], "__key", n_docs)
         return keep(materialize(named.select("__key", "rep", F.coalesce("c", "rep").alias("class")), "classes"))
 
 
