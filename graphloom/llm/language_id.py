@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, crc_mod_col, drop, in_chunks, load, materialize
+from .common import arrow_ready, crc_mod_col, drop, first_by_hash, in_chunks, load, materialize
 
 UND = "und"
 #: Symbols of a block; it changes no result.
@@ -278,9 +278,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", symbols: int
         drop(seen)
         return Model([], [])
     budget = 2 * min(symbols, FULL_LANGS * symbols // langs)
+    few = first_by_hash(seen.withColumnRenamed("n", "symbols"), ["l"], ["h"], TRAIN_DOCS)
     first = Window.partitionBy("l").orderBy("h")
-    few = seen.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= TRAIN_DOCS)
-    few = few.withColumn("before", F.coalesce(F.sum("n").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < budget)
+    few = few.withColumn("before", F.coalesce(F.sum("symbols").over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter(F.col("before") < budget)
     few = materialize(few.select("l", "h"), "chosen")
     # at most TRAIN_DOCS hashes of a language, with the symbols of FULL_LANGS languages together
     taken = rows.join(F.broadcast(few), ["l", "h"]).groupBy("l", "h").agg(F.min(F.substring("t", 1, min(budget, TRAIN_TEXT))).alias("t")).collect()
