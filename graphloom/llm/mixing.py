@@ -27,20 +27,18 @@ extra columns are ignored by op1 and kept by draw(); an empty table gives no row
 from __future__ import annotations
 
 import warnings
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, keyed, load, materialize, utf8
+from .common import arrow_ready, first_by_hash, keyed, load, materialize, utf8
 
-#: Bounds of the training sample (documents, at least so many of each domain, characters learned
-#: from of one text) and of the word features.
-TRAIN_DOCS, OF_EACH, TRAIN_TEXT, WORDS = 4_000, 50, 20_000, 400
+#: Bounds of the training sample (documents, at least so many of each domain) and of the word features.
+TRAIN_DOCS, OF_EACH, WORDS = 4_000, 50, 400
 STEPS, TOLERANCE = 60, 1e-7
 #: Lengths of the trial steps of one pass, and what is added to the Gram diagonal, as a part of its mean.
 LENGTHS, RIDGE = (1.5, 1.25, 1.0, 0.75, 0.5, 0.25, 0.1, 0.02, 0.004), 1e-9
@@ -90,23 +88,10 @@ class Classifier:
         return tokens, p / p.sum(axis=1, keepdims=True)
 
 
-def fit_classifier(texts: list[bytes], labels: list[str], rounds: int = 300) -> Classifier:
-    domains = sorted(set(labels))
+def fit_classifier(domains: list[str], words: list[bytes], x: np.ndarray, labels: list[str], rounds: int = 300) -> Classifier:
+    """Weights from the features x of labelled documents, by accelerated gradient steps."""
     y = np.array([[d == l for d in domains] for l in labels], float)
-    seen: list[Counter] = [Counter() for _ in domains]
-    for t, l in zip(texts, labels):
-        seen[domains.index(l)].update(set(t.lower().translate(_PUNCT).split()))
-    n = np.maximum(y.sum(axis=0), 1)
-    total = sum(seen, Counter())
-    # words whose presence differs most between domains, in standard errors
-    gap = {}
-    for w, c in total.items():
-        if c >= 5:
-            p = c / len(texts)
-            gap[w] = max(abs(s[w] / m - p) / np.sqrt(p / m + 1 / m**2) for s, m in zip(seen, n))
-    words = [w for w, g in sorted(gap.items(), key=lambda g: (-g[1], g[0]))[:WORDS] if g > 4]
     c = Classifier(domains, words)
-    _, x = c.features(texts)
     c.centre, c.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
     c.centre[0], c.scale[0] = 0, 1
     z = (x - c.centre) / c.scale
@@ -122,21 +107,54 @@ def fit_classifier(texts: list[bytes], labels: list[str], rounds: int = 300) ->
     return c
 
 
+def telling_words(texts: DataFrame, of: dict[str, int]) -> list[bytes]:
+    """The WORDS words whose presence in texts (text, domain) differs most between a domain and all,
+    in standard errors (more than 4); of has the number of texts of each domain."""
+    domains, total = sorted(of), sum(of.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t, d in zip(utf8(b.column(0)), b.column(1).to_pylist()):
+                words = list(set(t.lower().translate(_PUNCT).split()))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([d] * len(words), pa.string())], names=["word", "domain"])
+
+    seen = texts.select("text", "domain").mapInArrow(run, "word binary, domain string")
+    n = seen.groupBy("word").agg(F.count("*").alias("n"), F.array(*[F.count_if(F.col("domain") == d) for d in domains]).alias("of")).filter("n >= 5")
+    p = F.col("n") / total
+    gaps = [F.abs(F.col("of")[i] / of[d] - p) / F.sqrt(p / of[d] + 1 / of[d] ** 2) for i, d in enumerate(domains)]
+    n = n.select("word", F.array_max(F.array(*gaps)).alias("gap")).filter("gap > 4")
+    return [bytes(r["word"]) for r in n.orderBy(F.desc("gap"), "word").limit(WORDS).collect()]
+
+
 def train(docs: DataFrame, labelled: DataFrame) -> Classifier:
-    """Fit on rows of labelled (doc_id, domain): TRAIN_DOCS by hash of the id, and OF_EACH domain."""
+    """Fit on rows of labelled (doc_id, domain): TRAIN_DOCS by hash of the id, and OF_EACH domain.
+
+    Their whole texts stay on the executors; the driver gets the words that are chosen and a row of
+    features for each document.
+    """
+    arrow_ready(docs.sparkSession)
     lab = labelled.filter("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     lab = lab.join(docs.filter("length(text) > 0").select("doc_id").distinct(), "doc_id", "left_semi")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # first of a part of a domain, then of the domain, so that few rows of it meet in a task
-    part = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(16))
-    each = lab.withColumn("k", F.row_number().over(Window.partitionBy("domain", part).orderBy(*order))).filter(F.col("k") <= OF_EACH)
-    each = each.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy(*order))).filter(F.col("k") <= OF_EACH).drop("k")
-    some = materialize(lab.orderBy(*order).limit(TRAIN_DOCS).unionByName(each).distinct(), "sample")
+    lab = materialize(lab.select("doc_id", "domain", F.xxhash64("doc_id").alias("h"), F.lit(0).alias("all")), "labelled")
+    some = first_by_hash(lab, ["all"], ["h", "doc_id"], TRAIN_DOCS).select("doc_id", "domain")
+    some = materialize(some.unionByName(first_by_hash(lab, ["domain"], ["h", "doc_id"], OF_EACH).select("doc_id", "domain")).distinct(), "sample")
     # at most TRAIN_DOCS ids and OF_EACH of each domain
-    texts = docs.select("doc_id", F.substring("text", 1, TRAIN_TEXT).alias("text")).filter("length(text) > 0")
-    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit_classifier([r["text"].encode("utf-8", "surrogatepass") for r in rows], [r["domain"] for r in rows]) if rows else Classifier([])
+    texts = docs.select("doc_id", "text").filter("length(text) > 0").join(F.broadcast(some), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "training")
+    of = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    if not of:
+        return Classifier([])
+    plain = Classifier(sorted(of), telling_words(texts, of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, x = plain.features(utf8(b.column(2)))
+            rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], names=["doc_id", "domain", "x"])
+
+    got = texts.select("doc_id", "domain", "text").mapInArrow(run, "doc_id long, domain string, x array<double>").toArrow().sort_by("doc_id")
+    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
+    return fit_classifier(plain.domains, plain.words, x, got.column("domain").to_pylist())
 
 
 def memberships(docs: DataFrame, model: Classifier, id: str = "doc_id") -> DataFrame:
