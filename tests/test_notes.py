@@ -34,6 +34,17 @@ def test_note_blocks_and_links():
     assert N.parse("x/stem.md", "no header").title == "stem"
 
 
+def test_notes_of_one_file_are_parsed_in_many_tasks(spark):
+    few = spark.range(400).coalesce(1).select(F.concat(F.lit("n/"), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.lit("2000-01-01").alias("mtime"), F.lit("---\nday: 0999-01-02\n---\n[[X]]").alias("raw"))
+    got = N.parsed(few).groupBy(F.spark_partition_id()).count().collect()
+    assert len(got) == 4 and sum(r["count"] for r in got) == 400
+    one = N.parsed(few.limit(1)).first()
+    assert [f.asDict() for f in one["fields"]] == [{"key": "day", "value_text": "0999-01-02T00:00:00.000Z", "value_type": "date", "value_number": None, "value_date": "0999-01-02T00:00:00.000Z"}]
+    assert [tuple(e) for e in one["edges"]] == [("X", "wiki-link", "X")] and [tuple(c) for c in one["chunks"]] == [(0, None, "X", 2)]
+    empty = N.parsed(few.withColumn("raw", F.lit(None).cast("string")).limit(1)).first()
+    assert (empty["fields"], empty["edges"], empty["types"]) == ([], [], []) and empty["chunks"][0]["content"] == ""
+
+
 def test_chunks_split_at_every_depth():
     long = "word " * 200
     n = N.parse("a.md", f"before\n\n## One\n{long}\n### Two\nlast")
