@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,11 @@ def test_nearest_from_cells(spark):
         assert [(r["chunk_id"], round(r["distance"], 9)) for r in found.collect()] == want
         assert read <= min(most, len(index.pivots))
     assert vector.nearest(vector.cells(d.limit(0)), [0.0] * 6, 3)[0].count() == 0
+
+
+def test_search_that_needs_a_thousand_cells(spark):
+    n = 1_200
+    rows = spark.range(n).select(F.col("id").alias("chunk_id"), F.array(F.col("id").cast("double")).alias("embedding"), F.col("id").cast("int").alias("cell"), F.lit(0.0).alias("reach"))
+    index = vector.VectorIndex(rows, np.arange(n, dtype=float)[:, None], np.zeros(n), np.zeros(n), "embedding")
+    found, read = vector.nearest(index, [0.0], n)
+    assert read == n and [r["chunk_id"] for r in found.collect()] == list(range(n))
