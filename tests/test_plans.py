@@ -1,12 +1,13 @@
 """Merged declarations of type sets, validation of all sets in one plan, samples of audits, vector cells."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import aggregate, coercion, quality, vector
+from graphloom.operators import aggregate, coercion, quality, text, vector
 from graphloom.plans import schemas as C
 from graphloom.plans.store import GraphStore
 
@@ -89,3 +90,15 @@ def test_search_that_needs_a_thousand_cells(spark):
     index = vector.VectorIndex(rows, np.arange(n, dtype=float)[:, None], np.zeros(n), np.zeros(n), "embedding")
     found, read = vector.nearest(index, [0.0], n)
     assert read == n and [r["chunk_id"] for r in found.collect()] == list(range(n))
+
+
+def test_words_are_grouped_without_a_row_for_each(spark):
+    texts = {i: " ".join(random.Random(i).choice("a b c \u00e4 7x".split()) for _ in range(i * 7)) for i in range(40)} | {40: None, 41: "..", 42: "A a-B"}
+    index = text.postings(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    plan = index.postings._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan
+    want = {(w, i): [k for k, x in enumerate(words) if x == w] for i, t in texts.items() if t for words in [re.findall(r"[^\W_]+", t.lower())] for w in words}
+    got = index.postings.collect()
+    assert {(r["term"], r["id"]): r["positions"] for r in got} == want and len(got) == len(want)
+    lengths = {r["id"]: r["len"] for r in index.lengths.collect()}
+    assert set(lengths) == set(texts) and all(r["len"] == lengths[r["id"]] for r in got) and lengths[42] == 3 and lengths[40] == 0
