@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import aggregate, coercion, quality, text, vector
+from graphloom.operators.query import Filter, with_fields
 from graphloom.plans import schemas as C
 from graphloom.plans.store import GraphStore
 
@@ -102,3 +103,40 @@ def test_words_are_grouped_without_a_row_for_each(spark):
     assert {(r["term"], r["id"]): r["positions"] for r in got} == want and len(got) == len(want)
     lengths = {r["id"]: r["len"] for r in index.lengths.collect()}
     assert set(lengths) == set(texts) and all(r["len"] == lengths[r["id"]] for r in got) and lengths[42] == 3 and lengths[40] == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def small_store(spark):
+    fields = spark.createDataFrame([(i, k, v, t, n, None) for i, k, v, t, n in [("a", "Size", "1", "number", 1.0), ("a", "size", "2", "number", 2.0), ("b", "size", "30", "number", 30.0), ("b", "to", "x", "string", None), ("c", "to", "[[y]]", "reference", None)]], "node_id string, key string, value_text string, value_type string, value_number double, value_date string")
+    types = spark.createDataFrame([(i, t) for i in "abcd" for t in ("t", "u")], "node_id string, schema_type string")
+    return GraphStore(types.select(F.col("node_id").alias("id")).distinct(), types, fields, None)
+
+
+def test_one_filter_brings_no_rows_together(spark):
+    got = with_fields(small_store(spark), [Filter("size", "lte", 10)])
+    assert "Aggregate" not in plan_of(got) and [r["id"] for r in got.collect()] == ["a"]
+
+
+def test_check_reads_the_keys_with_rules_and_tells_a_lack_once(spark):
+    st = small_store(spark)
+    got = quality.check(st.types.select("node_id"), st.fields, [quality.FieldDef("to", "reference", True)])
+    assert sorted(map(tuple, got.collect())) == [("a", "to", "required"), ("b", "to", "type"), ("d", "to", "required")]
+    some = quality.check(st.types.select("node_id"), st.fields, [quality.FieldDef("to", "reference")])
+    assert "Aggregate" not in plan_of(some) and "(key" in plan_of(some)
+
+
+def test_only_keys_that_become_one_meet(spark):
+    st = small_store(spark)
+    declared = spark.createDataFrame([("size", "number", []), ("to", "reference", [])], "key string, field_type string, values array<string>")
+    got, _ = coercion.coerce_fields(st.fields, declared)
+    assert sorted((r["node_id"], r["key"], r["value_text"]) for r in got.collect()) == [("a", "size", "2"), ("b", "size", "30"), ("b", "to", "[[x]]"), ("c", "to", "[[y]]")]
+    assert "__n" in plan_of(got) and plan_of(got).count("Union") == 1
+
+
+def test_frequency_counts_rows_where_they_are(spark):
+    got = aggregate.field_frequency(small_store(spark))
+    assert "distinct" not in plan_of(got).lower()
+    assert sorted((r["key"], r["n_nodes"], r["frequency"]) for r in got.filter("schema_type = 't'").collect()) == [("Size", 1, 0.25), ("size", 2, 0.5), ("to", 2, 0.5)]
