@@ -114,14 +114,15 @@ def hot_at(rows: int) -> int:
     return max(1, -(-rows // PARTS))
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows: int, how: str = "left", counts: DataFrame | None = None) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows: int, how: str = "left", counts: DataFrame | None = None, apart: bool = False) -> DataFrame:
     """left joined with right, in which each key stands once with n, its number of rows in left.
 
     Keys with more than hot_at(rows) rows are dealt by the column `spread` of left to several tasks,
     and their row of right is repeated for each. There are at most PARTS such keys, as the counts of
     different keys add up to no more than rows, so that the driver may know them by their hashes.
     A hot key of left must be dealt whether or not it finds a partner: right holds it too, or counts
-    (the key and n) are given apart.
+    (the key and n) are given apart. With apart, for a right that is a written table, its rows of the
+    other keys are not handed through the explode of the hot ones.
     """
     most = hot_at(rows)
     key = F.xxhash64(*on)
@@ -131,10 +132,31 @@ def hot_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, rows
     salts = -(-max(r["n"] for r in hot) // most)
     is_hot = key.isin([r["key"] for r in hot])
     dealt = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
+    if apart:
+        copies = right.withColumn("__salt", F.lit(0)).unionByName(right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(1), F.lit(salts - 1))))))
+        return dealt.join(copies.drop("n"), [*on, "__salt"], how).drop("__salt")
     copies = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return dealt.join(copies.drop("n"), [*on, "__salt"], how).drop("__salt")
 
 
+#: Bits (a power of two) of the bitmap of keys that among() holds rows against, and those of a row of it.
+SLOTS, SLOTS_IN_ROW = 1 << 25, 1 << 15
+
+
+def among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key may be in the one column of ids, for a join that follows: all that are in it, and
+    of the others the few whose hash has the place of one that is. The bitmap has the same size whatever
+    the number of ids, so that it can be sent to all tasks where the ids can't, and long rows that the
+    join would only throw away are not shuffled."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
+    row, at = (place(key) / SLOTS_IN_ROW).cast("int"), place(key) % SLOTS_IN_ROW
+    slots = ids.select(place(ids.columns[0]).alias("s"))
+    bits = slots.groupBy((F.col("s") / SLOTS_IN_ROW).cast("int").alias("__row")).agg(F.bitmap_construct_agg(F.col("s") % SLOTS_IN_ROW).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("__row", row).join(F.broadcast(bits), "__row").filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1)
+    return met.select(*rows.columns)
+
+
 def first_by_hash(rows: DataFrame, by: list[str], order: list[str], most: int) -> DataFrame:
     """The `most` first rows of each group of rows (a written table) by order, whose first column
     is an evenly spread 64-bit hash, with their place k.

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_ready, drop, hash_words, hot_at, hot_join, in_chunks, keyed, load, materialize, mix64, narrow, ngram_hashes, scope, utf8, words_of
+from .common import among, arrow_ready, drop, hash_words, hot_at, hot_join, in_chunks, keyed, load, materialize, mix64, narrow, ngram_hashes, scope, utf8, words_of
 from .components import components, near_labels
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -182,7 +182,7 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     rows, n = pairs.select("a", "b"), pairs.count()
     # a leader of a large bucket stands in many pairs, at either end: such pairs are dealt to many tasks
     for end, other in (("b", "a"), ("a", "b")):
-        texts = docs.select(F.col("__key").alias(end), F.col("text").alias(f"t{end}"))
+        texts = among(docs.select("__key", "text"), "__key", pairs.select(end)).select(F.col("__key").alias(end), F.col("text").alias(f"t{end}"))
         rows = hot_join(rows, texts, [end], other, n, "inner", pairs.groupBy(end).agg(F.count("*").alias("n")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +273,7 @@ def rare_pairs(reps: DataFrame, docs: DataFrame) -> DataFrame:
     A pair that reaches the similarity shares a shingle in both prefixes, and from the first one
     shared on enough are left in both.
     """
-    texts = reps.join(docs.select(F.col("__key").alias("rep"), "text"), "rep").dropDuplicates(["rep"])
+    texts = reps.join(among(docs.select("__key", "text"), "__key", reps.select("rep")).withColumnRenamed("__key", "rep"), "rep").dropDuplicates(["rep"])
     lists = materialize(shingles(narrow(texts, reps.count(), PAIRS)), "shingles")
     index = materialize(prefixes(lists), "index")
     rows = index.count()
