@@ -38,7 +38,7 @@ from .common import arrow_ready, drop, hash_words, hot_join, in_chunks, keyed, l
 
 N, ANCHOR = 13, 5
 #: Batches that a whole table is fed to the index in; runs are merged while the one before is not
-#: FANOUT times as large; buckets of a run.
+#: FANOUT times as large; buckets of a run, at least.
 BATCHES, FANOUT, BUCKETS = 3, 2, 64
 
 
@@ -135,13 +135,15 @@ class FingerprintIndex:
 
     COLUMNS = ("wh", "chk", "first")
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        # as many as a shuffle has partitions: a batch meets a run without another shuffle, and each task writes one bucket
+        buckets = buckets or max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.spark, self.path, self.buckets, self.version = spark, path.rstrip("/"), buckets, 0
         #: (folder, rows) of each run, oldest first
         self.runs: list[tuple[str, int]] = []
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, buckets: int = BUCKETS) -> FingerprintIndex:
+    def open(cls, spark: SparkSession, path: str, buckets: int | None = None) -> FingerprintIndex:
         index = cls(spark, path, buckets)
         done = [int(name.removeprefix("manifest-")) for name in index._names() if name.startswith("manifest-") and index._exists(f"{name}/_SUCCESS")]
         if done:
@@ -212,9 +214,23 @@ class FingerprintIndex:
             self._forget(folder)
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """(__key, pos) of those windows of batch (wh, chk, doc_id, __key, pos) that also start in a
-        document with a smaller id, in the batch or in the index."""
+        """The hits of a batch (see match()), which becomes part of the index."""
         self.compact()
+        own, hits = self._met(batch)
+        self.runs.append(self._write(own.filter("news")))
+        self._commit()
+        drop(own)
+        return hits
+
+    def match(self, batch: DataFrame) -> DataFrame:
+        """(__key, pos) of those windows of batch (wh, chk, doc_id, __key, pos) that also start in a
+        document with a smaller id, in the batch or in the index, which stays as it is."""
+        own, hits = self._met(batch)
+        drop(own)
+        return hits
+
+    def _met(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The distinct windows of a batch, with news where the index has them from no smaller id, and its hits."""
         own = batch.groupBy("wh", "chk").agg(F.min("doc_id").alias("own"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
         for k, (folder, _) in enumerate(self.runs):
             own = own.hint("merge").join(self.read(folder).withColumnRenamed("first", f"r{k}"), ["wh", "chk"], "left")
@@ -223,12 +239,8 @@ class FingerprintIndex:
         own = materialize(own.select("wh", "chk", "last", "n", F.least(F.col("own"), seen).alias("first"), (seen.isNull() | (F.col("own") < seen)).alias("news")), "batch")
         met = own.filter("first < last").select("wh", "chk", "first", "n")
         rows = met.agg(F.sum("n")).first()[0] or 0
-        hits = hot_join(batch, met, ["wh", "chk"], "__key", rows, "inner").filter("first < doc_id").select("__key", "pos")
-        hits = materialize(hits, "hits")
-        self.runs.append(self._write(own.filter("news")))
-        self._commit()
-        drop(own)
-        return hits
+        hits = hot_join(batch, met, ["wh", "chk"], "__key", rows, "inner", apart=True).filter("first < doc_id").select("__key", "pos")
+        return own, materialize(hits, "hits")
 
     def delete(self) -> None:
         for folder, _ in self.runs:
@@ -273,7 +285,8 @@ def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
         index, hits = FingerprintIndex.open(spark, f"{shared_dir(spark)}/graphloom-index-{uuid.uuid4().hex}"), None
         for k in range(BATCHES if low is not None else 0):
             a, b = (low + (high + 1 - low) * x // BATCHES for x in (k, k + 1))
-            got = index.append(found.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+            batch = found.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b))
+            got = index.append(batch) if k < BATCHES - 1 else index.match(batch)  # nothing is held against the last one
             hits = got if hits is None else hits.unionByName(got)
         index.delete()
         none = F.sha2(F.lit(""), 256)
