@@ -89,12 +89,14 @@ class Classifier:
 
 
 def fit_classifier(domains: list[str], words: list[bytes], x: np.ndarray, labels: list[str], rounds: int = 300) -> Classifier:
-    """Weights from the features x of labelled documents, by accelerated gradient steps."""
+    """Weights from the features x of labelled documents, by accelerated gradient steps; x is overwritten."""
     y = np.array([[d == l for d in domains] for l in labels], float)
     c = Classifier(domains, words)
     c.centre, c.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 0.02)
     c.centre[0], c.scale[0] = 0, 1
-    z = (x - c.centre) / c.scale
+    z = x
+    z -= c.centre
+    z /= c.scale
     w = np.zeros((z.shape[1], len(domains)))
     momentum, step = w.copy(), 4.0 / max(1.0, np.linalg.norm(z, 2) ** 2 / len(z))
     for k in range(rounds):
@@ -152,9 +154,20 @@ def train(docs: DataFrame, labelled: DataFrame) -> Classifier:
             rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), rows], names=["doc_id", "domain", "x"])
 
-    got = texts.select("doc_id", "domain", "text").mapInArrow(run, "doc_id long, domain string, x array<double>").toArrow().sort_by("doc_id")
-    x = got.column("x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
-    return fit_classifier(plain.domains, plain.words, x, got.column("domain").to_pylist())
+    got = texts.select("doc_id", "domain", "text").mapInArrow(run, "doc_id long, domain string, x array<double>").toArrow()
+    # the rows of features go to one array, in which they are fitted; Arrow's copy of them goes before that
+    order = got.column("doc_id").to_numpy().argsort()
+    labels = got.column("domain").take(pa.array(order)).to_pylist()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    x, at = np.empty((len(order), 9 + len(plain.words))), 0
+    for chunk in got.column("x").chunks:
+        x[place[at : at + len(chunk)]] = chunk.flatten().to_numpy().reshape(len(chunk), -1)
+        at += len(chunk)
+        del chunk
+    del got
+    pa.default_memory_pool().release_unused()
+    return fit_classifier(plain.domains, plain.words, x, labels)
 
 
 def memberships(docs: DataFrame, model: Classifier, id: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -355,3 +356,17 @@ def test_language_id_keeps_every_letter_and_language(spark):
     assert got == {i: l for i, _, l in out}
     letters = "".join(filter(str.isalpha, map(chr, range(0x110000))))
     assert sorted(language_id.Alphabet(letters).lut.tolist())[-len(letters) :] == list(range(2, len(letters) + 2))
+
+
+def test_mixing_fits_in_the_rows_it_is_given():
+    """The driver holds the rows of features once, and what the spread of a column needs besides."""
+    rng = np.random.default_rng(5)
+    x = rng.random((1000, 200))
+    labels = ["a" if v > 0.5 else "b" for v in x[:, 3]]
+    tracemalloc.start()
+    try:
+        c = mixing.fit_classifier(["a", "b"], [], x, labels, rounds=20)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 1.6 * x.nbytes and c.weights.shape == (200, 2)
